@@ -7,6 +7,7 @@ from lapline.functions import columns as C
 from lapline.functions.frames import csv_text, narrow_to_lap_file
 from lapline.operators.laps import LAP
 from lapline.operators.ordered import ROWS_PER_SLICE, SLICE, Slices
+from lapline.sources.files import folder_name
 
 ROWS_PER_FILE = 5_000_000
 
@@ -79,7 +80,7 @@ def rebatch_as_json(spark: SparkSession, csv_path: str, path: str, rows_per_file
     """CSV rows as JSON lines of strings, at most 5,000 to a file, one folder per session."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.csv").csv(csv_path).withColumn(
-        "session", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        "session", folder_name())
     rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
         "session").json(path)
 

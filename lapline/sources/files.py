@@ -16,9 +16,9 @@ EVENT_SCHEMAS = {
 _PATH = "_metadata.file_path"
 
 
-def _folder(depth: int = 2):
-    """Name of the folder a file is in."""
-    return F.element_at(F.split(F.col(_PATH), "/"), -depth)
+def folder_name(depth: int = 2):
+    """Name of the folder a file is in; of ``key=value`` the value."""
+    return F.regexp_replace(F.element_at(F.split(F.col(_PATH), "/"), -depth), "^[^=]*=", "")
 
 
 def read_lake_samples(spark: SparkSession, path: str, schema=schemas.ETL_SAMPLE) -> DataFrame:
@@ -38,7 +38,7 @@ def read_text_samples(spark: SparkSession, path: str) -> DataFrame:
     The session is the folder; a value that does not parse becomes NULL.
     """
     rows = read_lake_samples(spark, path, schemas.TEXT_SAMPLE).withColumn(
-        "session_id", F.coalesce("session_id", _folder()))
+        "session_id", F.coalesce("session_id", folder_name()))
     return typed_from_text(rows)
 
 
@@ -46,7 +46,7 @@ def read_recordings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Telemetry CSV files below ``path``; the session is the folder of the file."""
     rows = spark.read.schema(schemas.SAMPLE).option("header", True).option(
         "recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    rows = rows.withColumn("session_id", _folder())
+    rows = rows.withColumn("session_id", folder_name())
     return rows.select(*columns) if columns else rows
 
 
@@ -100,9 +100,9 @@ def schema_widths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON lines files named after their kind, at any depth."""
-    return spark.read.schema(EVENT_SCHEMAS[kind]).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", f"{kind}*.json*").json(path)
+    """JSON lines files of a kind, at any depth; the kind is in the file's path."""
+    files = spark.read.schema(EVENT_SCHEMAS[kind]).option("recursiveFileLookup", True).json(path)
+    return files.where(F.col(_PATH).contains(kind))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
