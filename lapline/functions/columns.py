@@ -151,5 +151,16 @@ def delta_band(ms: Column) -> Column:
 
 
 def fixed_decimals(value: Column, digits: int) -> Column:
-    """Text with this many decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Text with this many decimals, ties to even; a minus stays on what rounds to zero.
+
+    The scaled product is exact for 4-byte floats, which recordings hold.
+    """
+    number, scale = value.cast("double"), F.lit(float(10 ** digits))
+    scaled = F.rint(number * scale)
+    text = (scaled / scale).try_cast(f"decimal(20,{digits})").cast("string")
+    zero = F.lit(f"-{0:.{digits}f}")
+    # the last is for what is infinite, no number, or longer than 20 digits
+    return F.coalesce(
+        F.when((number < 0) & (scaled == 0), zero).otherwise(text),
+        F.format_string(f"%.{digits}f", number),
+    )

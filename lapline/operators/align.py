@@ -1,9 +1,10 @@
 """Laps on a grid of evenly spaced distances, and comparisons on that grid.
 
 A grid point needs two samples: the last one at or before it and the first one
-after it. Both are found by grouping samples by the grid interval they fall into
-(a combine-before-shuffle aggregate) and filling over at most n rows per lap, so
-raw samples are never sorted and a lap of any size never sits in one task.
+after it. Samples are grouped by the grid interval they fall into (combined before
+the shuffle), which leaves at most n rows per lap however many samples it has. Each
+row then knows the next one, covers the grid points in between, and those are
+written out without another shuffle or sort.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,29 +68,28 @@ def resample(samples: DataFrame, columns: list[str], n: int = fixed.GRID_POINTS,
 
     sample = F.struct(F.col("_d").alias("d"), *columns)
     position = F.struct("_d", *order)
-    found = placed.select(*keys, _interval(n).alias("grid_i"), sample.alias("s"),
-                          position.alias("p"), F.lit(None).cast("double").alias("x"))
-    last = F.when(F.col("n") < 2, 0).otherwise(n - 1)
-    points = bounds.select(
-        *keys, "lo", "hi", F.explode(F.sequence(F.lit(0), last)).alias("grid_i")
-    ).select(
-        *keys, "grid_i", F.lit(None).cast(found.schema["s"].dataType).alias("s"),
-        F.lit(None).cast(found.schema["p"].dataType).alias("p"),
-        _grid_distance(F.col("grid_i"), n).alias("x"),
+    cells = placed.select(
+        *keys, _interval(n).alias("u"), sample.alias("s"), position.alias("p"), "lo", "hi", "n"
+    ).groupBy(*keys, "u").agg(
+        F.max_by("s", "p").alias("a"), F.min_by("s", "p").alias("s_first"),
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"),
     )
-    cells = found.unionByName(points).groupBy(*keys, "grid_i").agg(
-        F.max_by("s", "p").alias("s_last"), F.min_by("s", "p").alias("s_first"),
-        F.max("x").alias("x"),
+    if grid is not None:  # a grid may begin before the first sample
+        cells = cells.unionByName(
+            bounds.select(*keys, F.lit(-1).alias("u"), "lo", "hi", "n"), allowMissingColumns=True
+        )
+    # at most n + 2 rows per lap from here on; each one covers the grid points up to the next
+    following = Window.partitionBy(*keys).orderBy("u")
+    size = F.lit(n) if grid is not None else F.when(F.col("n") < 2, 1).otherwise(n)
+    last = F.least(F.coalesce(F.lead("u").over(following), size), size) - 1
+    first = F.greatest("u", F.lit(0))
+    covering = cells.select(
+        *keys, "lo", "hi", "a", F.lead("s_first").over(following).alias("b"),
+        first.alias("_first"), last.alias("_last"),
+    ).where("_first <= _last")
+    filled = covering.withColumn("grid_i", F.explode(F.sequence("_first", "_last"))).withColumn(
+        "x", _grid_distance(F.col("grid_i"), n)
     )
-    # at most n + 1 rows per lap from here on
-    upto = Window.partitionBy(*keys).orderBy("grid_i").rowsBetween(Window.unboundedPreceding, 0)
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("grid_i")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    filled = cells.select(
-        *keys, "grid_i", "x",
-        F.last("s_last", ignorenulls=True).over(upto).alias("a"),
-        F.last("s_first", ignorenulls=True).over(beyond).alias("b"),
-    ).where(F.col("x").isNotNull())
 
     x, a, b = F.col("x"), "a", "b"
 

@@ -89,17 +89,21 @@ WITH_SAMPLES = (
 
 
 def samples_of(events: DataFrame) -> DataFrame:
-    return events.selectExpr("*", *_BASE).selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])
+    keep = ("event_id", "ts", "user_id", "event_type", "value")
+    return events.selectExpr(*keep, *_BASE).selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])
+
+
+EVENTS = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+          "props string")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return samples_of(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
 
 
 def sample_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100) -> DataFrame:
     """The same samples as a stream over the same files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return samples_of(
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+        spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger)
         .option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     )

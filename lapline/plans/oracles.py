@@ -12,8 +12,10 @@ _ORDER = "ORDER BY timestamp_wall, packet_id"
 
 def oracle(name: str, body: str, doubles: str = "", ctes: str = "", digits: int = 6,
            samples: str = WITH_SAMPLES) -> None:
-    """Register ``body`` over the samples ``t``; ``doubles`` are rounded, never to -0."""
-    replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles.split())
+    """Register ``body`` over the samples ``t``; ``doubles`` are rounded, in the same steps as there."""
+    scale = f"1e{digits}::DOUBLE"
+    replaced = ", ".join(
+        f"floor(CAST({c} AS DOUBLE) * {scale} + 0.5::DOUBLE) / {scale} AS {c}" for c in doubles.split())
     chosen = f"* REPLACE ({replaced})" if replaced else "*"
     ORACLES[name] = f"{samples}{ctes}, r AS ({body}) SELECT {chosen} FROM r"
 

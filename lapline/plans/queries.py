@@ -24,8 +24,9 @@ _WRITTEN: dict[tuple, str] = {}
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of decimals: sums differ in the last bits by their order."""
+    scale = F.lit(float(10 ** digits))
     return df.select(*[
-        F.round(F.col(f.name).cast("double"), digits).alias(f.name)
+        (F.floor(F.col(f.name).cast("double") * scale + F.lit(0.5)) / scale).alias(f.name)
         if f.dataType.typeName() in ("double", "float") else F.col(f.name)
         for f in df.schema.fields
     ])
