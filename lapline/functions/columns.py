@@ -162,5 +162,5 @@ def fixed_decimals(value: Column, digits: int) -> Column:
     # the last is for what is infinite, no number, or longer than 20 digits
     return F.coalesce(
         F.when((number < 0) & (scaled == 0), zero).otherwise(text),
-        F.format_string(f"%.{digits}f", number),
+        F.when(number.isNotNull(), F.format_string(f"%.{digits}f", number)),
     )
