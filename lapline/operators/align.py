@@ -160,9 +160,12 @@ def time_loss(samples: DataFrame, n: int = fixed.GRID_POINTS) -> DataFrame:
         F.min(F.struct("ms", "completed_laps", "lo", "hi")).alias("best"))
     grid = laps.select(*LAP).join(best, "session_id").select(
         *LAP, "best.lo", "best.hi", F.col("best.completed_laps").alias("best_lap"))
-    points = resample(live, ["current_lap_time_ms"], n, grid=grid, outside="null")
-    reference = points.join(
-        best.select("session_id", F.col("best.completed_laps").alias("completed_laps")), LAP
+    milliseconds = ["current_lap_time_ms"]
+    points = resample(live, milliseconds, n, grid=grid, outside="null")
+    only = best.select("session_id", F.col("best.completed_laps").alias("completed_laps"))
+    reference = resample(
+        live.join(only, LAP, "left_semi"), milliseconds, n, grid=grid.join(only, LAP, "left_semi"),
+        outside="null",
     ).select("session_id", "grid_i", F.col("completed_laps").alias("best_lap"),
              F.col("current_lap_time_ms").alias("_best_ms"))
     # keyed by grid point too: one session spreads over n keys

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lapline import fixed_values as fixed
 from lapline.functions import columns as C
-from lapline.operators.ordered import Slices, time_order
+from lapline.operators.ordered import Slices, order_key, time_order
 
 LAP = ["session_id", "completed_laps"]
 
@@ -149,11 +149,10 @@ def g_stats(samples: DataFrame, keys=tuple(LAP)) -> DataFrame:
 
 def fuel_forecast(samples: DataFrame, keys=tuple(LAP)) -> DataFrame:
     """Fuel of the last sample, mean burn, and the laps that leaves."""
-    last = F.struct(*time_order(samples))
     burn, fuel = F.col("fuel_per_lap"), F.col("fuel_remaining")
     laps_left = F.when(burn > 0, fuel / burn).otherwise(0.0)
     return samples.groupBy(*keys).agg(
-        F.max_by("fuel_remaining", last).alias("fuel_remaining"),
+        F.max_by("fuel_remaining", order_key(samples)).alias("fuel_remaining"),
         F.avg("fuel_per_lap").alias("fuel_per_lap"),
     ).withColumn("laps_left", laps_left).withColumn(
         "laps_left_band", C.laps_left_band(F.col("laps_left"))

@@ -158,6 +158,32 @@ def time_order(df: DataFrame, time: str = "timestamp_wall") -> list[str]:
     return [time] + [c for c in ("packet_id",) if c in df.columns]
 
 
+def order_key(df: DataFrame, time: str = "timestamp_wall") -> Column:
+    """Time and packet number as one number.
+
+    ``max_by`` over a number is a hash aggregate; over a struct it would sort all rows.
+    """
+    if "packet_id" not in df.columns:
+        return F.col(time)
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(20,0)")
+    return micros * F.lit(10 ** 18).cast("decimal(19,0)") + F.col("packet_id").cast("decimal(20,0)")
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list[str], n: int,
+                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The first n rows of each key.
+
+    First n of each slice, which Spark already cuts down before the shuffle; so what
+    is left of a key are n rows for each of its slices.
+    """
+    slices = Slices(df, keys, order, rows_per_slice)
+    inside = slices.rows.withColumn("_nth", F.row_number().over(slices._window)).where(
+        F.col("_nth") <= n)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return slices.done(inside).withColumn("_nth", F.row_number().over(whole)).where(
+        F.col("_nth") <= n).drop("_nth")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no",
              rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
     """Rows numbered from 1 within their key."""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from lapline import fixed_values as fixed
 from lapline import schemas
 from lapline.functions import columns as C
-from lapline.operators.ordered import ROWS_PER_SLICE, Slices, numbered, time_order
+from lapline.operators.ordered import (
+    ROWS_PER_SLICE, Slices, first_of_each, numbered, time_order,
+)
 
 KEY = ["session_id"]
 
@@ -52,8 +54,7 @@ def slice_sample(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
 
 def first_rows(samples: DataFrame, n: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The first n rows of each session in time order."""
-    rows = numbered(samples, KEY, time_order(samples), "_row", rows_per_slice).result
-    return rows.where(F.col("_row") <= n).drop("_row")
+    return first_of_each(samples, KEY, time_order(samples), n, rows_per_slice)
 
 
 def _bad(value: Column, low, high) -> Column:

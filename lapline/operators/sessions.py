@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lapline import fixed_values as fixed
 from lapline.functions import columns as C
-from lapline.operators.ordered import ROWS_PER_SLICE, Slices, time_order
+from lapline.operators.ordered import ROWS_PER_SLICE, Slices, order_key, time_order
 
 KEY = ["session_id"]
 
@@ -227,7 +227,7 @@ def lap_segments(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
         return how(F.when(driven, F.col(column)))
 
     return counted.groupBy(*KEY, "session_no", "segment_no").agg(
-        F.max_by("completed_laps", F.struct(*time_order(samples))).alias("lap_number"),
+        F.max_by("completed_laps", order_key(samples)).alias("lap_number"),
         F.count_if(driven).alias("samples"),
         of(F.max, "speed_kmh").alias("max_speed"), of(F.avg, "speed_kmh").alias("avg_speed"),
         (of(F.max, "fuel_remaining") - of(F.min, "fuel_remaining")).alias("fuel_used"),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapline.operators.laps import LAP
-from lapline.operators.ordered import time_order
+from lapline.operators.ordered import order_key
 from lapline.operators.sizing import small_side
 
 CELL_M = 100
@@ -119,11 +119,10 @@ def braking_zones(samples: DataFrame, corners: DataFrame, keys=tuple(LAP),
     """First brake point, peak brake, entry and lowest speed from braking start to apex."""
     inside = join_zones(resolve_tracks(samples, corners), corners.drop("track_name", "file"),
                         "brake_m", "apex_m")
-    position = F.struct(DISTANCE, *time_order(samples))
     return inside.groupBy(*keys, "corner").agg(
         F.min(F.when(F.col("brake") > brake_on, F.col(DISTANCE))).alias("brake_point_m"),
         F.max("brake").alias("peak_brake"),
-        F.min_by("speed_kmh", position).alias("entry_speed"),
+        F.min_by("speed_kmh", order_key(samples)).alias("entry_speed"),
         F.min("speed_kmh").alias("min_speed"),
     )
 

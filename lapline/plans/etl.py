@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lapline.functions.frames import on_track, with_derived
 from lapline.operators.laps import filter_counts, lap_summary
-from lapline.sinks.files import write_partitioned, write_table
+from lapline.sinks.files import write_clustered, write_partitioned, write_table
 from lapline.sources.files import read_lake_samples
 
 
@@ -14,14 +14,17 @@ def processed(raw: DataFrame) -> DataFrame:
     return with_derived(on_track(raw))
 
 
-def run(spark: SparkSession, raw_path: str, out_path: str) -> DataFrame:
-    """Read once, write the processed table, summarize that; returns the row counts.
+def run(spark: SparkSession, raw_path: str, out_path: str, layout: str = "laps") -> DataFrame:
+    """Write the processed table, summarize that, and return the row counts.
 
-    The summary reads Parquet, not JSON again. The counts come from one pass over the
-    three columns they need.
+    The summary reads Parquet, not JSON again. The counts come from one more pass over
+    the two fields they need, because counters kept during the write count rows of
+    repeated tasks twice. ``laps`` makes a folder per lap; ``clustered`` orders the rows
+    by lap instead, for more laps than a file listing should hold.
     """
     raw = read_lake_samples(spark, raw_path)
-    write_partitioned(processed(raw), f"{out_path}/telemetry")
+    write = {"laps": write_partitioned, "clustered": write_clustered}[layout]
+    write(processed(raw), f"{out_path}/telemetry")
     table = read_processed(spark, out_path)
     write_table(lap_summary(table), f"{out_path}/lap_summary")
     return filter_counts(raw)

@@ -646,9 +646,11 @@ oracle("stream_append", """
            round(max(speed_kmh), 2) AS max_speed FROM t GROUP BY ALL""")
 oracle("stream_without_repeats", "SELECT session_id, packet_id, status FROM t")
 
-# a stream has worked off what is before its watermark: ten minutes before the newest sample
-_PASSED = WITH_SAMPLES.replace(" FROM base)", " FROM base WHERE floor(epoch_us(ts) / 1000) < "
-                               "(SELECT floor(max(epoch_us(ts)) / 1000) - 600000 FROM events))")
+# a stream has worked off the minutes that end before its watermark, which is ten minutes
+# before the newest sample
+_PASSED = WITH_SAMPLES.replace(
+    " FROM base)", " FROM base WHERE (epoch_ms(ts) // 60000 + 1) * 60000 <= "
+    "(SELECT max(epoch_ms(ts)) - 600000 FROM events))")
 _US = "epoch_us(timestamp_wall) AS ts_us"
 
 

@@ -6,23 +6,20 @@ from pyspark.sql import functions as F
 from lapline.functions import columns as C
 from lapline.functions.frames import csv_text, narrow_to_lap_file
 from lapline.operators.laps import LAP
-from lapline.operators.ordered import ROWS_PER_SLICE, SLICE, Slices
 from lapline.sources.files import folder_name
 
 ROWS_PER_FILE = 5_000_000
 
 
-def _spread(df: DataFrame, keys: list[str], time: str, rows_per_slice: int) -> DataFrame:
-    """All rows of a small key in one task; a large key over several, cut by time."""
-    slices = Slices(df, keys, [time], rows_per_slice)
-    return slices.done(slices.rows.repartition(*keys, SLICE).sortWithinPartitions(*keys, time))
+def _spread(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """Rows of a key together; Spark splits what gets too large when it sees the sizes."""
+    return df.hint("rebalance", *keys).sortWithinPartitions(*keys, time)
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str] = LAP,
-                      time: str = "timestamp_wall", mode: str = "overwrite",
-                      rows_per_slice: int = ROWS_PER_SLICE) -> None:
+                      time: str = "timestamp_wall", mode: str = "overwrite") -> None:
     """Parquet in one folder per key; a rerun replaces only the folders it has rows for."""
-    _spread(df, keys, time, rows_per_slice).write.mode(mode).option(
+    _spread(df, keys, time).write.mode(mode).option(
         "partitionOverwriteMode", "dynamic").option(
         "maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*keys).parquet(path)
 
@@ -43,9 +40,8 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_laps(samples: DataFrame, path: str, platform: str = "ACC",
-               rows_per_slice: int = ROWS_PER_SLICE) -> None:
-    """One Snappy file per lap at platform/track/car/session/lap, pit samples left out.
+def write_laps(samples: DataFrame, path: str, platform: str = "ACC") -> None:
+    """A Snappy file per lap at platform/track/car/session/lap, pit samples left out.
 
     Folder names have ``_`` for blanks. The partition value is the samples' own lap count.
     """
@@ -58,14 +54,14 @@ def write_laps(samples: DataFrame, path: str, platform: str = "ACC",
         "lap_folder": C.lap_file_name(F.col("lap_number")),
     })
     keys = ["session_id", "lap_number"]
-    _spread(laps, keys, "timestamp_wall", rows_per_slice).write.mode("overwrite").option(
+    _spread(laps, keys, "timestamp_wall").write.mode("overwrite").option(
         "compression", "snappy").partitionBy(
         "platform", "track_folder", "car_folder", "session_folder", "lap_folder").parquet(path)
 
 
-def write_recordings(samples: DataFrame, path: str, rows_per_slice: int = ROWS_PER_SLICE) -> None:
+def write_recordings(samples: DataFrame, path: str) -> None:
     """CSV with header and fixed decimals, one folder per session."""
-    spread = _spread(samples, ["session_id"], "timestamp_wall", rows_per_slice)
+    spread = _spread(samples, ["session_id"], "timestamp_wall")
     csv_text(spread).withColumn("session", F.col("session_id")).drop("session_id").write.mode(
         "overwrite").option("header", True).partitionBy("session").csv(path)
 

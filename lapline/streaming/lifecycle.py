@@ -1,9 +1,8 @@
 """Sessions, laps and setups online: one keyed state, all events from one pass.
 
-Rows of a key wait in state until the watermark has passed them, then they are
-stepped through in time order. So late and shuffled rows give the same events as
-the batch operators, state holds no more rows than the watermark delay brings,
-and a lap is kept as running numbers, not as its rows.
+Rows of a key wait in state until the watermark has passed their minute, then they
+are stepped through in time order. So shuffled rows give the same events as the
+batch operators, and a lap is kept as running numbers, not as its rows.
 """
 
 import sys
@@ -34,6 +33,9 @@ _READ = (
     + ", ".join(f"{c} double" for c in _TYRES)
     + ", " + ", ".join(f"{p} double" for p in _PARAMETERS)
 )
+BUCKET_MS = 60_000
+_BUCKET = "rows array<struct<" + ", ".join(
+    "{}: {}".format(*item.split()) for item in _READ.split(", ")) + ">>"
 _NAMES = [item.split()[0] for item in _READ.split(", ")]
 _STATE = (
     "active boolean, session_no long, seen boolean, car string, track string, "
@@ -150,53 +152,59 @@ def step(state: dict, row: dict) -> list[dict]:
     return events
 
 
+def _bucket_end(ms):
+    return int(ms // BUCKET_MS + 1) * BUCKET_MS
+
+
 class Lifecycle(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then steps through them in order."""
+    """Holds rows in buckets of one minute until the watermark has passed the bucket.
+
+    A bucket's timer steps through its rows in order, so a task never has more than
+    one minute of one key in memory, however much of the stream that key is.
+    """
 
     def __init__(self, idle_ms: int | None = None):
         self._idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", _READ)
+        self._waiting = handle.getMapState("waiting", "end_ms long", _BUCKET)
         self._value = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
         for batch in rows:
-            values = [
-                tuple(None if pd.isna(v) else v for v in row)
-                for row in batch[_NAMES].astype(object).itertuples(index=False, name=None)
-            ]
-            self._waiting.appendList(values)
-            low = min(v[0] for v in values)
-            first = low if first is None else min(first, low)
-        self._handle.registerTimer(first // 1000 + 1)
+            values = batch[_NAMES].astype(object)
+            values = values.where(values.notna(), None)
+            ends = (batch["ts_us"] // 1000).map(_bucket_end)
+            for end, bucket in values.groupby(ends):
+                end = int(end)
+                held = []
+                if self._waiting.containsKey((end,)):
+                    held = [tuple(row) for row in self._waiting.getValue((end,))[0]]
+                held += list(bucket.itertuples(index=False, name=None))
+                self._waiting.updateValue((end,), (held,))
+                self._handle.registerTimer(end)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = [dict(zip(_NAMES, row)) for row in self._waiting.get()]
-        due = sorted((r for r in rows if r["ts_us"] // 1000 < passed),
-                     key=lambda r: (r["ts_us"], r["packet_id"]))
-        later = [tuple(r.values()) for r in rows if r["ts_us"] // 1000 >= passed]
-        if due:
-            if later:
-                self._waiting.put(later)
-                self._handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
-            else:
-                self._waiting.clear()
+        end = (expiredTimerInfo.getExpiryTimeInMs(),)
         state = dict.fromkeys(_STATE_NAMES) | _START
         if self._value.exists():
             state = dict(zip(_STATE_NAMES, self._value.get()))
         events = []
-        for row in due:
-            events += step(state, row)
+        if self._waiting.containsKey(end):
+            rows = [dict(zip(_NAMES, row)) for row in self._waiting.getValue(end)[0]]
+            self._waiting.removeKey(end)
+            for row in sorted(rows, key=lambda r: (r["ts_us"], r["packet_id"])):
+                if self._idle_ms is not None and row["ts_us"] > self._quiet_at(state) * 1000:
+                    events += _segment(state)
+                events += step(state, row)
         if self._idle_ms is not None and state["samples"]:
-            quiet = state["last_us"] // 1000 + self._idle_ms
-            if due and not later:
-                self._handle.registerTimer(quiet + 1)
-            if not rows and quiet < passed:
+            due = _bucket_end(self._quiet_at(state))
+            passed = max(timerValues.getCurrentWatermarkInMs(), end[0])
+            if due > passed:
+                self._handle.registerTimer(due)
+            elif not any(waiting[0] <= due for waiting in self._waiting.keys()):
                 events += _segment(state)
         self._value.update(tuple(state[n] for n in _STATE_NAMES))
         if events:
@@ -204,6 +212,10 @@ class Lifecycle(StatefulProcessor):
             frame["session_id"] = key[0]
             yield frame.where(frame.notna(), None)
 
+    def _quiet_at(self, state: dict) -> float:
+        """When the lap held counts as over for want of samples."""
+        return state["last_us"] / 1000 + self._idle_ms if state["samples"] else float("inf")
+
     def close(self) -> None:
         pass
 

@@ -62,14 +62,17 @@ def test_rerun_replaces_only_its_laps(spark, recording, tmp_path):
 
 
 def test_large_lap_takes_several_files(spark, recording, tmp_path):
-    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(coalesce, "false")  # or so little data goes into one task again
+    one = recording.withColumns({"session_id": F.lit("hot"), "completed_laps": F.lit(1)})
+    many = one.crossJoin(spark.range(400).select(F.rand(1).alias("x"))).repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100KB")
     try:
-        sinks.write_partitioned(recording, str(tmp_path), rows_per_slice=4)
+        sinks.write_partitioned(many, str(tmp_path))
     finally:
-        spark.conf.set(coalesce, "true")
+        spark.conf.set(size, before)
     names = [n for _, _, ns in os.walk(tmp_path) for n in ns if n.startswith("part")]
-    assert len(names) > 6 and spark.read.parquet(str(tmp_path)).count() == 120
+    assert len(names) > 3 and spark.read.parquet(str(tmp_path)).count() == 48_000
 
 
 def test_lap_files(spark, recording, tmp_path):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lapline.operators.ordered import MAX_CUTS, SLICE, Slices, numbered
+from lapline.operators.ordered import MAX_CUTS, SLICE, Slices, first_of_each, numbered, order_key
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,27 @@ def test_numbered(spark):
     df = spark.range(100).selectExpr("'a' AS key", "100 - id AS t")
     rows = numbered(df, ["key"], ["t"], rows_per_slice=10).result.orderBy("t").collect()
     assert [r.row_no for r in rows] == list(range(1, 101))
+
+
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 20])
+def test_first_of_each(skewed, rows_per_slice):
+    rows, df = skewed
+    got = {r.seq for r in first_of_each(df, ["key"], ["t", "seq"], 30, rows_per_slice).collect()}
+    by_key = {}
+    for key, t, seq, _ in rows:
+        by_key.setdefault(key, []).append((t, seq))
+    assert got == {seq for values in by_key.values() for _, seq in sorted(values)[:30]}
+
+
+def test_first_of_each_is_cut_down_before_the_shuffle(skewed):
+    plan = first_of_each(skewed[1], ["key"], ["t", "seq"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4  # partial and final, inside slices and over keys
+
+
+def test_order_key(samples):
+    t = samples([{"ts": 5, "packet_id": 9, "gear": 1}, {"ts": 5, "packet_id": 10, "gear": 2}, {"ts": 4, "gear": 3}])
+    best = t.groupBy("session_id").agg(F.max_by("gear", order_key(t)).alias("gear"))
+    assert best.first().gear == 2
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    assert t.drop("packet_id").groupBy("session_id").agg(
+        F.min_by("gear", order_key(t.drop("packet_id"))).alias("gear")).first().gear == 3

@@ -90,6 +90,16 @@ def test_idle_sessions_give_out_their_lap(spark, replay):
     assert got.count() == sessions.lap_segments(replay).count()
 
 
+def test_gap_within_what_is_known_already(spark, samples):
+    t = samples([{"ts": 0}, {"ts": 10}, {"ts": 9000}, {"ts": 9010}, {"ts": 90_000, "status": "off"}])
+    got = lifecycle.events_of(run(spark, lifecycle.lifecycle_events(streamed(spark, t, 1), idle_ms=600_000)), "lap_segment")
+    assert got.count() == 2
+    rows = [{"ts": s} for s in (0, 10, 9000, 9010, 90_000)] + [{"ts": 990_000, "session_id": "z"}]
+    got = lifecycle.events_of(run(spark, lifecycle.lifecycle_events(
+        streamed(spark, samples(rows), 2), idle_ms=600_000)), "lap_segment").orderBy("ts_us")
+    assert [r.samples for r in got.collect()] == [2, 2, 1]
+
+
 def test_late_rows_are_dropped(spark, samples):
     early = samples([{"ts": 0}, {"ts": 10, "completed_laps": 1}, {"ts": 5000, "completed_laps": 2}])
     late = samples([{"ts": 5, "completed_laps": 7, "packet_id": 5}, {"ts": 9000, "completed_laps": 3}])
