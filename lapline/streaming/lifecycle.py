@@ -34,6 +34,7 @@ _READ = (
     + ", " + ", ".join(f"{p} double" for p in _PARAMETERS)
 )
 BUCKET_MS = 60_000
+EVENTS_PER_FRAME = 5000
 _BUCKET = "rows array<struct<" + ", ".join(
     "{}: {}".format(*item.split()) for item in _READ.split(", ")) + ">>"
 _NAMES = [item.split()[0] for item in _READ.split(", ")]
@@ -152,6 +153,12 @@ def step(state: dict, row: dict) -> list[dict]:
     return events
 
 
+def _frame(key, events: list[dict]) -> pd.DataFrame:
+    frame = pd.DataFrame(events, columns=_EVENT_NAMES, dtype=object)
+    frame["session_id"] = key[0]
+    return frame.where(frame.notna(), None)
+
+
 def _bucket_end(ms):
     return int(ms // BUCKET_MS + 1) * BUCKET_MS
 
@@ -159,8 +166,8 @@ def _bucket_end(ms):
 class Lifecycle(StatefulProcessor):
     """Holds rows in buckets of one minute until the watermark has passed the bucket.
 
-    A bucket's timer steps through its rows in order, so a task never has more than
-    one minute of one key in memory, however much of the stream that key is.
+    Passed buckets are stepped through one after the other, so a task never has more
+    than one minute of one key in memory, however much of the stream that key is.
     """
 
     def __init__(self, idle_ms: int | None = None):
@@ -172,6 +179,7 @@ class Lifecycle(StatefulProcessor):
         self._value = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
+        known = {end for (end,) in self._waiting.keys()}
         for batch in rows:
             values = batch[_NAMES].astype(object)
             values = values.where(values.notna(), None)
@@ -179,38 +187,48 @@ class Lifecycle(StatefulProcessor):
             for end, bucket in values.groupby(ends):
                 end = int(end)
                 held = []
-                if self._waiting.containsKey((end,)):
+                if end in known:
                     held = [tuple(row) for row in self._waiting.getValue((end,))[0]]
                 held += list(bucket.itertuples(index=False, name=None))
                 self._waiting.updateValue((end,), (held,))
-                self._handle.registerTimer(end)
+                known.add(end)
+        self._handle.registerTimer(min(known))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = (expiredTimerInfo.getExpiryTimeInMs(),)
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = sorted(end for (end,) in self._waiting.keys())
+        ends = [end for end in waiting if end <= passed]
+        if not ends and self._idle_ms is None:
+            return  # an earlier timer has worked off the bucket
         state = dict.fromkeys(_STATE_NAMES) | _START
         if self._value.exists():
             state = dict(zip(_STATE_NAMES, self._value.get()))
         events = []
-        if self._waiting.containsKey(end):
-            rows = [dict(zip(_NAMES, row)) for row in self._waiting.getValue(end)[0]]
-            self._waiting.removeKey(end)
+        for end in ends:
+            rows = [dict(zip(_NAMES, row)) for row in self._waiting.getValue((end,))[0]]
+            if len(ends) < len(waiting):
+                self._waiting.removeKey((end,))
             for row in sorted(rows, key=lambda r: (r["ts_us"], r["packet_id"])):
                 if self._idle_ms is not None and row["ts_us"] > self._quiet_at(state) * 1000:
                     events += _segment(state)
                 events += step(state, row)
+            if len(events) > EVENTS_PER_FRAME:
+                yield _frame(key, events)
+                events = []
+        if ends and len(ends) == len(waiting):
+            self._waiting.clear()
+        elif len(ends) < len(waiting):
+            self._handle.registerTimer(waiting[len(ends)])
         if self._idle_ms is not None and state["samples"]:
             due = _bucket_end(self._quiet_at(state))
-            passed = max(timerValues.getCurrentWatermarkInMs(), end[0])
             if due > passed:
                 self._handle.registerTimer(due)
-            elif not any(waiting[0] <= due for waiting in self._waiting.keys()):
+            elif not any(passed < end <= due for end in waiting):
                 events += _segment(state)
         self._value.update(tuple(state[n] for n in _STATE_NAMES))
         if events:
-            frame = pd.DataFrame(events, columns=_EVENT_NAMES, dtype=object)
-            frame["session_id"] = key[0]
-            yield frame.where(frame.notna(), None)
+            yield _frame(key, events)
 
     def _quiet_at(self, state: dict) -> float:
         """When the lap held counts as over for want of samples."""
