@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lapline.llm import bpe
+from lapline.llm import bpe, packing, token_counts
 
 QUERIES = {
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES: dict[str, str] = {}

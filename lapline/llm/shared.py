@@ -46,6 +46,8 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.of(key)
+        if len(key) > 200:  # long and not likely to come again
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[key] = value
