@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lapline.llm import bpe, jaccard, packing, token_counts
+from lapline.llm import bpe, jaccard, language, packing, token_counts
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_string_kernel": language.op7_string_kernel,
     "op8_packing": packing.op8_packing,
 }
 
