@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lapline.llm import bpe, jaccard, language, packing, token_counts
+from lapline.llm import bpe, jaccard, language, lines, packing, secrets, token_counts
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_string_kernel": language.op7_string_kernel,
     "op8_packing": packing.op8_packing,
+    "op10_secret_ledger": secrets.op10_secret_ledger,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.OP2_SQL,
+    "op5_line_dedup": lines.OP5_SQL,
 }
