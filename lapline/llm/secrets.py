@@ -142,6 +142,10 @@ def named_spans(column: str, rules: tuple[Rule, ...]) -> Column:
         ":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def counted(column: str, kind: int) -> Column:
+    return F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long")
+
+
 def find_secrets(docs: DataFrame, folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of ``docs`` (doc_id, text).
 
@@ -155,8 +159,7 @@ def find_secrets(docs: DataFrame, folder: str | None = None, rules: tuple[Rule,
     base = [k for k, rule in enumerate(rules) if rule.base]
     listed = ledger.by_blob(rules).withColumn(
         "base", F.filter("spans", lambda x: x["kind"].isin(base)))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{rules[k].kind}")
-              for k in base]
+    counts = [counted("base", k).alias(f"n_{rules[k].kind}") for k in base]
     listed = listed.select("blob", *counts, named_spans("base", rules).alias("base"),
                            named_spans("spans", rules).alias("spans"))
     joined = paths.join(listed, "blob", "left")
