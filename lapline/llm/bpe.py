@@ -9,11 +9,13 @@ changed (``left``, ``right``, ``made``, ``cut``): a table entry is worked out fr
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 import regex
@@ -32,6 +34,7 @@ def byte_letters() -> list[str]:
 
 
 LETTERS = byte_letters()
+LETTER_TABLE = "".join(LETTERS)
 
 
 class MergeAutomaton:
@@ -170,10 +173,10 @@ class WordEncoder:
 
     def _word(self, piece: str) -> tuple[int, ...]:
         if not (piece.isascii() and piece.isprintable()):
-            piece = "".join([LETTERS[b] for b in piece.encode("utf-8", "replace")])
+            piece = codecs.charmap_decode(piece.encode("utf-8", "replace"), "strict", LETTER_TABLE)[0]
         return tuple(self.automaton.walk(piece))
 
-    def stretch(self, chunk: str) -> list[int]:
+    def stretch(self, chunk: str) -> Sequence[int]:
         """Ids of a stretch without white space."""
         if "<|" in chunk:
             out = []
@@ -185,15 +188,18 @@ class WordEncoder:
             return out
         return self._plain(chunk)
 
-    def _plain(self, chunk: str) -> list[int]:
+    def _plain(self, chunk: str) -> Sequence[int]:
         words = self.words
-        if chunk.isascii():
-            pieces = self.ascii_pieces(chunk.lower())
-        else:
-            # letter by letter: the lower case of a letter doesn't hang on its place in the word
-            pieces = self.pieces("".join([c.lower() for c in unicodedata.normalize("NFC", chunk)]))
-        if len(pieces) == 1:
-            return list(words[pieces[0]])
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
+        # the lower case of a letter doesn't hang on its place in the word, as str.lower() has it for one letter
+        chunk = chunk.replace("Σ", "σ").lower()
+        if chunk.isalpha():
+            return words[chunk]
+        core, sign = chunk[:-1], chunk[-1]
+        if sign in ".,;:!?" and core.isalpha():
+            return words[core] + words[sign]
+        pieces = self.ascii_pieces(chunk) if chunk.isascii() else self.pieces(chunk)
         return [i for piece in pieces for i in words[piece]]
 
     def stretches(self, text: str) -> list[str]:

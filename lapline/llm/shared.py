@@ -38,17 +38,21 @@ class Scratch:
 
 
 class Memo(dict):
-    """Values by key from a function; forgets all when ``limit`` keys are held, so memory stays bounded."""
+    """Values by key from a function. Holds ``limit`` keys and as many of the generation before, so memory is bounded
+    and keys that keep coming stay."""
 
-    def __init__(self, of, limit: int = 400_000):
+    def __init__(self, of, limit: int = 500_000):
         super().__init__()
-        self.of, self.limit = of, limit
+        self.of, self.limit, self.old = of, limit, {}
 
     def __missing__(self, key):
-        value = self.of(key)
-        if len(key) > 200:  # long and not likely to come again
-            return value
+        value = self.old.get(key)
+        if value is None:
+            value = self.of(key)
+            if len(key) > 200:  # long and not likely to come again
+                return value
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
