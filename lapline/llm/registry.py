@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from lapline.llm import bpe, jaccard, language, lines, packing, secrets, token_counts
+from lapline.llm import (
+    bpe, jaccard, language, lines, neighbours, packing, search, secrets, token_counts, urls,
+)
 
 QUERIES = {
+    "op1_block_max_wand": search.op1_block_max_wand,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_url_rules": urls.op3_url_rules,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_string_kernel": language.op7_string_kernel,
     "op8_packing": packing.op8_packing,
+    "op9_multi_index": neighbours.op9_multi_index,
     "op10_secret_ledger": secrets.op10_secret_ledger,
 }
 
