@@ -21,7 +21,7 @@ from lapline.llm.shared import Memo, Scratch, narrowed
 
 #: Prime number of slots of the filter that spares documents without candidates a second reading (1 MB of bits).
 SLOTS = 8_388_593
-BITMAP_BYTES = 64
+BITMAP_BYTES = 512
 #: Sets in a block of a tile that is compared whole.
 BLOCK = 256
 #: Keys of a task that are combined at once.
