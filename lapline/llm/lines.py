@@ -3,9 +3,10 @@
 Two lines are near when one becomes the other by one character inserted, deleted or changed. Deleting that character
 leaves both the same text around the same place, so each line gives, for every place, the hash of what deletion there
 leaves (and, to meet longer lines, of itself with a gap there): all lines with an equal variant are near each other,
-and the earliest of them stands for them. To give variants only where they can meet, a line is first cut into
-``STRETCHES``: an edit lies in one of them and the rest is equal, so the hash of the rest is joined first, and the
-variants of a stretch are made only for lines whose rest another line has.
+and the earliest of them stands for them. Variants are emitted from coarse to fine: with half of the line deleted,
+then, where another line has the same rest, with a short piece of that half deleted, and only where that meets
+another line again, with one character deleted. An edit lies in one half and in one piece of it, so nothing is lost,
+and hardly a line comes to the last step that has no near one.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapline.llm.shared import Scratch
 
-STRETCHES = 3
-#: Slots of the filter that the join of rests begins with: at most so many rows are broadcast (8 MB of longs).
+#: Pieces that the deleted half is cut into.
+PIECES = 16
+#: Slots of the filter that the join of halves begins with: at most so many rows are broadcast (8 MB of longs).
 SLOTS = 1 << 20
 #: Something besides ASCII white space.
 SOLID = r"[^ \t\r\f\x0B]"
+#: A place is doc_id * LINES + line_no as one number, so that the earliest is a plain minimum.
+LINES = 1 << 31
+PLACE = "decimal(38,0)"
+NO_DOC = -(2**63) - 1
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -31,34 +37,65 @@ def lines_of(docs: DataFrame) -> DataFrame:
                        F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rests(least: int) -> Column:
-    """For each line of at least ``least`` characters the (rest, tile, cut) of every stretch it may be edited in.
+def place() -> Column:
+    doc = F.coalesce(F.col("doc_id").cast(PLACE), F.lit(str(NO_DOC)).cast(PLACE))
+    return (doc * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast(PLACE)
 
-    A tile is the length of the shorter line of a pair, so a line stands in the tile of its own length and in that of
-    one less. ``cut`` is the stretch itself, of the line that is in hand.
+
+def doc_of(at: str) -> Column:
+    step = f"cast({LINES} as decimal(11,0))"
+    return F.when(F.col(at) >= F.lit(str(-(2**63) * LINES)).cast(PLACE), F.expr(f"({at} - pmod({at}, {step})) div {step}"))
+
+
+def line_of(at: str) -> Column:
+    return F.expr(f"cast(pmod({at}, cast({LINES} as decimal(11,0))) as int)")
+
+
+def halves() -> Column:
+    """Hashes of what is left of ``line`` (``size`` characters) with a half deleted.
+
+    A tile is the length of the shorter line of a pair: a line stands in the tile of its own length and in that of
+    one less. In each first the left half is kept, then the right one.
     """
-    size = F.length("line")
     found = []
     for shorter in (0, 1):
-        tile = size - shorter
-        for k in range(STRETCHES):
-            start = F.floor(tile * k / STRETCHES).cast("int")
-            stop = F.floor(tile * (k + 1) / STRETCHES).cast("int")
-            before = F.substring("line", F.lit(1), start)
-            after = F.substring("line", stop + 1 + shorter, size)
-            found.append(F.when(tile >= least, F.struct(
-                F.xxhash64(tile, F.lit(k), before, after).alias("rest"), F.lit(shorter).alias("shorter"),
-                F.substring("line", start + 1, stop - start + shorter).alias("cut"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+        tile = F.col("size") - shorter
+        left = F.shiftright(tile, 1)
+        found.append(F.xxhash64(tile, F.lit(0), F.substring("line", F.lit(1), left)))
+        found.append(F.xxhash64(tile, F.lit(1), F.substring("line", left + 1 + shorter, F.col("size"))))
+    return F.array(*found)
+
+
+def deleted_half() -> Column:
+    """The half that the variant numbered ``which`` lacks."""
+    left = F.shiftright(F.col("size") - F.col("shorter"), 1)
+    return F.when(F.col("which") % 2 == 0, F.substring("line", left + 1, F.col("size"))).otherwise(
+        F.substring("line", F.lit(1), left + F.col("shorter")))
+
+
+def pieces() -> Column:
+    """(rest, cut) for each piece that can be deleted from ``cut``: the hash of the rest, and the piece."""
+    size = F.length("cut")
+    tile = size - F.col("shorter")
+
+    def piece(k: Column) -> Column:
+        start = F.floor(tile * k / PIECES).cast("int")
+        stop = F.floor(tile * (k + 1) / PIECES).cast("int")
+        return F.struct(
+            F.xxhash64("rest", k, F.substring("cut", F.lit(1), start),
+                       F.substring("cut", stop + 1 + F.col("shorter"), size)).alias("rest"),
+            F.substring("cut", start + 1, stop - start + F.col("shorter")).alias("cut"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece)
 
 
 def variants() -> Column:
-    """Hashed variants of a cut: each deletion, and each gap where a longer line may have one character more."""
+    """Hashed variants of a piece: each deletion, and each gap where a longer line may have one character more."""
     size = F.length("cut")
 
-    def kept(place: Column, drop: int, kind: str) -> Column:
-        return F.xxhash64("rest", F.lit(kind), place, F.substring("cut", F.lit(1), place),
-                          F.substring("cut", place + 1 + drop, size))
+    def kept(at: Column, drop: int, kind: str) -> Column:
+        return F.xxhash64("rest", F.lit(kind), at, F.substring("cut", F.lit(1), at),
+                          F.substring("cut", at + 1 + drop, size))
 
     deletions = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     return F.when(
@@ -67,27 +104,45 @@ def variants() -> Column:
                          F.transform(F.sequence(F.lit(0), size), lambda q: kept(q, 0, "gap"))))
 
 
-def near_lines(scratch: Scratch, lines: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+def met(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that two different lines have."""
+    return rows.groupBy(key).agg(F.min("one").alias("low"), F.max("one").alias("high")).where(
+        "low <> high").select(key)
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``: by slots first, which are few enough to broadcast, then exactly."""
+    slot = F.pmod(key, F.lit(SLOTS)).alias("slot")
+    slots = F.broadcast(keys.select(slot).distinct())
+    return rows.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot").join(keys, key, "left_semi")
+
+
+def near_lines(scratch: Scratch, docs: DataFrame, every: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     """(one, two, earliest) of the distinct lines with an earlier line within one edit: its place is ``earliest``."""
-    keys = lines.where(F.length("line") >= least).select(
-        F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two"),
-        F.explode(rests(least)).alias("x")).select("one", "two", "x.*")
-    shared = scratch.write(
-        keys.groupBy("rest").agg(F.min("one").alias("low"), F.max("one").alias("high"))
-        .where("low <> high").select("rest"), "shared")
-    slot = F.pmod("rest", F.lit(SLOTS)).alias("slot")
-    slots = F.broadcast(shared.select(slot).distinct())
-    members = keys.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
-    members = members.join(shared, "rest", "left_semi").distinct()
-    members = scratch.write(members.join(firsts, ["one", "two"]), "members")
-    spread = members.select("one", "two", "first", "cut", F.explode(variants()).alias("variant"))
+    keys = every.where(F.col("size") >= least).select(
+        "one", "two", F.posexplode("halves").alias("which", "rest")).withColumn("shorter", F.shiftright("which", 1))
+    shared = scratch.write(met(keys, "rest"), "shared")
+    chosen = scratch.write(
+        among(keys, shared, "rest").distinct().join(firsts, ["one", "two"]), "chosen")
+    lines = lines_of(docs).select("line", F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two"))
+    wanted = chosen.select("one", "two").distinct().withColumn("key", F.col("one"))
+    texts = scratch.write(among(lines.withColumn("key", F.col("one")), scratch.write(
+        wanted.select("key").distinct(), "wanted"), "key").drop("key").distinct(), "texts")
+    members = chosen.join(texts, ["one", "two"]).withColumn("size", F.length("line")).select(
+        "one", "two", "first", "rest", "shorter", deleted_half().alias("cut"))
+    cut = scratch.write(
+        members.select("one", "two", "first", "shorter", F.explode(pieces()).alias("x")).select(
+            "one", "two", "first", "shorter", "x.rest", "x.cut"), "cut")
+    fine = among(cut, scratch.write(met(cut, "rest"), "fine"), "rest")
+    spread = scratch.write(
+        fine.select("one", "two", "first", "cut", F.explode(variants()).alias("variant")), "spread")
     groups = scratch.write(
-        spread.groupBy("variant").agg(F.min(F.struct("first", "one", "two", "cut")).alias("earliest"),
-                                      F.max("first").alias("last")).where("earliest.first <> last")
-        .select("variant", "earliest"), "groups")
-    near = spread.join(groups, "variant").where("first > earliest.first").where(
-        F.levenshtein("cut", F.col("earliest.cut"), 1) >= 0)
-    return scratch.write(near.groupBy("one", "two").agg(F.min("earliest.first").alias("earliest")), "near")
+        spread.groupBy("variant").agg(F.min("first").alias("earliest"), F.max("first").alias("last"))
+        .where("earliest < last").select("variant", "earliest"), "groups")
+    near = spread.join(groups, "variant")
+    own = spread.select("variant", F.col("first").alias("earliest"), F.col("cut").alias("other"))
+    near = near.where("first > earliest").join(own, ["variant", "earliest"]).where(F.levenshtein("cut", "other", 1) >= 0)
+    return scratch.write(near.groupBy("one", "two").agg(F.min("earliest").alias("earliest")), "near")
 
 
 def line_decisions(docs: DataFrame, least: int = 16) -> DataFrame:
@@ -95,32 +150,29 @@ def line_decisions(docs: DataFrame, least: int = 16) -> DataFrame:
 
     A line is dropped if an earlier line is equal, or, for lines of ``least`` characters or more, within one
     character inserted, deleted or changed; whether that one is kept itself makes no difference. Earlier is the
-    smaller (doc_id, version, line_no), a null doc_id first; version is a hash of the whole text. Rows that repeat
-    doc_id and text are one document and get one result each. Lines of white space are always kept. Lines end at a
-    line feed; an empty text is one empty line, a null text has none, an empty table gives no row; other columns are
-    left out. Whole texts are read.
+    smaller (doc_id, line_no), a null doc_id first. Rows that share a doc_id are one document: lines equal at the
+    same place of two of them are both kept or both dropped; version, a hash of the whole text, tells them apart.
+    Lines of white space are always kept. Lines end at a line feed; an empty text is one empty line, a null text has
+    none, an empty table gives no row; other columns are left out. Whole texts are read.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(texts_of(docs))
-    solid = lines.where(F.col("line").rlike(SOLID))
-    place = F.struct("doc_id", "version", "line_no")
+    docs = texts_of(docs)
+    solid = F.col("line").rlike(SOLID)
+    sized = lines_of(docs).withColumn("size", F.length("line"))
     every = scratch.write(
-        lines.select("doc_id", "version", "line_no",
-                     F.when(F.col("line").rlike(SOLID), F.xxhash64("line")).alias("one"),
-                     F.xxhash64("line", F.lit(1)).alias("two")), "every")
-    firsts = scratch.write(
-        every.where("one is not null").groupBy("one", "two").agg(F.min(place).alias("first")), "firsts")
-    near = near_lines(scratch, solid, firsts, least)
-    stands = scratch.write(firsts.join(near, ["one", "two"], "left"), "stands")
-    judged = every.where("one is not null").join(stands, ["one", "two"]).select(
-        "doc_id", "version", "line_no",
-        F.coalesce("earliest", "first").alias("earliest"), "first")
-    # compared field by field, so that null doc_ids are equal
-    alone = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (
-        F.col("line_no") == F.col("first.line_no")) & F.col("earliest").eqNullSafe(F.col("first"))
+        sized.select("doc_id", "version", "line_no", "size", place().alias("at"),
+                     F.when(solid, F.xxhash64("line")).alias("one"), F.xxhash64("line", F.lit(1)).alias("two"),
+                     F.when(F.col("size") >= least, halves()).alias("halves")), "every")
+    lines = every.where("one is not null")
+    firsts = scratch.write(lines.groupBy("one", "two").agg(F.min("at").alias("first")), "firsts")
+    near = near_lines(scratch, docs, lines, firsts, least)
+    stands = scratch.write(
+        firsts.join(near, ["one", "two"], "left").select(
+            "one", "two", "first", F.coalesce("earliest", "first").alias("earliest")), "stands")
+    judged = lines.join(stands, ["one", "two"])
     return judged.select(
-        "doc_id", "version", "line_no", alone.alias("kept"),
-        F.col("earliest.doc_id").alias("earliest_doc_id"), F.col("earliest.line_no").alias("earliest_line_no")
+        "doc_id", "version", "line_no", ((F.col("at") == F.col("first")) & (F.col("at") == F.col("earliest"))).alias("kept"),
+        doc_of("earliest").alias("earliest_doc_id"), line_of("earliest").alias("earliest_line_no")
     ).unionByName(every.where("one is null").select(
         "doc_id", "version", "line_no", F.lit(True).alias("kept"), F.col("doc_id").alias("earliest_doc_id"),
         F.col("line_no").alias("earliest_line_no")))
