@@ -243,28 +243,29 @@ def small_enough(df: DataFrame) -> DataFrame:
 
 
 def compared_whole(scratch: Scratch, tiles: DataFrame, stars: DataFrame, tied: DataFrame, roots: DataFrame,
-                   arrays: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs still to be checked: of tiles whose sets aren't all in one component yet, those that the bitmaps allow.
+                   arrays: DataFrame, measure: Measure, nearest: bool, turn: str) -> DataFrame:
+    """Pairs of sets that may link: of tiles whose sets aren't all in one component yet, those that the bitmaps allow.
 
-    ``stars`` (a, b) are the pairs checked so far, ``tied`` (key, a, b) those between tasks with their tiles.
+    ``stars`` (a, b) are the pairs of members and hubs, ``tied`` (key, a, b) those between tasks with their tiles.
+    With ``nearest`` only the nearest set of another component is given for each set of a block.
     """
     root_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     root_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = scratch.write(
         stars.join(root_a, "a", "left").join(root_b, "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "apart")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), f"apart_{turn}")
     within = tiles.where("c is not null").select(F.col("a").alias("key"), F.greatest("b", "c").alias("a"),
                                                  F.least("b", "c").alias("b"))
     keys = scratch.write(within.unionByName(tied).join(small_enough(apart), ["a", "b"], "left_semi")
-                         .select("key").distinct(), "split_keys")
+                         .select("key").distinct(), f"split_keys_{turn}")
     members = tiles.select(F.col("a").alias("key"), F.col("b").alias("set")).join(
         small_enough(keys), "key", "left_semi").distinct()
     members = scratch.write(
         members.join(roots.withColumnRenamed("node", "set"), "set", "left")
         .join(arrays.select("set", "size", "bits"), "set")
-        .select("key", "set", F.coalesce("root", "set").alias("root"), "size", "bits"), "members")
+        .select("key", "set", F.coalesce("root", "set").alias("root"), "size", "bits"), f"members_{turn}")
     blocks = scratch.write(members.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 2").select(
-        "key", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "blocks")
+        "key", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), f"blocks_{turn}")
     # block i meets blocks i, i+1, ...: each set goes once to every block and is held against those of that block
     placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -282,14 +283,16 @@ def compared_whole(scratch: Scratch, tiles: DataFrame, stars: DataFrame, tied: D
             both = size[two] + size[k]
             fits = (root[two] != root[k]) & (differ.astype(np.int64) <= both * (measure.den - measure.num)
                                             // (measure.den + measure.num))
-            hits = name[two[fits & ((name[two] < name[k]) | (i != j))]]
+            hits = np.flatnonzero(fits & ((name[two] < name[k]) | (i != j)))
+            if nearest and len(hits):
+                hits = hits[differ[hits].argmin()][None]
+            hits = name[two[hits]]
             out_a.append(np.maximum(hits, name[k]))
             out_b.append(np.minimum(hits, name[k]))
         return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64),
                          "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64)})
 
-    found = placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
-    return found.join(apart, ["a", "b"], "left_anti")
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -322,11 +325,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     arrays = scratch.write(arrays_of(docs, wanted, measure), "arrays")
     links = scratch.write(linked(stars, arrays, measure), "links")
     roots = scratch.write(components(scratch, links, "first"), "first_roots")
-    more = scratch.write(compared_whole(scratch, tiles, stars, tied, roots, arrays, measure), "more")
-    later = scratch.write(linked(more, arrays, measure), "later")
-    scratch.drop("arrays", "members")
-    if later.limit(1).count():
-        roots = scratch.write(components(scratch, links.unionByName(later), "second"), "second_roots")
+    checked = stars
+    # sets that don't link with their hub find their nearest neighbour in another component first, which joins most
+    # of what belongs together; the last turn takes all pairs that are left, so that no link is missed
+    for turn in ("near", "nearer", "all"):
+        pairs = scratch.write(compared_whole(
+            scratch, tiles, stars, tied, roots, arrays, measure, turn != "all", turn), f"pairs_{turn}")
+        if not pairs.limit(1).count():
+            break
+        fresh = scratch.write(pairs.join(checked, ["a", "b"], "left_anti"), f"fresh_{turn}")
+        checked = checked.unionByName(fresh)
+        later = scratch.write(linked(fresh, arrays, measure), f"later_{turn}")
+        scratch.drop(f"members_{turn}")
+        if later.limit(1).count():
+            links = links.unionByName(later)
+            roots = scratch.write(components(scratch, links, turn), f"roots_{turn}")
+    scratch.drop("arrays")
     full = rows.where("set is not null").join(roots.withColumnRenamed("node", "set"), "set", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "set").alias("root"))
     full = scratch.write(full, "full")
