@@ -1,6 +1,6 @@
 """Per-lap and per-session numbers. Grouped aggregates combine before they shuffle."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapline import fixed_values as fixed
@@ -51,7 +51,7 @@ def multi_lap_summary(samples: DataFrame, session_id: str | None = None) -> Data
 
 
 def sessions(samples: DataFrame) -> DataFrame:
-    """All sessions with live samples, newest first."""
+    """All sessions with live samples."""
     return samples.where(C.is_live()).groupBy(
         "session_id", "car", "track", "session_type"
     ).agg(
@@ -59,14 +59,18 @@ def sessions(samples: DataFrame) -> DataFrame:
         F.min("timestamp_wall").alias("session_start"),
         F.max("timestamp_wall").alias("session_end"),
         F.avg("speed_kmh").alias("avg_speed"),
-    ).orderBy(F.desc("session_start"), "session_id")
+    )
+
+
+def newest_sessions(samples: DataFrame, n: int) -> DataFrame:
+    return head(sessions(samples), n, F.desc("session_start"), F.col("session_id"))
 
 
 def available_laps(samples: DataFrame, session_id: str | None = None) -> DataFrame:
     laps = _live_laps(samples)
     if session_id is not None:
         laps = laps.where(F.col("session_id") == session_id)
-    return laps.select(*LAP).distinct().orderBy(*LAP)
+    return laps.select(*LAP).distinct()
 
 
 def other_laps(laps: DataFrame, selected: int) -> DataFrame:
@@ -91,7 +95,7 @@ def lap_summary_listing(summary: DataFrame, session_id: str | None = None) -> Da
     return summary.orderBy(*LAP)
 
 
-def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+def head(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of a stated order."""
     return df.orderBy(*order).limit(n)
 

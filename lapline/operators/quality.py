@@ -1,14 +1,13 @@
 """Data-quality checks: one row per check and session, from grouped aggregates."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapline import fixed_values as fixed
 from lapline import schemas
 from lapline.functions import columns as C
-from lapline.operators.ordered import (
-    ROWS_PER_SLICE, Slices, first_of_each, numbered, time_order,
-)
+from lapline.operators.ordered import ROWS_PER_SLICE, first_of_each, numbered, time_order
+from lapline.operators.sessions import SESSION
 
 KEY = ["session_id"]
 
@@ -17,8 +16,8 @@ def _verdict(ok: Column, otherwise: str) -> Column:
     return F.when(ok, F.lit("ok")).otherwise(F.lit(otherwise))
 
 
-def _rows(wide: DataFrame, structs: list[Column]) -> DataFrame:
-    return wide.select(*KEY, F.explode(F.array(*structs)).alias("_r")).select(*KEY, "_r.*")
+def _rows(wide: DataFrame, structs: list[Column], keys: list[str] = KEY) -> DataFrame:
+    return wide.select(*keys, F.explode(F.array(*structs)).alias("_r")).select(*keys, "_r.*")
 
 
 def column_checks(samples: DataFrame, expected=schemas.SAMPLE) -> DataFrame:
@@ -92,22 +91,17 @@ def range_checks(samples: DataFrame, bounds: dict = fixed.FIELD_BOUNDS,
     return _rows(samples.groupBy(*KEY).agg(*measures), rows)
 
 
-def sampled_range_checks(samples: DataFrame) -> DataFrame:
-    return range_checks(slice_sample(samples))
+def strict_range_checks(samples: DataFrame) -> DataFrame:
+    """The strict bounds; one outlier fails."""
+    return range_checks(samples, fixed.HEAD_BOUNDS, tolerated=0.0)
 
 
-def head_range_checks(samples: DataFrame, n: int = 1000) -> DataFrame:
-    """The strict bounds on the first rows; one outlier fails."""
-    return range_checks(first_rows(samples, n), fixed.HEAD_BOUNDS, tolerated=0.0)
-
-
-def required_checks(samples: DataFrame, n: int = 100) -> DataFrame:
-    """Empty required fields in the first rows."""
-    rows = first_rows(samples, n)
+def required_checks(samples: DataFrame) -> DataFrame:
+    """Empty required fields."""
     empty = {
         f: F.count_if(F.col(f).isNull() | (F.col(f).cast("string") == "")) for f in fixed.REQUIRED_FIELDS
     }
-    wide = rows.groupBy(*KEY).agg(*[c.alias(f) for f, c in empty.items()])
+    wide = samples.groupBy(*KEY).agg(*[c.alias(f) for f, c in empty.items()])
     return _rows(wide, [
         F.struct(F.lit(f).alias("field"), F.col(f).alias("empty"),
                  _verdict(F.col(f) == 0, "fail").alias("verdict")) for f in empty
@@ -115,18 +109,16 @@ def required_checks(samples: DataFrame, n: int = 100) -> DataFrame:
 
 
 def lap_checks(laps: DataFrame) -> DataFrame:
-    """Checks over lap completions, one row per session and check.
+    """Checks over lap completions in time order, one row per session and check.
 
     ``value`` is the number of laps that break the rule; for fuel it is the mean burn.
     """
-    order = ["lap_number", "timestamp"]
-    slices = Slices.of_numbers(laps, KEY, order)
-    looked = slices.look_back(_p=slices.previous("lap_number", "fuel_remaining", "timestamp")).result
+    along = Window.partitionBy(*SESSION).orderBy("timestamp", "lap_number")
+    looked = laps.withColumn("_p", F.lag(F.struct("lap_number", "fuel_remaining")).over(along))
     first = F.col("_p").isNull()
     seconds = F.col("lap_time_ms") / F.lit(1000.0)
     in_turn = F.when(first, F.col("lap_number") == 1).otherwise(
-        (F.col("lap_number") == F.col("_p.lap_number") + 1)
-        & (F.col("timestamp") >= F.col("_p.timestamp"))
+        F.col("lap_number") == F.col("_p.lap_number") + 1
     )
     burn = F.col("_p.fuel_remaining") - F.col("fuel_remaining")
     measures = {
@@ -142,7 +134,7 @@ def lap_checks(laps: DataFrame) -> DataFrame:
         off = F.abs(F.col("sector_1_ms") + F.col("sector_2_ms") + F.col("sector_3_ms")
                     - F.col("lap_time_ms"))
         measures["sectors_off"] = F.count_if(off > 100)
-    wide = looked.groupBy(*KEY).agg(*[m.alias(k) for k, m in measures.items()])
+    wide = looked.groupBy(*SESSION).agg(*[m.alias(k) for k, m in measures.items()])
 
     def check(name, verdict, value):
         return F.struct(F.lit(name).alias("check"), verdict.alias("verdict"),
@@ -159,26 +151,29 @@ def lap_checks(laps: DataFrame) -> DataFrame:
     ]
     if "sectors_off" in measures:
         rows.append(check("sectors_add_up", _verdict(none("sectors_off"), "fail"), "sectors_off"))
-    return _rows(wide, rows)
+    return _rows(wide, rows, SESSION)
 
 
 def event_checks(events: DataFrame) -> DataFrame:
-    """Starts, ends and ends that tell laps; no start fails, no end warns."""
+    """Starts, ends and ends that tell laps.
+
+    No start fails; no end, more than one of either, or an end without laps warns.
+    """
     kind = F.col("event_type")
-    return events.groupBy(*KEY).agg(
+    return events.groupBy(*SESSION).agg(
         F.count_if(kind == "session_start").alias("starts"),
         F.count_if(kind == "session_end").alias("ends"),
         F.count_if((kind == "session_end") & (F.col("total_laps") > 0)).alias("ends_with_laps"),
     ).withColumn(
-        "verdict", F.when(F.col("starts") == 0, "fail").when(F.col("ends") == 0, "warn").otherwise("ok")
+        "verdict", F.when(F.col("starts") == 0, "fail").when(
+            (F.col("starts") > 1) | (F.col("ends") != 1) | (F.col("ends_with_laps") == 0), "warn").otherwise("ok")
     ).withColumn("one_of_each", (F.col("starts") == 1) & (F.col("ends") == 1))
 
 
-def brake_bias_checks(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Scale of the brake bias, without the first 100 rows and without zeros."""
-    rows = numbered(samples, KEY, time_order(samples), "_row", rows_per_slice).result
+def brake_bias_checks(samples: DataFrame) -> DataFrame:
+    """Scale of the brake bias, without zeros."""
     bias = F.col("brake_bias").cast("double")
-    used = rows.where((F.col("_row") > 100) & (bias > 0)).groupBy(*KEY).agg(
+    used = samples.where(bias > 0).groupBy(*KEY).agg(
         F.min(bias).alias("bias_min"), F.max(bias).alias("bias_max"), F.avg(bias).alias("bias_avg")
     )
     mean = F.col("bias_avg")
@@ -196,7 +191,7 @@ def lap_report(laps: DataFrame) -> DataFrame:
         return F.coalesce(*both, F.lit(0.0)).alias(w)
 
     return laps.select(
-        *KEY, "lap_number", C.lap_time_label(F.col("lap_time_ms")).alias("time"),
+        *SESSION, "lap_number", C.lap_time_label(F.col("lap_time_ms")).alias("time"),
         F.coalesce("is_valid", F.lit(True)).alias("is_valid"),
         F.coalesce("fuel_remaining", F.lit(0.0)).alias("fuel"),
         *[temperature(w) for w in fixed.WHEELS],
@@ -209,7 +204,7 @@ def setup_report(snapshots: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c).cast("string"), F.lit("?"))
 
     return snapshots.select(
-        *KEY, "lap_applied_from",
+        *SESSION, "lap_applied_from",
         F.format_string(
             "Lap %s: TC=%s TCCut=%s ABS=%s BB=%s Map=%s",
             *[text(c) for c in ("lap_applied_from", "tc_level", "tc_cut", "abs_level",
@@ -219,14 +214,16 @@ def setup_report(snapshots: DataFrame) -> DataFrame:
 
 
 def validation_summary(samples: DataFrame, events: DataFrame, laps: DataFrame) -> DataFrame:
-    """All checks of all sessions as (session, area, check, verdict)."""
+    """All checks as (stream, session, area, check, verdict); those over whole streams have no session number."""
     def area(df, name, check):
-        return df.select(*KEY, F.lit(name).alias("area"), check.alias("check"), "verdict")
+        number = F.col("session_no") if "session_no" in df.columns else F.lit(None)
+        return df.select(*KEY, number.cast("long").alias("session_no"), F.lit(name).alias("area"),
+                         check.alias("check"), "verdict")
 
     return (
         area(event_checks(events), "events", F.lit("start_and_end"))
         .unionByName(area(lap_checks(laps), "laps", F.col("check")))
-        .unionByName(area(sampled_range_checks(samples), "fields", F.col("field")))
+        .unionByName(area(range_checks(samples), "fields", F.col("field")))
         .unionByName(area(brake_bias_checks(samples), "brake_bias", F.lit("scale")))
     )
 
@@ -235,7 +232,7 @@ def session_facts(events: DataFrame) -> DataFrame:
     """Track, car, type from the latest start, laps and best lap from the latest end."""
     started = F.when(F.col("event_type") == "session_start", F.col("timestamp"))
     ended = F.when(F.col("event_type") == "session_end", F.col("timestamp"))
-    return events.groupBy(*KEY).agg(
+    return events.groupBy(*SESSION).agg(
         *[F.max_by(c, started).alias(c) for c in ("track", "car", "session_type")],
         *[F.max_by(c, ended).alias(c) for c in ("total_laps", "best_lap_ms")],
     ).withColumn("best_lap", C.lap_time_label(F.col("best_lap_ms")))

@@ -6,34 +6,22 @@ last of live/off/pause seen, and that one look back answers everything: whether
 live sample opens a session, and which live sample of the same session it follows.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapline import fixed_values as fixed
 from lapline.functions import columns as C
-from lapline.operators.ordered import ROWS_PER_SLICE, Slices, order_key, time_order
+from lapline.operators.ordered import ROWS_PER_SLICE, SLICE, Slices, order_key, time_order
 
 KEY = ["session_id"]
-
-
-def _slices(samples: DataFrame, rows_per_slice: int) -> Slices:
-    return Slices(samples, KEY, time_order(samples), rows_per_slice)
+#: A session: its stream and its number there.
+SESSION = ["session_id", "session_no"]
 
 
 def _changes_state() -> Column:
     return F.col("status").isin("live", "off", "pause")
 
 
-def _with_state(samples: DataFrame, rows_per_slice: int, extra: tuple = (), any_row: tuple = ()):
-    """Adds ``_before`` (last live/off/pause row), and ``_prev`` (last row of any status)."""
-    slices = _slices(samples, rows_per_slice)
-    known = F.when(_changes_state(), F.struct("status", *extra))
-    looks = {"_before": slices.last_known(known)}
-    if any_row:
-        looks["_prev"] = slices.previous(*any_row)
-    return slices.look_back(**looks)
-
-
 def _was_live() -> Column:
     return F.coalesce(F.col("_before.status") == "live", F.lit(False))
 
@@ -46,17 +34,99 @@ def _member() -> Column:
     return F.when(_changes_state(), C.is_live()).otherwise(_was_live())
 
 
+def _lap_ends(previous: Column) -> Column:
+    return F.coalesce((F.col("completed_laps") > previous) & (previous >= 0), F.lit(False))
+
+
+def _inside_slices(rows: DataFrame, slices: Slices, extra: tuple, any_row: tuple) -> DataFrame:
+    """What a row knows of the rows before it in its slice, and counts for either state.
+
+    ``_opens_live`` and ``_opens_else`` count openings up to the row if a session was live
+    before the slice, or was not; ``_cuts_*`` count cuts between laps, except at the first row.
+    """
+    window = slices._window
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(_changes_state(), F.struct("status", *extra))
+    looked = rows.withColumns({
+        "_in": F.last(known, ignorenulls=True).over(before),
+        "_lag": F.lag(F.struct("completed_laps", *any_row)).over(window),
+    })
+    live = F.coalesce(C.is_live(), F.lit(False))
+    counts = {}
+    for state, given in (("live", True), ("else", False)):
+        was = F.coalesce(F.col("_in.status") == "live", F.lit(given))
+        opens = live & ~was
+        member = F.when(_changes_state(), live).otherwise(was)
+        cuts = opens | (member & _lap_ends(F.col("_lag.completed_laps")))
+        counts[f"_opens_{state}"] = F.sum(opens.cast("long")).over(upto)
+        counts[f"_cuts_{state}"] = F.sum(cuts.cast("long")).over(upto)
+    return looked.withColumns(counts)
+
+
+def _handed_on(slices: Slices, extra: tuple, any_row: tuple) -> DataFrame:
+    """One row per slice of a cut key: what the slices before it hand on.
+
+    A slice's counts are chosen by the state that reaches it, so one look is enough.
+    """
+    told = list(dict.fromkeys(("status", "completed_laps", *extra, *any_row)))
+    cut = slices.rows.where("_is_cut").select(*slices.keys, SLICE, *slices.order, *told)
+    known = F.when(_changes_state(), F.struct(*slices.order))
+    place = F.struct(*slices.order)
+    tails = _inside_slices(cut, slices, extra, any_row).groupBy(*slices.keys, SLICE).agg(
+        F.max_by(F.struct("status", *extra), known).alias("known"),
+        F.max_by(F.struct("completed_laps", *any_row), place).alias("last"),
+        F.min_by(F.struct("status", "completed_laps"), place).alias("first"),
+        *[F.max(c).alias(c) for c in ("_opens_live", "_opens_else", "_cuts_live", "_cuts_else")],
+    )
+    along = Window.partitionBy(*slices.keys).orderBy(SLICE)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    reached = tails.select(
+        "*", F.last("known", ignorenulls=True).over(earlier).alias("_known_in"),
+        F.lag("last").over(along).alias("_last_in"),
+    ).withColumn("_live_in", F.coalesce(F.col("_known_in.status") == "live", F.lit(False)))
+    chosen = lambda kind: F.when(F.col("_live_in"), F.col(f"_{kind}_live")).otherwise(F.col(f"_{kind}_else"))
+    status, count = F.col("first.status"), F.col("_last_in.completed_laps")
+    first_cuts = F.col("_live_in") & ~F.coalesce(status.isin("off", "pause"), F.lit(False)) & F.coalesce(
+        (F.col("first.completed_laps") > count) & (count >= 0), F.lit(False))
+    counted = reached.withColumns({"_first_cut": first_cuts.cast("long"), "_opened": chosen("opens")}).withColumn(
+        "_cut", chosen("cuts") + F.col("_first_cut"))
+    return counted.select(
+        *slices.keys, SLICE, "_known_in", "_last_in", "_live_in",
+        F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_opened_in"),
+        (F.coalesce(F.sum("_cut").over(earlier), F.lit(0)) + F.col("_first_cut")).alias("_cut_in"),
+    )
+
+
+def _with_state(samples: DataFrame, rows_per_slice: int, extra: tuple = (), any_row: tuple = ()) -> DataFrame:
+    """Adds ``_before`` (last live/off/pause row), ``_prev`` (last row of any status), and the numbers of sessions
+    and of segments begun up to the row. One exchange of the rows; keys that are cut give their few columns once
+    more."""
+    slices = Slices(samples, KEY, time_order(samples), rows_per_slice)
+    inside = _inside_slices(slices.rows, slices, extra, any_row)
+    # one row per cut, see Slices
+    joined = inside.join(F.broadcast(_handed_on(slices, extra, any_row)), [*KEY, SLICE], "left")
+    live = F.coalesce("_live_in", F.lit(False))
+
+    def number(kind: str, carried: str) -> Column:
+        return F.when(live, F.col(f"_{kind}_live")).otherwise(F.col(f"_{kind}_else")) + F.coalesce(
+            carried, F.lit(0).cast("long"))
+
+    numbered = joined.withColumns({
+        "_before": F.coalesce("_in", "_known_in"), "_prev": F.coalesce("_lag", "_last_in"),
+        "session_no": number("opens", "_opened_in"), "segment_no": number("cuts", "_cut_in"),
+    })
+    return Slices.done(numbered).drop(
+        "_in", "_lag", "_known_in", "_last_in", "_live_in", "_opened_in", "_cut_in",
+        "_opens_live", "_opens_else", "_cuts_live", "_cuts_else")
+
+
 def sessionize(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Samples inside a session, numbered from 1 within their stream.
 
     The sample that opens a session belongs to it, the one that closes it does not.
     """
-    state = _with_state(samples, rows_per_slice)
-    state = state.replace(
-        state.rows.withColumns({"_opens": _opens().cast("int"), "_member": _member()})
-    )
-    counted = state.look_back(session_no=state.running_sum(F.col("_opens"))).result
-    return counted.where("_member").drop("_opens", "_member", "_before")
+    return _with_state(samples, rows_per_slice).where(_member()).drop("_before", "_prev", "segment_no")
 
 
 def session_events(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE,
@@ -65,24 +135,19 @@ def session_events(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE,
 
     An end row takes laps, best lap, car, track and type from the sample before it.
     """
-    told = ("track", "car", "session_type", "completed_laps", "best_lap_time_ms")
-    state = _with_state(samples, rows_per_slice, any_row=told)
+    state = _with_state(samples, rows_per_slice, any_row=("track", "car", "session_type", "best_lap_time_ms"))
     opens, closes = _opens(), F.col("status").isin("off", "pause") & _was_live()
-    marked = state.rows.withColumn(
+    marked = state.withColumn(
         "event_type", F.when(opens, "session_start").when(closes, "session_end")
-    )
-    slices = state.replace(marked)
-    numbered = slices.look_back(
-        session_no=slices.running_sum((F.col("event_type") == "session_start").cast("int"))
-    ).result.where(F.col("event_type").isNotNull())
+    ).where(F.col("event_type").isNotNull())
     ended = F.col("event_type") == "session_end"
 
     def from_sample(name):
         return F.when(ended, F.col(f"_prev.{name}")).otherwise(F.col(name)).alias(name)
 
-    return numbered.select(
-        "event_type", *KEY, F.col("session_no").cast("long").alias("session_no"),
-        F.lit(platform).alias("platform"), *[from_sample(c) for c in told[:3]],
+    return marked.select(
+        "event_type", *SESSION, F.lit(platform).alias("platform"),
+        *[from_sample(c) for c in ("track", "car", "session_type")],
         F.col("timestamp_wall").alias("timestamp"),
         F.when(ended, F.col("_prev.completed_laps")).alias("total_laps"),
         F.when(ended, F.col("_prev.best_lap_time_ms")).alias("best_lap_ms"),
@@ -91,11 +156,11 @@ def session_events(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE,
 
 def lap_completions(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """A row where the lap count of a live sample exceeds that of the live sample before it."""
-    state = _with_state(samples, rows_per_slice, extra=("completed_laps",)).result
+    state = _with_state(samples, rows_per_slice, extra=("completed_laps",))
     before = F.col("_before.completed_laps")
     crossed = C.is_live() & _was_live() & (F.col("completed_laps") > before) & (before >= 0)
     return state.where(crossed).select(
-        *KEY, F.col("completed_laps").alias("lap_number"),
+        *SESSION, F.col("completed_laps").alias("lap_number"),
         F.col("last_lap_time_ms").alias("lap_time_ms"), "last_sector_time_ms",
         F.col("is_valid_lap").alias("is_valid"), "fuel_remaining",
         *C.wheel_columns("tyre_temp"), *C.wheel_columns("tyre_pressure"),
@@ -113,7 +178,7 @@ def _changed(parameter: str) -> Column:
 
 
 def _setup_rows(samples: DataFrame, rows_per_slice: int) -> DataFrame:
-    state = _with_state(samples, rows_per_slice, extra=fixed.SETUP_PARAMETERS).result
+    state = _with_state(samples, rows_per_slice, extra=fixed.SETUP_PARAMETERS)
     changes = F.array_compact(F.array(*[
         F.when(_was_live() & _changed(p), F.struct(
             F.lit(p).alias("parameter"),
@@ -131,9 +196,9 @@ def setup_changes(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> D
     slow drift is never reported.
     """
     return _setup_rows(samples, rows_per_slice).select(
-        *KEY, F.explode("_changes").alias("_c"),
+        *SESSION, F.explode("_changes").alias("_c"),
         F.col("completed_laps").alias("lap_number"), F.col("timestamp_wall").alias("timestamp"),
-    ).select(*KEY, "_c.*", "lap_number", "timestamp")
+    ).select(*SESSION, "_c.*", "lap_number", "timestamp")
 
 
 def setup_snapshots(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE,
@@ -146,24 +211,30 @@ def setup_snapshots(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE,
     number = F.size("_changes")
     copies = F.when(_was_live(), F.least(number, F.lit(1)) if distinct else number).otherwise(1)
     return _setup_rows(samples, rows_per_slice).withColumn("_n", copies).where("_n > 0").select(
-        *KEY, "car", "track", F.col("timestamp_wall").alias("timestamp"),
+        *SESSION, "car", "track", F.col("timestamp_wall").alias("timestamp"),
         at.alias("lap_applied_from"), *fixed.SETUP_PARAMETERS,
         F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"),
     ).drop("_copy")
 
 
+def laps_driven(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The lap counts that the live samples of each session have."""
+    return sessionize(samples, rows_per_slice).where(C.is_live()).select(*SESSION, "completed_laps").distinct()
+
+
 def setup_on_laps(laps: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each lap with the latest setup applied on or before it; an as-of look, not a join."""
-    latest = snapshots.groupBy(*KEY, F.col("lap_applied_from").alias("lap")).agg(
+    """Each lap with the latest setup of its session applied on or before it.
+
+    An as-of look over the laps and setups of one session, not a join.
+    """
+    latest = snapshots.groupBy(*SESSION, F.col("lap_applied_from").alias("lap")).agg(
         F.max_by(F.struct("lap_applied_from", *fixed.SETUP_PARAMETERS), "timestamp").alias("setup")
     ).withColumn("is_lap", F.lit(0))
-    asked = laps.select(*KEY, F.col("completed_laps").alias("lap"), F.lit(1).alias("is_lap"))
-    both = latest.unionByName(asked, allowMissingColumns=True)
-    slices = Slices.of_numbers(both, KEY, ["lap", "is_lap"])
-    known = slices.look_back(active=slices.last_known(F.col("setup"))).result
-    return known.where("is_lap = 1").select(
-        *KEY, F.col("lap").alias("completed_laps"), "active.*"
-    )
+    asked = laps.select(*SESSION, F.col("completed_laps").alias("lap"), F.lit(1).alias("is_lap"))
+    upto = Window.partitionBy(*SESSION).orderBy("lap", "is_lap").rowsBetween(Window.unboundedPreceding, 0)
+    known = latest.unionByName(asked, allowMissingColumns=True).withColumn(
+        "active", F.last("setup", ignorenulls=True).over(upto))
+    return known.where("is_lap = 1").select(*SESSION, F.col("lap").alias("completed_laps"), "active.*")
 
 
 def drop_repeated_packets(samples: DataFrame, packet: str = "packet_id",
@@ -210,23 +281,13 @@ def lap_segments(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
     before, pit samples included; the numbers are over samples outside the pit. It
     carries the count of its last sample.
     """
-    state = _with_state(samples, rows_per_slice, any_row=("completed_laps",))
-    before = F.col("_prev.completed_laps")
-    cut = ~F.col("_opens") & (F.col("completed_laps") > before) & (before >= 0)
-    marked = state.rows.withColumns({"_opens": _opens(), "_member": _member()}).withColumn(
-        "_cuts", F.col("_opens") | (F.col("_member") & F.coalesce(cut, F.lit(False)))
-    )
-    slices = state.replace(marked)
-    counted = slices.look_back(
-        session_no=slices.running_sum(F.col("_opens").cast("int")),
-        segment_no=slices.running_sum(F.col("_cuts").cast("int")),
-    ).result.where("_member")
+    counted = _with_state(samples, rows_per_slice).where(_member())
     driven = ~F.coalesce(F.col("is_in_pit"), F.lit(False))
 
     def of(how, column):
         return how(F.when(driven, F.col(column)))
 
-    return counted.groupBy(*KEY, "session_no", "segment_no").agg(
+    return counted.groupBy(*SESSION, "segment_no").agg(
         F.max_by("completed_laps", order_key(samples)).alias("lap_number"),
         F.count_if(driven).alias("samples"),
         of(F.max, "speed_kmh").alias("max_speed"), of(F.avg, "speed_kmh").alias("avg_speed"),

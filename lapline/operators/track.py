@@ -5,55 +5,50 @@ from pyspark.sql import functions as F
 
 from lapline.operators.laps import LAP
 from lapline.operators.ordered import order_key
-from lapline.operators.sizing import small_side
+from lapline.operators.sessions import SESSION
 
 CELL_M = 100
-NAMED_TRACKS = 1000
+#: Parts of a (track, cell): samples are dealt to them by lap, zones are in all of them.
+PARTS = 16
 DISTANCE = "distance_into_lap"
 
 
 def resolve_tracks(df: DataFrame, tracks: DataFrame) -> DataFrame:
     """Adds ``track_id``: the first known track whose name or id is part of ``track``.
 
-    ``tracks`` has track_id, track_name and ``file`` for the order. A list of at most
-    a thousand becomes one CASE expression: no join, no shuffle. A longer one is
-    matched against the distinct names in ``df`` alone.
+    ``tracks`` has track_id, track_name and ``file`` for the order. The list is one value
+    of the plan (a scalar subquery), so samples are neither joined nor shuffled. A name or
+    id that is NULL or empty is part of no text.
     """
-    known = tracks.select("file", "track_id", "track_name").distinct()
-    listed = known.limit(NAMED_TRACKS + 1).collect()
+    listed = tracks.select("file", "track_id", F.lower("track_name").alias("name")).distinct().agg(
+        F.array_sort(F.collect_list(F.struct("file", "track_id", "name"))).alias("listed")).scalar()
     here = F.lower(F.col("track"))
-    if len(listed) <= NAMED_TRACKS:
-        matches = [
-            F.when(
-                here.contains((t.track_name or "").lower())
-                | here.contains((t.track_id or "").lower()), F.lit(t.track_id),
-            ) for t in sorted(listed, key=lambda t: (t.file, t.track_id))
-        ]
-        return df.withColumn("track_id", F.coalesce(*matches, F.lit(None).cast("string")))
-    names = df.select("track").distinct()
-    part = here.contains(F.lower("track_name")) | here.contains(F.lower("track_id"))
-    first = names.join(known, part).groupBy("track").agg(
-        F.min(F.struct("file", "track_id")).alias("_m")
-    )
-    return df.join(small_side(first), "track", "left").withColumn(
-        "track_id", F.col("_m.track_id")).drop("_m")
+
+    def part(text: Column) -> Column:
+        return F.coalesce((text != "") & here.contains(text), F.lit(False))
+
+    known = F.filter("_listed", lambda t: part(t["name"]) | part(F.lower(t["track_id"])))
+    return df.withColumn("_listed", listed).withColumn(
+        "track_id", F.try_element_at(known, F.lit(1))["track_id"]).drop("_listed")
 
 
 def join_zones(samples: DataFrame, zones: DataFrame, lo: str, hi: str,
                closed: bool = True) -> DataFrame:
     """Samples with every zone of their track that holds their distance.
 
-    Zones are spread over 100 m cells, so the join is on (track, cell) and compares a
-    sample only with zones near it; without a broadcast it still splits by key.
+    Zones are spread over 100 m cells, so the join compares a sample only with zones near
+    it, and over parts, so that a track whose zones are too many for Spark to broadcast is
+    still dealt over cells x parts.
     """
     d = F.col(DISTANCE)
     cells = zones.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col(lo) / CELL_M), F.floor(F.col(hi) / CELL_M)))
-    )
+    ).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     inside = (d >= F.col(lo)) & ((d <= F.col(hi)) if closed else (d < F.col(hi)))
-    return samples.withColumn("_cell", F.floor(d / CELL_M)).join(
-        small_side(cells), ["track_id", "_cell"]
-    ).where(inside).drop("_cell")
+    part = F.pmod(F.xxhash64(*LAP), F.lit(PARTS)).cast("int")
+    return samples.withColumns({"_cell": F.floor(d / CELL_M), "_part": part}).join(
+        cells, ["track_id", "_cell", "_part"]
+    ).where(inside).drop("_cell", "_part")
 
 
 def corner_stats(samples: DataFrame, corners: DataFrame, keys=tuple(LAP)) -> DataFrame:
@@ -102,16 +97,18 @@ def sector_times(samples: DataFrame, sectors: DataFrame, keys=tuple(LAP)) -> Dat
 def lap_records(samples: DataFrame, completions: DataFrame, sectors: DataFrame) -> DataFrame:
     """Lap completions with the sector times, fuel used and mean temperatures of their lap.
 
-    A completion carries the new count, so it belongs to the samples of the count before.
+    ``samples`` and ``completions`` have session_no. A completion carries the new count, so
+    it belongs to the samples of the count before.
     """
-    times = sector_times(samples, sectors).drop("lap_time_ms")
-    used = samples.groupBy(*LAP).agg(
+    lap = [*SESSION, "completed_laps"]
+    times = sector_times(samples, sectors, lap).drop("lap_time_ms")
+    used = samples.groupBy(*lap).agg(
         (F.max("fuel_remaining") - F.min("fuel_remaining")).alias("fuel_used"),
         *[F.avg(f"tyre_temp_{w}").alias(f"avg_tyre_temp_{w}") for w in ("fl", "fr", "rl", "rr")],
     )
-    facts = used.join(times, LAP, "left").withColumn(
+    facts = used.join(times, lap, "left").withColumn(
         "lap_number", F.col("completed_laps") + 1).drop("completed_laps")
-    return completions.join(facts, ["session_id", "lap_number"], "left")
+    return completions.join(facts, [*SESSION, "lap_number"], "left")
 
 
 def braking_zones(samples: DataFrame, corners: DataFrame, keys=tuple(LAP),

@@ -158,7 +158,7 @@ _SESSIONS = """SELECT session_id, car, track, session_type, max(completed_laps)
     avg(speed_kmh) AS avg_speed FROM t WHERE status = 'live'
     GROUP BY session_id, car, track, session_type"""
 oracle("session_list", _SESSIONS, "avg_speed")
-oracle("newest_sessions", _SESSIONS + " ORDER BY session_start, session_id LIMIT 10", "avg_speed")
+oracle("newest_sessions", _SESSIONS + " ORDER BY session_start DESC, session_id LIMIT 10", "avg_speed")
 
 _STACKED = ("(" + " + ".join(f"sum(tyre_temp_{w})" for w in fixed.WHEELS) + ") / ("
             + " + ".join(f"count(tyre_temp_{w})" for w in fixed.WHEELS) + ")")
@@ -274,19 +274,19 @@ _EVENTS = """SELECT CASE WHEN opens THEN 'session_start' ELSE 'session_end' END
     CASE WHEN opens THEN session_type ELSE p_session_type END AS session_type,
     timestamp_wall AS "timestamp", CASE WHEN closes THEN p_completed_laps END AS total_laps,
     CASE WHEN closes THEN p_best_lap_time_ms END AS best_lap_ms FROM n WHERE opens OR closes"""
-_COMPLETIONS = f"""SELECT session_id, completed_laps AS lap_number, last_lap_time_ms AS lap_time_ms,
+_COMPLETIONS = f"""SELECT session_id, session_no, completed_laps AS lap_number, last_lap_time_ms AS lap_time_ms,
     last_sector_time_ms, is_valid_lap AS is_valid, fuel_remaining, {", ".join(_TYRES)},
     timestamp_wall AS "timestamp" FROM lv WHERE completed_laps > o_laps AND o_laps >= 0"""
 _CHANGES = " UNION ALL ".join(f"""
-    SELECT session_id, '{p}' AS parameter, CAST(o_{p} AS DOUBLE) AS old_value,
+    SELECT session_id, session_no, '{p}' AS parameter, CAST(o_{p} AS DOUBLE) AS old_value,
            CAST({p} AS DOUBLE) AS new_value, completed_laps AS lap_number,
            timestamp_wall AS "timestamp" FROM lv WHERE {_differs(p)}""" for p in fixed.SETUP_PARAMETERS)
 _PARAMETERS = ", ".join(fixed.SETUP_PARAMETERS)
 _CHANGED = " OR ".join(_differs(p) for p in fixed.SETUP_PARAMETERS)
 
 
-def _snapshots(distinct: bool, more: str = "") -> str:
-    columns = f'session_id, car, track, timestamp_wall AS "timestamp"{more}'
+def _snapshots(distinct: bool) -> str:
+    columns = 'session_id, session_no, car, track, timestamp_wall AS "timestamp"'
     first = f"SELECT {columns}, 0 AS lap_applied_from, {_PARAMETERS} FROM lv WHERE opens"
     if distinct:
         return (f"{first} UNION ALL SELECT {columns}, completed_laps, {_PARAMETERS} FROM lv "
@@ -329,10 +329,11 @@ oracle("without_repeated_packets", """
                  row_number() OVER (PARTITION BY session_id ORDER BY timestamp_wall, gear) AS i
           FROM t) WHERE i = 1 OR o IS DISTINCT FROM gear""")
 oracle("setup_on_laps", f"""
-    SELECT l.session_id, l.completed_laps, s.lap_applied_from, {", ".join(f"s.{p}" for p in fixed.SETUP_PARAMETERS)}
-    FROM (SELECT DISTINCT {_LAP} FROM t WHERE status = 'live') l
-    LEFT JOIN snaps s ON s.session_id = l.session_id AND s.lap_applied_from <= l.completed_laps
-    QUALIFY row_number() OVER (PARTITION BY l.session_id, l.completed_laps
+    SELECT l.session_id, l.session_no, l.completed_laps, s.lap_applied_from, {", ".join(f"s.{p}" for p in fixed.SETUP_PARAMETERS)}
+    FROM (SELECT DISTINCT {_LAP}, session_no FROM lv) l
+    LEFT JOIN snaps s ON s.session_id = l.session_id AND s.session_no = l.session_no
+         AND s.lap_applied_from <= l.completed_laps
+    QUALIFY row_number() OVER (PARTITION BY l.session_id, l.session_no, l.completed_laps
                                ORDER BY s.lap_applied_from DESC, s."timestamp" DESC) = 1""",
        "brake_bias", ctes=f"{_STATES}, snaps AS ({_snapshots(True)})")
 
@@ -401,15 +402,25 @@ _SECTOR_TIMES = f"""SELECT {_LAP}, e1 AS sector_1_ms, e2 - coalesce(e1, 0) AS se
           FROM tt JOIN sectors s ON tt.track_id = s.track_id
                AND distance_into_lap >= lo AND distance_into_lap < hi GROUP BY {_LAP})"""
 oracle("sector_times", _SECTOR_TIMES, ctes=_CORNERS_CTE + _SECTORS_CTE)
+ORACLES["corner_stats_from_files"] = ORACLES["corner_stats"]
+ORACLES["sector_times_from_files"] = ORACLES["sector_times"]
 oracle("lap_records", f"""
-    SELECT l.session_id, l.lap_number, l."timestamp", l.lap_time_ms, sector_1_ms, sector_2_ms,
+    SELECT l.session_id, l.session_no, l.lap_number, l."timestamp", l.lap_time_ms, sector_1_ms, sector_2_ms,
            sector_3_ms, fuel_used, avg_tyre_temp_fl
     FROM ({_COMPLETIONS}) l
-    LEFT JOIN ({_SECTOR_TIMES}) s ON s.session_id = l.session_id AND s.completed_laps = l.lap_number - 1
-    LEFT JOIN (SELECT {_LAP}, max(fuel_remaining) - min(fuel_remaining) AS fuel_used,
-                      avg(tyre_temp_fl) AS avg_tyre_temp_fl FROM tt GROUP BY {_LAP}) f
-         ON f.session_id = l.session_id AND f.completed_laps = l.lap_number - 1""",
-       "fuel_used avg_tyre_temp_fl", ctes=_STATES + _CORNERS_CTE + _SECTORS_CTE)
+    LEFT JOIN (SELECT session_id, session_no, completed_laps, e1 AS sector_1_ms,
+                      e2 - coalesce(e1, 0) AS sector_2_ms, e3 - coalesce(e2, e1, 0) AS sector_3_ms
+               FROM (SELECT session_id, session_no, completed_laps,
+                            {", ".join(f"max(current_lap_time_ms) FILTER (WHERE sector = {i}) AS e{i}" for i in (1, 2, 3))}
+                     FROM ls JOIN sectors z ON ls.track_id = z.track_id
+                          AND distance_into_lap >= lo AND distance_into_lap < hi GROUP BY ALL)) s
+         ON s.session_id = l.session_id AND s.session_no = l.session_no AND s.completed_laps = l.lap_number - 1
+    LEFT JOIN (SELECT session_id, session_no, completed_laps,
+                      max(fuel_remaining) - min(fuel_remaining) AS fuel_used,
+                      avg(tyre_temp_fl) AS avg_tyre_temp_fl FROM ls GROUP BY ALL) f
+         ON f.session_id = l.session_id AND f.session_no = l.session_no AND f.completed_laps = l.lap_number - 1""",
+       "fuel_used avg_tyre_temp_fl", ctes=f"{_STATES}{_CORNERS_CTE}{_SECTORS_CTE}, "
+       f"ls AS (SELECT *, {_TRACK_ID} AS track_id FROM lv)")
 oracle("braking_zones", f"""
     SELECT {_LAP}, corner, min(distance_into_lap) FILTER (WHERE brake > 0.05) AS brake_point_m,
            max(brake) AS peak_brake, arg_min(speed_kmh, distance_into_lap) AS entry_speed,
@@ -505,45 +516,43 @@ def _ranges(source: str, bounds: dict, tolerated: float = 0.05) -> str:
 
 
 oracle("range_checks", _ranges("t", fixed.FIELD_BOUNDS), "vmin vmax")
-oracle("sampled_range_checks", _ranges("sampled", fixed.FIELD_BOUNDS), "vmin vmax", ctes=_SAMPLED_CTE, samples=_BY_TRACK)
-oracle("head_range_checks", _ranges("(SELECT * FROM numbered WHERE i <= 1000)", fixed.HEAD_BOUNDS, 0),
-       "vmin vmax", ctes=_NUMBERED_CTE, samples=_BY_TRACK)
+oracle("track_range_checks", _ranges("t", fixed.FIELD_BOUNDS), "vmin vmax", samples=_BY_TRACK)
+oracle("strict_range_checks", _ranges("t", fixed.HEAD_BOUNDS, 0), "vmin vmax", samples=_BY_TRACK)
 oracle("required_checks", " UNION ALL ".join(f"""
     SELECT session_id, '{f}' AS field, {_count(f"{f} IS NULL OR CAST({f} AS VARCHAR) = ''")} AS empty,
            CASE WHEN {_count(f"{f} IS NULL OR CAST({f} AS VARCHAR) = ''")} = 0 THEN 'ok' ELSE 'fail' END
                AS verdict
-    FROM numbered WHERE i <= 100 GROUP BY session_id""" for f in fixed.REQUIRED_FIELDS), ctes=_NUMBERED_CTE, samples=_BY_TRACK)
+    FROM t GROUP BY session_id""" for f in fixed.REQUIRED_FIELDS), samples=_BY_TRACK)
 _BIAS = """SELECT *, CASE WHEN bias_max < 2 THEN 'warn: 0-1 scale'
         WHEN bias_avg > 40 AND bias_avg < 70 THEN 'ok' ELSE 'warn: unusual' END AS verdict
     FROM (SELECT session_id, min(brake_bias) AS bias_min, max(brake_bias) AS bias_max,
                  avg(brake_bias) AS bias_avg
-          FROM numbered WHERE i > 100 AND brake_bias > 0 GROUP BY session_id)"""
-oracle("brake_bias_checks", _BIAS, "bias_min bias_max bias_avg", ctes=_NUMBERED_CTE, samples=_BY_TRACK)
+          FROM t WHERE brake_bias > 0 GROUP BY session_id)"""
+oracle("brake_bias_checks", _BIAS, "bias_min bias_max bias_avg", samples=_BY_TRACK)
 
-_EVENT_CHECKS = f"""SELECT *, CASE WHEN starts = 0 THEN 'fail' WHEN ends = 0 THEN 'warn' ELSE 'ok' END
-        AS verdict, starts = 1 AND ends = 1 AS one_of_each
-    FROM (SELECT session_id, {_count("event_type = 'session_start'")} AS starts,
+_EVENT_CHECKS = f"""SELECT *, CASE WHEN starts = 0 THEN 'fail'
+        WHEN starts = 1 AND ends = 1 AND ends_with_laps > 0 THEN 'ok' ELSE 'warn' END AS verdict, starts = 1 AND ends = 1 AS one_of_each
+    FROM (SELECT session_id, session_no, {_count("event_type = 'session_start'")} AS starts,
                  {_count("event_type = 'session_end'")} AS ends,
                  {_count("event_type = 'session_end' AND total_laps > 0")} AS ends_with_laps
-          FROM %s GROUP BY session_id)"""
-oracle("event_checks", _EVENT_CHECKS % f"""(SELECT event_type, session_id || '_' || session_no
-    AS session_id, total_laps FROM ({_EVENTS}))""", ctes=_STATES)
+          FROM ({_EVENTS}) GROUP BY session_id, session_no)"""
+oracle("event_checks", _EVENT_CHECKS, ctes=_STATES)
 
-_LAP_MEASURES = f"""SELECT session_id, count(*) AS laps,
+_LAP_MEASURES = f"""SELECT session_id, session_no, count(*) AS laps,
     {_count("NOT (s > 80 AND s < 200)")} AS implausible,
     {_count("NOT (s >= 90 AND s <= 150)")} AS unrealistic,
-    {_count('NOT CASE WHEN i = 1 THEN lap_number = 1 ELSE lap_number = p_lap + 1 AND "timestamp" >= p_ts END')} AS out_of_turn,
+    {_count('NOT CASE WHEN i = 1 THEN lap_number = 1 ELSE lap_number = p_lap + 1 END')} AS out_of_turn,
     {_count("i > 1 AND NOT p_fuel - fuel_remaining > 0")} AS not_burning,
     avg(p_fuel - fuel_remaining) FILTER (WHERE i > 1) AS mean_burn,
     {_count("NOT is_valid")} AS invalid, {_count("lap_number * 60 > 100")} AS sectors_off
     FROM (SELECT *, lap_time_ms / 1000e0 AS s, row_number() OVER q AS i, lag(lap_number) OVER q AS p_lap,
-                 lag(fuel_remaining) OVER q AS p_fuel, lag("timestamp") OVER q AS p_ts
-          FROM ({_COMPLETIONS}) WINDOW q AS (PARTITION BY session_id ORDER BY lap_number, "timestamp"))
-    GROUP BY session_id"""
+                 lag(fuel_remaining) OVER q AS p_fuel
+          FROM ({_COMPLETIONS}) WINDOW q AS (PARTITION BY session_id, session_no ORDER BY "timestamp", lap_number))
+    GROUP BY session_id, session_no"""
 
 
 def _check(name: str, verdict: str, value: str) -> str:
-    return (f"SELECT session_id, '{name}' AS \"check\", {verdict} AS verdict, "
+    return (f"SELECT session_id, session_no, '{name}' AS \"check\", {verdict} AS verdict, "
             f"CAST({value} AS DOUBLE) AS value FROM lm")
 
 
@@ -563,25 +572,25 @@ oracle("lap_checks", " UNION ALL ".join(
     _LAP_CHECKS + [_check("sectors_add_up", _ok("sectors_off = 0", "fail"), "sectors_off")]),
        "value", ctes=_LAP_CHECKS_CTE)
 oracle("lap_report", f"""
-    SELECT session_id, lap_number, {_label('lap_time_ms')} AS time, is_valid, fuel_remaining AS fuel,
+    SELECT session_id, session_no, lap_number, {_label('lap_time_ms')} AS time, is_valid, fuel_remaining AS fuel,
            {", ".join(f"tyre_temp_{w} AS {w}" for w in fixed.WHEELS)} FROM ({_COMPLETIONS})""",
        "fuel fl fr rl rr", ctes=_STATES)
 oracle("setup_report", f"""
-    SELECT session_id, lap_applied_from, printf('Lap %d: TC=%d TCCut=%d ABS=%d BB=%s Map=%d',
+    SELECT session_id, session_no, lap_applied_from, printf('Lap %d: TC=%d TCCut=%d ABS=%d BB=%s Map=%d',
         lap_applied_from, tc_level, tc_cut, abs_level, CAST(brake_bias AS VARCHAR), engine_map) AS line
     FROM ({_snapshots(True)})""", ctes=_STATES)
 oracle("session_facts", f"""
     SELECT *, {_label('best_lap_ms')} AS best_lap
-    FROM (SELECT session_id, {", ".join(f'''arg_max({c}, "timestamp") FILTER (WHERE event_type = 'session_start') AS {c}''' for c in ("track", "car", "session_type"))},
+    FROM (SELECT session_id, session_no, {", ".join(f'''arg_max({c}, "timestamp") FILTER (WHERE event_type = 'session_start') AS {c}''' for c in ("track", "car", "session_type"))},
                  {", ".join(f'''arg_max({c}, "timestamp") FILTER (WHERE event_type = 'session_end') AS {c}''' for c in ("total_laps", "best_lap_ms"))}
-          FROM ({_EVENTS}) GROUP BY session_id)""", ctes=_STATES)
+          FROM ({_EVENTS}) GROUP BY session_id, session_no)""", ctes=_STATES)
 oracle("validation_summary", f"""
-    SELECT session_id, 'events' AS area, 'start_and_end' AS "check", verdict
-    FROM ({_EVENT_CHECKS % f"({_EVENTS})"})
-    UNION ALL SELECT session_id, 'laps', "check", verdict FROM ({" UNION ALL ".join(_LAP_CHECKS)})
-    UNION ALL SELECT session_id, 'fields', field, verdict FROM ({_ranges("sampled", fixed.FIELD_BOUNDS)})
-    UNION ALL SELECT session_id, 'brake_bias', 'scale', verdict FROM ({_BIAS})""",
-       ctes=_LAP_CHECKS_CTE + _SAMPLED_CTE, samples=_BY_TRACK)
+    SELECT session_id, session_no, 'events' AS area, 'start_and_end' AS "check", verdict
+    FROM ({_EVENT_CHECKS})
+    UNION ALL SELECT session_id, session_no, 'laps', "check", verdict FROM ({" UNION ALL ".join(_LAP_CHECKS)})
+    UNION ALL SELECT session_id, NULL, 'fields', field, verdict FROM ({_ranges("t", fixed.FIELD_BOUNDS)})
+    UNION ALL SELECT session_id, NULL, 'brake_bias', 'scale', verdict FROM ({_BIAS})""",
+       ctes=_LAP_CHECKS_CTE, samples=_BY_TRACK)
 
 # ---- sources and sinks ---------------------------------------------------------------
 
@@ -617,8 +626,17 @@ oracle("clustered_table", f"""
     GROUP BY {_LAP}""", "max_speed")
 oracle("external_tables", f"""
     SELECT track, {_count("status = 'live'")} AS samples, {_count(_PIT_OK)} AS processed,
-           count(DISTINCT CASE WHEN {_PIT_OK} THEN session_id || '/' || completed_laps END) AS laps
+           count(DISTINCT CASE WHEN {_PIT_OK} THEN session_id || '/' || completed_laps END) AS laps,
+           (SELECT count(*) FROM t) AS raw_rows
     FROM t GROUP BY track""")
+oracle("lap_lookup", f"""
+    SELECT {_LAP}, epoch_us(timestamp_wall) AS at, gear, round({_f('speed_kmh')}, 2) AS speed_kmh FROM t
+    WHERE {_PIT_OK} AND completed_laps = 1
+      AND session_id = (SELECT min(session_id) FROM t WHERE {_PIT_OK})""")
+oracle("recording_head", f"""
+    SELECT session_id, status, completed_laps, gear FROM t
+    ORDER BY timestamp_wall, session_id, CAST(rpm AS INT), gear, status, completed_laps LIMIT 50""")
+oracle("latest_recording", "SELECT max(session_id) AS session_id FROM t")
 oracle("recording_scan", f"""
     SELECT {_LAP}, status, count(*) AS samples, round(max(speed_kmh), 2) AS max_speed
     FROM t GROUP BY {_LAP}, status""")
@@ -646,16 +664,11 @@ oracle("stream_append", """
            round(max(speed_kmh), 2) AS max_speed FROM t GROUP BY ALL""")
 oracle("stream_without_repeats", "SELECT session_id, packet_id, status FROM t")
 
-# a stream has worked off the minutes that end before its watermark, which is ten minutes
-# before the newest sample
-_PASSED = WITH_SAMPLES.replace(
-    " FROM base)", " FROM base WHERE (epoch_ms(ts) // 60000 + 1) * 60000 <= "
-    "(SELECT max(epoch_ms(ts)) - 600000 FROM events))")
 _US = "epoch_us(timestamp_wall) AS ts_us"
 
 
 def _stream(name, body, doubles="", ctes=_STATES):
-    oracle(name, body, doubles, ctes=ctes, samples=_PASSED)
+    oracle(name, body, doubles, ctes=ctes)
 
 
 _stream("stream_session_starts",
@@ -674,10 +687,7 @@ _stream("stream_setup_snapshots", f"""
 _stream("stream_lap_segments", """
     SELECT session_id, epoch_us(last_time) AS ts_us, session_no, segment_no, lap_number, samples,
            max_speed, avg_speed, fuel_used, epoch_us(first_time) AS first_us, epoch_us(last_time) AS last_us
-    FROM segments s JOIN (SELECT session_id AS sid, max(segment_no) AS last_segment,
-                                 arg_max(status, timestamp_wall) FILTER (WHERE status IN ('live', 'off', 'pause')) AS last_state
-                          FROM sg GROUP BY session_id) e ON s.session_id = e.sid
-    WHERE segment_no < last_segment OR last_state <> 'live'""",
+    FROM segments""",
         "max_speed avg_speed fuel_used", ctes=_SEGMENTS_CTE)
 
 oracle("stored_sessions", f"""
@@ -692,7 +702,7 @@ oracle("stored_laps", f"""
 oracle("stored_setups", f"""
     SELECT DISTINCT session_id || '_' || session_no AS session_id, lap_applied_from AS lap_number, car,
            {_PARAMETERS}, {_iso('"timestamp"')} AS "timestamp"
-    FROM ({_snapshots(False, ', session_no')})""", "brake_bias", ctes=_STATES)
+    FROM ({_snapshots(False)})""", "brake_bias", ctes=_STATES)
 oracle("quarantined_messages", f"""
     SELECT 'lap_completions' AS topic, {_count("status = 'replay'")} AS messages FROM t""")
 

@@ -1,6 +1,5 @@
 """Every operator as a query over the given tables: name -> (spark, sf_dir) -> DataFrame."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,13 @@ from lapline.functions import columns as C
 from lapline.functions import frames
 from lapline.operators import align, laps, quality, sessions, track, wheels
 from lapline.operators.laps import LAP
-from lapline.operators.ordered import time_order
+from lapline.operators.sessions import SESSION
 from lapline.plans import binding, etl
 from lapline.sinks import files as sinks
 from lapline.sources import catalog, files, messages, tracks
 from lapline.streaming import lifecycle, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_WRITTEN: dict[tuple, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -49,13 +47,10 @@ def spark_query(f):
 
 
 def written(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], None]) -> str:
-    """Folder of a table derived from the given ones; written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
-    if key not in _WRITTEN:
-        folder = session.new_folder(spark, what)
-        write(folder)
-        _WRITTEN[key] = folder
-    return _WRITTEN[key]
+    """A folder of its own with a table derived from the given ones, as they are now."""
+    folder = session.new_folder(spark, what)
+    write(folder)
+    return folder
 
 
 def live(t: DataFrame) -> DataFrame:
@@ -142,7 +137,7 @@ def normalized_speed(t):
 @query
 def lap_points(t):
     return live(t).select(*LAP, "timestamp_wall", "packet_id", "distance_into_lap", "speed_kmh",
-                          "throttle", "brake").orderBy(*LAP, *time_order(t))
+                          "throttle", "brake")
 
 
 @query
@@ -182,7 +177,7 @@ def _(t):
 
 @query
 def newest_sessions(t):
-    return laps.head(laps.sessions(t), 10, "session_start", "session_id")
+    return laps.newest_sessions(t, 10)
 
 
 @query
@@ -259,8 +254,7 @@ def lap_progression(t):
 
 @query
 def sessionized(t):
-    return sessions.sessionize(t).select("packet_id", "session_id",
-                                         F.col("session_no").cast("long").alias("session_no"))
+    return sessions.sessionize(t).select("packet_id", *SESSION)
 
 
 query(sessions.session_events)
@@ -283,7 +277,7 @@ def without_repeated_packets(t):
 
 @query
 def setup_on_laps(t):
-    return sessions.setup_on_laps(laps.available_laps(t), sessions.setup_snapshots(t, distinct=True))
+    return sessions.setup_on_laps(sessions.laps_driven(t), sessions.setup_snapshots(t, distinct=True))
 
 
 def by_track(t):
@@ -371,8 +365,8 @@ def sector_times(t):
 
 @query
 def lap_records(t):
-    rows = track.lap_records(live(t), sessions.lap_completions(t), sectors(t))
-    return rows.select("session_id", "lap_number", "timestamp", "lap_time_ms", "sector_1_ms",
+    rows = track.lap_records(live(sessions.sessionize(t)), sessions.lap_completions(t), sectors(t))
+    return rows.select(*SESSION, "lap_number", "timestamp", "lap_time_ms", "sector_1_ms",
                        "sector_2_ms", "sector_3_ms", "fuel_used", "avg_tyre_temp_fl")
 
 
@@ -416,13 +410,13 @@ query(quality.range_checks)
 
 
 @query
-def sampled_range_checks(t):
-    return quality.sampled_range_checks(by_track(t))
+def track_range_checks(t):
+    return quality.range_checks(by_track(t))
 
 
 @query
-def head_range_checks(t):
-    return quality.head_range_checks(by_track(t))
+def strict_range_checks(t):
+    return quality.strict_range_checks(by_track(t))
 
 
 @query
@@ -441,7 +435,7 @@ def keyed(df):
 
 @query
 def event_checks(t):
-    return quality.event_checks(keyed(sessions.session_events(t)))
+    return quality.event_checks(sessions.session_events(t))
 
 
 def checked_laps(t):
@@ -453,8 +447,6 @@ def checked_laps(t):
 
 @query
 def lap_checks(t):
-    # a stream of the given table runs through the same lap number again in a later
-    # session at most once, so (lap_number, timestamp) orders its laps
     return quality.lap_checks(checked_laps(t))
 
 
@@ -528,6 +520,16 @@ def lap_summary_table(spark, sf_dir):
     return rounded(_micros(rows, "lap_start_time", "lap_end_time"), 3)
 
 
+@spark_query
+def lap_lookup(spark, sf_dir):
+    """One lap of the partitioned table: both conditions are on partition columns."""
+    table = etl.read_processed(spark, etl_output(spark, sf_dir))
+    name = table.agg(F.min("session_id")).first()[0]
+    rows = laps.lap_data(table, name, 1)
+    return rows.select(*LAP, F.unix_micros("timestamp_parsed").alias("at"), "gear",
+                       F.round(F.col("speed_kmh").cast("double"), 2).alias("speed_kmh"))
+
+
 @spark_query
 def clustered_table(spark, sf_dir):
     folder = written(spark, sf_dir, "clustered", lambda out: sinks.write_clustered(
@@ -538,13 +540,14 @@ def clustered_table(spark, sf_dir):
 
 @spark_query
 def external_tables(spark, sf_dir):
-    database = f"lapline_{uuid.uuid4().hex}"
     out = etl_output(spark, sf_dir)
+    database = "lapline_" + out.rpartition("-")[2]
     catalog.create_tables(spark, database, lake(spark, sf_dir), f"{out}/telemetry", f"{out}/lap_summary")
     catalog.repair_table(spark, f"{database}.telemetry_processed")
     return catalog.query(
         spark,
-        f"""SELECT r.track, r.samples, p.samples AS processed, s.laps
+        f"""SELECT r.track, r.samples, p.samples AS processed, s.laps,
+                   (SELECT count(*) FROM {database}.telemetry_raw) AS raw_rows
             FROM (SELECT track, count(*) AS samples FROM {database}.telemetry_raw
                   WHERE status = :status GROUP BY track) r
             JOIN (SELECT track, count(*) AS samples FROM {database}.telemetry_processed
@@ -563,6 +566,60 @@ def recording_scan(spark, sf_dir):
                             F.round(F.max(F.col("speed_kmh").cast("double")), 2).alias("max_speed"))
 
 
+@spark_query
+def recording_head(spark, sf_dir):
+    """The first rows of a CSV scan, in a stated order."""
+    rows = files.read_recordings(spark, recordings(spark, sf_dir), "session_id", "timestamp_wall", "status",
+                                 "completed_laps", "gear", "rpm")
+    return laps.head(rows, 50, *map(F.col, ("timestamp_wall", "session_id", "rpm", "gear", "status",
+                                            "completed_laps"))).select(
+        "session_id", "status", "completed_laps", "gear")
+
+
+@spark_query
+def latest_recording(spark, sf_dir):
+    """The folder written last: recordings of all sessions, then one more."""
+    def write(folder):
+        t = binding.samples(spark, sf_dir).select(*schemas.LAKE_SAMPLE.names)
+        sinks.write_recordings(t, folder)
+        last = t.agg(F.max("session_id").alias("session_id"))
+        sinks.write_recordings(t.join(last, "session_id").select(*schemas.LAKE_SAMPLE.names), f"{folder}/again")
+    return files.latest_session(spark, written(spark, sf_dir, "recorded", write)).select(
+        F.regexp_replace("session_id", "^[^=]*=", "").alias("session_id"))
+
+
+def track_files(spark, sf_dir):
+    """The tracks that the samples name, one JSON file each, as a user keeps them."""
+    def write(folder):
+        named = binding.samples(spark, sf_dir).select("track").distinct()
+        known = track.resolve_tracks(named, tracks.known_corners(spark)).select("track_id").distinct()
+        corners_ = tracks.known_corners(spark).join(known, "track_id")
+        corner = F.struct("entry_m", "apex_m", "exit_m", F.col("brake_m").alias("braking_zone_start_m"),
+                          F.array("ref_low", "ref_high").alias("typical_speed_range_kmh"))
+        bounds = tracks.known_sectors(spark).groupBy("track_id").agg(
+            F.array_sort(F.collect_set("start_m")).alias("starts"), F.max("end_m").alias("end"))
+        rows = corners_.groupBy("track_id", "track_name").agg(
+            F.map_from_entries(F.collect_list(F.struct("corner", corner.alias("c")))).alias("corners")
+        ).join(bounds, "track_id").select(
+            "track_id", "track_name", F.concat("starts", F.array("end")).alias("sector_boundaries_m"), "corners")
+        rows.select(F.to_json(F.struct("*")).alias("value"), F.col("track_id").alias("name")).repartition(
+            "name").write.partitionBy("name").text(folder)
+    return written(spark, sf_dir, "tracks", write)
+
+
+@spark_query
+def corner_stats_from_files(spark, sf_dir):
+    """Corner statistics with the track dimension read from track files."""
+    return track.corner_stats(live(binding.samples(spark, sf_dir)),
+                              tracks.read_corners(spark, track_files(spark, sf_dir)))
+
+
+@spark_query
+def sector_times_from_files(spark, sf_dir):
+    return track.sector_times(live(binding.samples(spark, sf_dir)),
+                              tracks.read_sectors(spark, track_files(spark, sf_dir)))
+
+
 @spark_query
 def text_json_batches(spark, sf_dir):
     folder = written(spark, sf_dir, "text-json", lambda out: sinks.rebatch_as_json(
@@ -630,9 +687,10 @@ def stream_append(spark, sf_dir):
 
 
 def online(spark, sf_dir):
-    return spark.read.schema(lifecycle.EVENTS).parquet(stream_to(
-        spark, sf_dir, "lifecycle",
-        lambda: lifecycle.lifecycle_events(binding.sample_stream(spark, sf_dir))))
+    """All events of the given samples, as the online operator gives them."""
+    folder = written(spark, sf_dir, "lifecycle", lambda out: pipelines.backfill(
+        binding.samples(spark, sf_dir), lifecycle.lifecycle_events, out, session.new_folder(spark, "backfill")))
+    return spark.read.schema(lifecycle.EVENTS).parquet(folder)
 
 
 def _stream_query(kind, drop=()):
@@ -650,10 +708,13 @@ _stream_query("lap_segment")
 
 @spark_query
 def stream_without_repeats(spark, sf_dir):
-    def build():
-        t = binding.sample_stream(spark, sf_dir)
-        return pipelines.without_repeats(t.unionByName(t)).select("session_id", "packet_id", "status")
-    return spark.read.parquet(stream_to(spark, sf_dir, "no-repeats", build))
+    def build(stream, watermark, idle_ms):
+        return pipelines.without_repeats(stream, watermark).select("session_id", "packet_id", "status")
+
+    t = binding.samples(spark, sf_dir)
+    folder = written(spark, sf_dir, "no-repeats", lambda out: pipelines.backfill(
+        t.unionByName(t), build, out, session.new_folder(spark, "backfill")))
+    return spark.read.parquet(folder).where("session_id <> ''")
 
 
 def event_messages(t):

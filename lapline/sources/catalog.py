@@ -25,17 +25,29 @@ def create_database(spark: SparkSession, name: str) -> None:
     spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
+def _quoted(*parts: str) -> str:
+    """A name as SQL takes it, whatever letters it has."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _columns(names) -> str:
     types = {f.name: f.dataType.simpleString() for f in schemas.LAKE_SAMPLE.fields}
     return ", ".join(f"{name} {types[name]}" for name in names)
 
 
 def create_tables(spark: SparkSession, database: str, raw: str, telemetry: str, summary: str) -> None:
-    """telemetry_raw (JSON), telemetry_processed (Parquet by session and lap), lap_summary."""
+    """telemetry_raw (JSON), telemetry_processed (Parquet by session and lap), lap_summary.
+
+    telemetry_raw is a view of the files below ``raw`` that leaves out event files by their folder.
+    """
     create_database(spark, database)
     tables = {
-        "telemetry_raw": (_columns(schemas.LAKE_SAMPLE.names), "json", "", raw,
-                          " OPTIONS (recursiveFileLookup 'true', pathGlobFilter '*.json')"),
+        "telemetry_files": (_columns(schemas.LAKE_SAMPLE.names), "json", "", raw,
+                            " OPTIONS (recursiveFileLookup 'true')"),
         "telemetry_processed": (
             f"{_columns(PROCESSED_COLUMNS)}, {_DERIVED}, session_id STRING, completed_laps INT",
             "parquet", " PARTITIONED BY (session_id, completed_laps)", telemetry, ""),
@@ -43,14 +55,19 @@ def create_tables(spark: SparkSession, database: str, raw: str, telemetry: str,
     }
     for name, (columns, source, partitions, location, options) in tables.items():
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING {source}"
-            f"{options}{partitions} LOCATION '{location}'"
+            f"CREATE TABLE IF NOT EXISTS {_quoted(database, name)} ({columns}) USING {source}"
+            f"{options}{partitions} LOCATION {_text(location)}"
         )
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {_quoted(database, 'telemetry_raw')} AS "
+        f"SELECT * FROM {_quoted(database, 'telemetry_files')} "
+        "WHERE NOT contains(_metadata.file_path, '/events/')"
+    )
 
 
 def repair_table(spark: SparkSession, name: str) -> None:
     """Find partitions that were written next to the table."""
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.sql(f"MSCK REPAIR TABLE {_quoted(*name.split('.'))}")
 
 
 def query(spark: SparkSession, sql: str, **args) -> DataFrame:

@@ -24,12 +24,10 @@ def folder_name(depth: int = 2):
 def read_lake_samples(spark: SparkSession, path: str, schema=schemas.ETL_SAMPLE) -> DataFrame:
     """JSON lines at any depth below ``path``, only the fields in ``schema``.
 
-    Event files lie under the same prefix and are left out by their path.
+    Event files lie under the same prefix, in folders named ``events``, and are left out.
     """
     files = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
-    return files.where(
-        ~F.col(_PATH).contains("/events/") & ~F.col(_PATH).endswith(".jsonl")
-    )
+    return files.where(~F.col(_PATH).contains("/events/"))
 
 
 def read_text_samples(spark: SparkSession, path: str) -> DataFrame:

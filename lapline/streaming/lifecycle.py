@@ -6,6 +6,7 @@ batch operators, and a lap is kept as running numbers, not as its rows.
 """
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,16 +39,17 @@ EVENTS_PER_FRAME = 5000
 _BUCKET = "rows array<struct<" + ", ".join(
     "{}: {}".format(*item.split()) for item in _READ.split(", ")) + ">>"
 _NAMES = [item.split()[0] for item in _READ.split(", ")]
+_WHOLE = [item.split()[0] for item in _READ.split(", ") if item.split()[1] in ("int", "long")]
 _STATE = (
     "active boolean, session_no long, seen boolean, car string, track string, "
     "session_type string, completed_laps int, best_lap_time_ms int, live_laps int, "
     + ", ".join(f"{p} double" for p in _PARAMETERS)
-    + ", segment_no long, samples long, speed_sum double, speed_max double, fuel_max double, "
+    + ", segment_no long, samples long, speed_sum double, speed_n long, speed_max double, fuel_max double, "
       "fuel_min double, first_us long, last_us long"
 )
 _STATE_NAMES = [item.split()[0] for item in _STATE.split(", ")]
 _START = {"active": False, "session_no": 0, "seen": False, "segment_no": 0, "samples": 0,
-          "speed_sum": 0.0}
+          "speed_sum": 0.0, "speed_n": 0}
 
 EVENTS = (
     "kind string, session_id string, session_no long, ts_us long, car string, track string, "
@@ -70,14 +72,27 @@ def _segment(state: dict) -> list[dict]:
             "kind": "lap_segment", "session_no": state["session_no"], "ts_us": state["last_us"],
             "car": state["car"], "track": state["track"], "lap_number": state["completed_laps"],
             "segment_no": state["segment_no"], "samples": state["samples"],
-            "max_speed": state["speed_max"], "avg_speed": state["speed_sum"] / state["samples"],
-            "fuel_used": state["fuel_max"] - state["fuel_min"],
+            "max_speed": state["speed_max"],
+            "avg_speed": state["speed_sum"] / state["speed_n"] if state["speed_n"] else None,
+            "fuel_used": None if state["fuel_max"] is None else state["fuel_max"] - state["fuel_min"],
             "first_us": state["first_us"], "last_us": state["last_us"],
         })
-    state.update(samples=0, speed_sum=0.0, speed_max=None, fuel_max=None, fuel_min=None)
+    state.update(samples=0, speed_sum=0.0, speed_n=0, speed_max=None, fuel_max=None, fuel_min=None)
     return events
 
 
+def _lap_ends(now: int | None, before: int | None) -> bool:
+    """Whether the lap count went up; a count that is missing on either side says nothing."""
+    return now is not None and before is not None and now > before >= 0
+
+
+def _of_both(choose, held: float | None, value: float | None) -> float | None:
+    """The larger or smaller of two numbers either of which may be missing."""
+    if held is None or value is None:
+        return value if held is None else held
+    return choose(held, value)
+
+
 def _setup_event(state: dict, row: dict, lap: int) -> dict:
     return {
         "kind": "setup_snapshot", "session_no": state["session_no"], "ts_us": row["ts_us"],
@@ -89,7 +104,7 @@ def _setup_event(state: dict, row: dict, lap: int) -> dict:
 def _live_events(state: dict, row: dict) -> Iterator[dict]:
     """Lap completions and setup changes between two live samples of a session."""
     here = {"session_no": state["session_no"], "ts_us": row["ts_us"]}
-    if row["completed_laps"] > state["live_laps"] >= 0:
+    if _lap_ends(row["completed_laps"], state["live_laps"]):
         yield {
             "kind": "lap_completion", **here, "lap_number": row["completed_laps"],
             "lap_time_ms": row["last_lap_time_ms"], "is_valid": row["is_valid_lap"],
@@ -131,18 +146,19 @@ def step(state: dict, row: dict) -> list[dict]:
     elif status == "live":
         events += _live_events(state, row)
     if state["active"]:
-        if state["seen"] and row["completed_laps"] > state["completed_laps"] >= 0:
+        if state["seen"] and _lap_ends(row["completed_laps"], state["completed_laps"]):
             events += _segment(state)
             state["segment_no"] += 1
         if not row["is_in_pit"]:
-            first = not state["samples"]
             speed, fuel = row["speed_kmh"], row["fuel_remaining"]
-            state["speed_max"] = speed if first else max(state["speed_max"], speed)
-            state["fuel_max"] = fuel if first else max(state["fuel_max"], fuel)
-            state["fuel_min"] = fuel if first else min(state["fuel_min"], fuel)
-            state["first_us"] = row["ts_us"] if first else state["first_us"]
+            state["speed_max"] = _of_both(max, state["speed_max"], speed)
+            state["fuel_max"] = _of_both(max, state["fuel_max"], fuel)
+            state["fuel_min"] = _of_both(min, state["fuel_min"], fuel)
+            state["first_us"] = state["first_us"] if state["samples"] else row["ts_us"]
             state["last_us"] = row["ts_us"]
-            state["speed_sum"] += speed
+            if speed is not None:
+                state["speed_sum"] += speed
+                state["speed_n"] += 1
             state["samples"] += 1
         state["seen"] = True
     if status == "live":
@@ -167,7 +183,8 @@ class Lifecycle(StatefulProcessor):
     """Holds rows in buckets of one minute until the watermark has passed the bucket.
 
     Passed buckets are stepped through one after the other, so a task never has more
-    than one minute of one key in memory, however much of the stream that key is.
+    than one minute of one key in memory, however much of the stream that key is. A
+    micro-batch adds its part to a bucket and rewrites nothing that is there.
     """
 
     def __init__(self, idle_ms: int | None = None):
@@ -175,29 +192,29 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getMapState("waiting", "end_ms long", _BUCKET)
+        self._waiting = handle.getMapState("waiting", "end_ms long, part long", _BUCKET)
         self._value = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        known = {end for (end,) in self._waiting.keys()}
+        known = Counter(end for end, _ in self._waiting.keys())
         for batch in rows:
             values = batch[_NAMES].astype(object)
             values = values.where(values.notna(), None)
+            for name in _WHOLE:  # pandas holds whole numbers among NULLs as floats
+                values[name] = [None if v is None else int(v) for v in values[name]]
             ends = (batch["ts_us"] // 1000).map(_bucket_end)
             for end, bucket in values.groupby(ends):
                 end = int(end)
-                held = []
-                if end in known:
-                    held = [tuple(row) for row in self._waiting.getValue((end,))[0]]
-                held += list(bucket.itertuples(index=False, name=None))
-                self._waiting.updateValue((end,), (held,))
-                known.add(end)
+                self._waiting.updateValue(
+                    (end, known[end]), (list(bucket.itertuples(index=False, name=None)),))
+                known[end] += 1
         self._handle.registerTimer(min(known))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        waiting = sorted(end for (end,) in self._waiting.keys())
+        parts = Counter(end for end, _ in self._waiting.keys())
+        waiting = sorted(parts)
         ends = [end for end in waiting if end <= passed]
         if not ends and self._idle_ms is None:
             return  # an earlier timer has worked off the bucket
@@ -206,9 +223,11 @@ class Lifecycle(StatefulProcessor):
             state = dict(zip(_STATE_NAMES, self._value.get()))
         events = []
         for end in ends:
-            rows = [dict(zip(_NAMES, row)) for row in self._waiting.getValue((end,))[0]]
-            if len(ends) < len(waiting):
-                self._waiting.removeKey((end,))
+            rows = []
+            for part in range(parts[end]):
+                rows += [dict(zip(_NAMES, row)) for row in self._waiting.getValue((end, part))[0]]
+                if len(ends) < len(waiting):
+                    self._waiting.removeKey((end, part))
             for row in sorted(rows, key=lambda r: (r["ts_us"], r["packet_id"])):
                 if self._idle_ms is not None and row["ts_us"] > self._quiet_at(state) * 1000:
                     events += _segment(state)
@@ -262,10 +281,10 @@ def lifecycle_events(samples: DataFrame, watermark: str = WATERMARK,
 _COLUMNS = {
     "session_start": "session_no car track session_type",
     "session_end": "session_no car track session_type total_laps best_lap_ms",
-    "lap_completion": "lap_number lap_time_ms last_sector_time_ms is_valid fuel_remaining "
+    "lap_completion": "session_no lap_number lap_time_ms last_sector_time_ms is_valid fuel_remaining "
                       + " ".join(_TYRES),
-    "setup_change": "parameter old_value new_value lap_number",
-    "setup_snapshot": "car track lap_applied_from " + " ".join(_PARAMETERS),
+    "setup_change": "session_no parameter old_value new_value lap_number",
+    "setup_snapshot": "session_no car track lap_applied_from " + " ".join(_PARAMETERS),
     "lap_segment": "session_no segment_no lap_number samples max_speed avg_speed fuel_used "
                    "first_us last_us",
 }

@@ -1,5 +1,9 @@
 """Streams from messages to tables."""
 
+import hashlib
+import time
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,6 +56,43 @@ def start_telemetry(messages: DataFrame, path: str, checkpoint: str, console: bo
     return queries
 
 
+def start_of_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet files of a folder as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def backfill(samples: DataFrame, build, out: str, work: str, margin_s: int = 3600) -> None:
+    """All events of samples that are there in full, whatever the order they are read in.
+
+    ``build(stream, watermark, idle_ms)`` makes the stream that is appended to ``out``. The
+    watermark trails by more than the time the samples span, so that none is late; then one
+    more row, of no session and a time beyond all timers, moves it past everything that is
+    held, open laps too. ``work`` is a folder for the samples and the checkpoint.
+    """
+    spark, at = samples.sparkSession, "timestamp_wall"
+    samples.write.parquet(f"{work}/samples")
+    told = spark.read.schema(samples.schema).parquet(f"{work}/samples")
+    span = told.select(F.max(at).alias("last"), F.min(at).alias("first")).first()
+    if span["last"] is None:
+        spark.createDataFrame([], build(start_of_stream(spark, f"{work}/samples", samples.schema), "1 hour",
+                                        None).schema).write.parquet(out)
+        return
+    length = int((span["last"] - span["first"]).total_seconds()) + margin_s
+
+    def run():
+        stream = start_of_stream(spark, f"{work}/samples", samples.schema)
+        start_append(build(stream, f"{length} seconds", length * 1000), out, f"{work}/state").awaitTermination()
+
+    run()
+    end = span["last"] + timedelta(seconds=2 * length + margin_s)
+    kinds = {f.name: f.dataType for f in samples.schema.fields}
+    spark.range(1).select(*[
+        (F.lit(end) if name == at else F.lit("") if name == "session_id" else F.lit(None)).cast(kind).alias(name)
+        for name, kind in kinds.items()
+    ]).write.mode("append").parquet(f"{work}/samples")
+    run()
+
+
 def without_repeats(samples: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """A stream without packets seen before within the watermark, whatever their order."""
     return samples.withColumn("event_time", F.col("timestamp_wall").cast("timestamp")).withWatermark(
@@ -93,24 +134,38 @@ def rejected(messages: DataFrame) -> DataFrame:
     return messages.where(~F.coalesce(taken, F.lit(False)))
 
 
-def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """One micro-batch into the store, under its number: a repeated batch replaces itself.
+def store_batch(batch: DataFrame, batch_id: int, store: str, run: str) -> None:
+    """One micro-batch into the store, under its run and number: a repeated batch replaces itself.
 
+    A run is told by its checkpoint, as numbers begin anew with each, and named so that later
+    ones sort after earlier ones.
     Nothing already stored is read or rewritten; the tables are put together on read.
     """
     batch = batch.persist()
     try:
         for topic in _PAYLOADS:
-            route(batch, topic).write.mode("overwrite").parquet(f"{store}/{topic}/batch_id={batch_id}")
-        rejected(batch).write.mode("overwrite").parquet(f"{store}/{_QUARANTINE}/batch_id={batch_id}")
+            route(batch, topic).write.mode("overwrite").parquet(f"{store}/{topic}/run={run}/batch_id={batch_id}")
+        rejected(batch).write.mode("overwrite").parquet(f"{store}/{_QUARANTINE}/run={run}/batch_id={batch_id}")
     finally:
         batch.unpersist()
 
 
+def _run_of(spark: SparkSession, store: str, checkpoint: str) -> str:
+    """Name of a checkpoint's run: the one it has in the store, else when it began."""
+    mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{store}/*/run=r*-{mark}")
+    known = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    if known:
+        return known[0].getPath().getName().removeprefix("run=")
+    return f"r{int(time.time() * 1000):015d}-{mark}"
+
+
 def start_event_store(messages: DataFrame, store: str, checkpoint: str,
                       trigger: str = "now") -> StreamingQuery:
+    run = _run_of(messages.sparkSession, store, checkpoint)
     return messages.writeStream.foreachBatch(
-        lambda batch, batch_id: store_batch(batch, batch_id, store)
+        lambda batch, batch_id: store_batch(batch, batch_id, store, run)
     ).option("checkpointLocation", checkpoint).trigger(**TRIGGERS[trigger]).start()
 
 
@@ -118,7 +173,7 @@ def _stored(spark: SparkSession, store: str, topic: str) -> DataFrame:
     return spark.read.option("basePath", f"{store}/{topic}").parquet(f"{store}/{topic}")
 
 
-_ORDER = ("batch_id", "arrived")
+_ORDER = ("run", "batch_id", "arrived")
 
 
 def stored_sessions(spark: SparkSession, store: str) -> DataFrame:

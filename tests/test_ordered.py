@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lapline.operators.ordered import MAX_CUTS, SLICE, Slices, first_of_each, numbered, order_key
+from lapline.operators.ordered import SLICE, Slices, first_of_each, numbered, order_key
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +72,11 @@ def test_large_keys_are_cut_evenly_enough(spark):
     assert 15 < len(counts) < 90 and max(counts) < 60_000
 
 
-def test_number_of_cuts_is_bounded(spark):
-    df = spark.range(400_000).selectExpr("id % 3 AS key", "id AS t")
-    cuts = Slices(df, ["key"], ["t"], 1).cuts.agg(F.sum(F.size("_cuts"))).first()[0]
-    assert MAX_CUTS * 0.8 < cuts < MAX_CUTS * 1.2
+@pytest.mark.parametrize("rows", [100_000, 400_000])
+def test_cuts_grow_with_the_table_and_slices_do_not(spark, rows):
+    df = spark.range(rows).selectExpr("id % 3 AS key", "id AS t")
+    cuts = Slices(df, ["key"], ["t"], 500).cuts.agg(F.sum(F.size("_cuts"))).first()[0]
+    assert rows / 500 * 0.7 < cuts < rows / 500 * 1.3
 
 
 def test_same_slices_every_time(skewed):

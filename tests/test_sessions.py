@@ -80,12 +80,16 @@ def test_repeated_packets(samples):
 
 
 def test_setup_on_laps(spark):
-    laps = spark.createDataFrame([("a", n) for n in range(6)] + [("b", 0)], "session_id string, completed_laps int")
+    laps = spark.createDataFrame([("a", 1, n) for n in range(6)] + [("b", 1, 0), ("a", 2, 4)],
+                                 "session_id string, session_no long, completed_laps int")
     snaps = spark.createDataFrame(
-        [("a", 1, 1, 10), ("a", 3, 2, 30), ("a", 3, 3, 31)],
-        "session_id string, lap_applied_from int, tc_level int, timestamp int",
+        [("a", 1, 1, 1, 10), ("a", 1, 3, 2, 30), ("a", 1, 3, 3, 31), ("a", 2, 0, 9, 50)],
+        "session_id string, session_no long, lap_applied_from int, tc_level int, timestamp int",
     ).selectExpr("*", "0 AS tc_cut", "0 AS abs_level", "0 AS engine_map", "57.0D AS brake_bias")
-    rows = {(r.session_id, r.completed_laps): r.tc_level for r in sessions.setup_on_laps(laps, snaps).collect()}
+    got = sessions.setup_on_laps(laps, snaps).collect()
+    # a later session's setup is no setup of an earlier one
+    assert [r.tc_level for r in got if r.session_no == 2] == [9]
+    rows = {(r.session_id, r.completed_laps): r.tc_level for r in got if r.session_no == 1}
     assert rows == {("a", 0): None, ("a", 1): 1, ("a", 2): 1, ("a", 3): 3, ("a", 4): 3, ("a", 5): 3, ("b", 0): None}
 
 

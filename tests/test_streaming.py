@@ -117,6 +117,40 @@ def test_late_rows_are_dropped(spark, samples):
     assert [r.lap_number for r in got] == [1, 2]
 
 
+@pytest.mark.parametrize("files", [1, 7])
+def test_backfill_gives_everything(spark, replay, files):
+    """Rows in no order over many files: what the batch operators give, open laps too."""
+    out, work = session.new_folder(spark, "out"), session.new_folder(spark, "work")
+    shuffled = replay.repartition(files, F.xxhash64("packet_id"))
+    pipelines.backfill(shuffled, lifecycle.lifecycle_events, out, work)
+    got = spark.read.schema(lifecycle.EVENTS).parquet(out)
+    columns = ["session_id", "session_no", "segment_no", "lap_number", "samples", "max_speed"]
+    assert sorted(map(tuple, lifecycle.events_of(got, "lap_segment").select(*columns).collect())) == sorted(
+        map(tuple, sessions.lap_segments(replay).select(*columns).collect()))
+    for kind, batch in (("lap_completion", sessions.lap_completions), ("setup_change", sessions.setup_changes)):
+        names = ["session_id", "session_no", "lap_number"]
+        assert sorted(map(tuple, lifecycle.events_of(got, kind).select(*names).collect())) == sorted(
+            map(tuple, batch(replay).select(*names).collect()))
+
+
+@pytest.mark.parametrize("field", ["completed_laps", "speed_kmh", "fuel_remaining", "brake_bias", "is_in_pit",
+                                   "status", "last_lap_time_ms", "car"])
+def test_missing_fields_are_taken_as_in_the_batch(spark, samples, field):
+    rows = [{"ts": i * 10, "packet_id": i, "completed_laps": i // 3, **({field: None} if i in (0, 4, 5) else {})}
+            for i in range(12)]
+    t = samples(rows)
+    out = session.new_folder(spark, "out")
+    pipelines.backfill(t, lifecycle.lifecycle_events, out, session.new_folder(spark, "work"))
+    got = spark.read.schema(lifecycle.EVENTS).parquet(out)
+    columns = ["session_no", "segment_no", "lap_number", "samples", "max_speed", "avg_speed", "fuel_used"]
+    assert sorted(map(str, lifecycle.events_of(got, "lap_segment").select(*columns).collect())) == sorted(
+        map(str, sessions.lap_segments(t).select(*columns).collect()))
+    for kind, batch in (("lap_completion", sessions.lap_completions), ("setup_change", sessions.setup_changes)):
+        names = ["session_no", "lap_number"]
+        assert sorted(map(str, lifecycle.events_of(got, kind).select(*names).collect())) == sorted(
+            map(str, batch(t).select(*names).collect()))
+
+
 def test_repeats_go_wherever_they_are(spark, replay):
     twice = replay.unionByName(replay)
     got = run(spark, pipelines.without_repeats(streamed(spark, twice, 4)))
@@ -175,8 +209,8 @@ def test_event_store(spark):
     ]
     store = session.new_folder(spark, "store")
     sent = message_frame(spark, rows)
-    pipelines.store_batch(sent, 0, store)
-    pipelines.store_batch(sent, 0, store)  # the same batch once more
+    pipelines.store_batch(sent, 0, store, "r1")
+    pipelines.store_batch(sent, 0, store, "r1")  # the same batch once more
     got = {r.session_id: r for r in pipelines.stored_sessions(spark, store).collect()}
     assert set(got) == {"a", "b"}
     assert (got["a"].car, got["a"].total_laps, got["a"].best_lap_ms, got["a"].end_time) == ("c", 5, None, "t9")
@@ -188,9 +222,12 @@ def test_event_store(spark):
     assert pipelines.quarantined(spark, store).count() == 3
     # a later batch completes what is there
     pipelines.store_batch(message_frame(spark, [("a", "session_events", {**end, "best_lap_ms": 99, "total_laps": None})]),
-                          1, store)
+                          1, store, "r1")
     later = {r.session_id: r for r in pipelines.stored_sessions(spark, store).collect()}["a"]
     assert (later.total_laps, later.best_lap_ms) == (5, 99)
+    # a new checkpoint numbers its batches from 0 again and overwrites nothing
+    pipelines.store_batch(message_frame(spark, [("c", "session_events", {**START, "session_id": "c"})]), 0, store, "r2")
+    assert {r.session_id for r in pipelines.stored_sessions(spark, store).collect()} == {"a", "b", "c"}
 
 
 def test_unreadable(spark):

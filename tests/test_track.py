@@ -32,11 +32,16 @@ NAMES = [("Autodromo di MONZA", "monza"), ("spa", "spa"), ("Imola", None), (None
          ("monza to spa", "monza")]
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_first_file_whose_name_is_part_of_the_track(spark, monkeypatch, limit):
-    monkeypatch.setattr(track, "NAMED_TRACKS", limit)
+@pytest.mark.parametrize("more", [0, 1500])
+def test_first_file_whose_name_is_part_of_the_track(spark, more):
+    """A list of any length, and tracks without a name, an id or both match no text by that."""
     df = spark.createDataFrame([(n,) for n, _ in NAMES], "track string")
-    got = {r.track: r.track_id for r in track.resolve_tracks(df, tracks.known_corners(spark)).collect()}
+    known = tracks.known_corners(spark).select("file", "track_id", "track_name")
+    odd = spark.createDataFrame(
+        [("a.json", "zz", None), ("b.json", None, None), ("c.json", "", "")]
+        + [(f"x{i}.json", f"other{i}", f"Elsewhere {i}") for i in range(more)],
+        "file string, track_id string, track_name string")
+    got = {r.track: r.track_id for r in track.resolve_tracks(df, known.unionByName(odd)).collect()}
     assert got == dict(NAMES)
 
 
@@ -48,11 +53,15 @@ def test_shared_border_counts_in_both_corners(spark, samples):
     assert (second.min_speed, second.avg_speed, second.ref_low, second.delta_to_ref_low) == (60.0, 70.0, 60, 0.0)
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_zones_without_broadcast_give_the_same(spark, samples, monkeypatch, rows):
-    monkeypatch.setattr(track, "small_side", lambda df: df if rows == 0 else track.F.broadcast(df))
-    t = samples([{"distance_into_lap": float(d)} for d in range(0, 5793, 13)])
-    got = track.samples_in_corners(t, tracks.known_corners(spark)).count()
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_zones_without_broadcast_give_the_same(spark, samples, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        t = samples([{"distance_into_lap": float(d), "completed_laps": d % 7} for d in range(0, 5793, 13)])
+        got = track.samples_in_corners(t, tracks.known_corners(spark)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == sum(c[2] <= d <= c[4] for d in range(0, 5793, 13) for c in fixed.CORNERS if c[0] == "monza")
 
 
