@@ -201,7 +201,8 @@ class Lifecycle(StatefulProcessor):
             values = batch[_NAMES].astype(object)
             values = values.where(values.notna(), None)
             for name in _WHOLE:  # pandas holds whole numbers among NULLs as floats
-                values[name] = [None if v is None else int(v) for v in values[name]]
+                whole = [None if v is None else int(v) for v in values[name]]
+                values[name] = pd.Series(whole, index=values.index, dtype=object)
             ends = (batch["ts_us"] // 1000).map(_bucket_end)
             for end, bucket in values.groupby(ends):
                 end = int(end)
