@@ -22,4 +22,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op10_secret_ledger": secrets.OP10_SQL,
 }

@@ -202,3 +202,40 @@ def redact_secrets(docs: DataFrame, folder: str | None = None, rules: tuple[Rule
 
 def op10_secret_ledger(spark, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _op10_sql() -> str:
+    """The same by splitting at the matches: a match starts after all gaps and matches before it."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    kinds = []
+    for k, rule in enumerate(RULES):
+        pattern, name = quoted(rule.pattern), quoted(rule.kind)
+        kinds.append(
+            f"SELECT doc_id, {k} AS k, {name} AS kind, {rule.least} AS least, "
+            f"regexp_split_to_array(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found, "
+            f"regexp_extract_all(t, {pattern}, {rule.group}) AS measured FROM d")
+    base = ", ".join(quoted(rule.kind) for rule in RULES if rule.base)
+    counts = ", ".join(
+        f"coalesce(count(*) FILTER (WHERE kind = {quoted(rule.kind)}), 0) AS n_{rule.kind}"
+        for rule in RULES if rule.base)
+    totals = ", ".join(f"coalesce(n_{rule.kind}, 0)::BIGINT AS n_{rule.kind}" for rule in RULES if rule.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(kinds)}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+p AS (
+  SELECT doc_id, k, kind, length(found[i]) AS size, length(measured[i]) AS counted, least,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM i),
+s AS (SELECT doc_id, k, kind, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM p WHERE counted >= least),
+g AS (
+  SELECT doc_id, {counts},
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (WHERE kind IN ({base})) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {totals}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+OP10_SQL = _op10_sql()
