@@ -48,7 +48,8 @@ def resample(samples: DataFrame, columns: list[str], n: int = fixed.GRID_POINTS,
              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Linear interpolation of ``columns`` at n distances of every lap.
 
-    The grid spans each lap's own distances, or what ``grid`` (keys, lo, hi) says.
+    The grid spans each lap's own distances, or what ``grid`` (keys, lo, hi) says; a
+    ``grid`` that also has the number of samples ``n`` spares counting them again.
     Grid points a lap does not reach take its end values, or NULL with
     ``outside="null"``. A lap of one sample is given as it is. Of several samples at
     one distance the last counts before it and the first after it.
@@ -59,11 +60,14 @@ def resample(samples: DataFrame, columns: list[str], n: int = fixed.GRID_POINTS,
         *keys, F.col(DISTANCE).cast("double").alias("_d"), *order,
         *[F.col(c).cast("double").alias(c) for c in columns],
     )
-    bounds = rows.groupBy(*keys).agg(
-        F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    if grid is not None:
-        bounds = bounds.select(*keys, "n").join(grid.select(*keys, "lo", "hi"), keys)
+    if grid is not None and "n" in grid.columns:
+        bounds = grid.select(*keys, "lo", "hi", "n")
+    else:
+        bounds = rows.groupBy(*keys).agg(
+            F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count(F.lit(1)).alias("n")
+        )
+        if grid is not None:
+            bounds = bounds.select(*keys, "n").join(grid.select(*keys, "lo", "hi"), keys)
     placed = Slices(rows, keys, ["_d"], rows_per_slice).join_per_key(bounds)
 
     sample = F.struct(F.col("_d").alias("d"), *columns)
@@ -155,21 +159,18 @@ def time_loss(samples: DataFrame, n: int = fixed.GRID_POINTS) -> DataFrame:
     live = samples.where(C.is_live() & F.col("completed_laps").isNotNull())
     d = F.col(DISTANCE).cast("double")
     laps = live.where(d.isNotNull()).groupBy(*LAP).agg(
-        F.max("current_lap_time_ms").alias("ms"), F.min(d).alias("lo"), F.max(d).alias("hi"))
-    best = laps.where("ms > 0").groupBy("session_id").agg(
-        F.min(F.struct("ms", "completed_laps", "lo", "hi")).alias("best"))
-    grid = laps.select(*LAP).join(best, "session_id").select(
-        *LAP, "best.lo", "best.hi", F.col("best.completed_laps").alias("best_lap"))
-    milliseconds = ["current_lap_time_ms"]
-    points = resample(live, milliseconds, n, grid=grid, outside="null")
-    only = best.select("session_id", F.col("best.completed_laps").alias("completed_laps"))
-    reference = resample(
-        live.join(only, LAP, "left_semi"), milliseconds, n, grid=grid.join(only, LAP, "left_semi"),
-        outside="null",
-    ).select("session_id", "grid_i", F.col("completed_laps").alias("best_lap"),
-             F.col("current_lap_time_ms").alias("_best_ms"))
-    # keyed by grid point too: one session spreads over n keys
-    return points.join(reference, ["session_id", "grid_i"]).select(
+        F.max("current_lap_time_ms").alias("ms"), F.min(d).alias("lo"), F.max(d).alias("hi"),
+        F.count(F.lit(1)).alias("n"))
+    # over the laps of a session, which are one row each by now
+    of_session = Window.partitionBy("session_id")
+    best = F.min(F.when(F.col("ms") > 0, F.struct("ms", "completed_laps", "lo", "hi"))).over(of_session)
+    grid = laps.withColumn("best", best).where("best is not null").select(
+        *LAP, "best.lo", "best.hi", "n", F.col("best.completed_laps").alias("best_lap"))
+    points = resample(live, ["current_lap_time_ms"], n, grid=grid, outside="null")
+    # by grid point too, so that one session spreads over n keys; the best lap is one of the rows
+    here = Window.partitionBy("session_id", "grid_i")
+    time = F.col("current_lap_time_ms")
+    return points.join(grid.select(*LAP, "best_lap"), LAP).select(
         *LAP, "best_lap", "grid_i", DISTANCE,
-        (F.col("current_lap_time_ms") - F.col("_best_ms")).alias("time_delta_ms"),
+        (time - F.max(F.when(F.col("completed_laps") == F.col("best_lap"), time)).over(here)).alias("time_delta_ms"),
     )
