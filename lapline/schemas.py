@@ -5,26 +5,25 @@ from pyspark.sql import types as T
 from lapline import fixed_values as fixed
 
 _KINDS = {
-    "s": T.StringType(), "f": T.FloatType(), "i": T.IntegerType(), "b": T.BooleanType(),
-    "d": T.DoubleType(),
+    "string": T.StringType(), "float": T.FloatType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "double": T.DoubleType(),
 }
 
 
-def _fields(spec: str) -> list[T.StructField]:
-    return [
-        T.StructField(name, _KINDS[kind])
-        for name, kind in (item.split(":") for item in spec.split())
-    ]
+def _fields(ddl: str) -> list[T.StructField]:
+    """Fields from ``name type, ...``, without a session."""
+    return [T.StructField(name, _KINDS[kind]) for name, kind in map(str.split, ddl.split(", "))]
 
 
 # Fixed column order of a recording.
 _HEAD = _fields(
-    "timestamp_wall:s timestamp_game:f car:s track:s session_type:s status:s "
-    "completed_laps:i current_lap_time_ms:i last_lap_time_ms:i best_lap_time_ms:i "
-    "distance_into_lap:f normalized_position:f current_sector:i last_sector_time_ms:i "
-    "is_valid_lap:b is_in_pit:b is_in_pit_lane:b "
-    "throttle:f brake:f steering:f clutch:f "
-    "speed_kmh:f gear:i rpm:i fuel_remaining:f fuel_per_lap:f g_lat:f g_lon:f g_vert:f"
+    "timestamp_wall string, timestamp_game float, car string, track string, "
+    "session_type string, status string, completed_laps int, current_lap_time_ms int, "
+    "last_lap_time_ms int, best_lap_time_ms int, distance_into_lap float, "
+    "normalized_position float, current_sector int, last_sector_time_ms int, "
+    "is_valid_lap boolean, is_in_pit boolean, is_in_pit_lane boolean, throttle float, "
+    "brake float, steering float, clutch float, speed_kmh float, gear int, rpm int, "
+    "fuel_remaining float, fuel_per_lap float, g_lat float, g_lon float, g_vert float"
 )
 _WHEEL_COLUMNS = [
     T.StructField(f"{prefix}_{wheel}", T.FloatType())
@@ -32,8 +31,9 @@ _WHEEL_COLUMNS = [
     for wheel in fixed.WHEELS
 ]
 _TAIL = _fields(
-    "tc_level:i tc_cut:i abs_level:i engine_map:i brake_bias:f "
-    "air_temp:f road_temp:f track_grip:s rain_intensity:s wind_speed:f wind_direction:f"
+    "tc_level int, tc_cut int, abs_level int, engine_map int, brake_bias float, "
+    "air_temp float, road_temp float, track_grip string, rain_intensity string, "
+    "wind_speed float, wind_direction float"
 )
 _SESSION = T.StructField("session_id", T.StringType())
 
@@ -85,31 +85,33 @@ def _lap_file() -> T.StructType:
 LAP_FILE = _lap_file()
 
 SESSION_EVENT = T.StructType(_fields(
-    "event_type:s session_id:s platform:s track:s car:s session_type:s timestamp:s "
-    "total_laps:i best_lap_ms:i"
+    "event_type string, session_id string, platform string, track string, car string, "
+    "session_type string, timestamp string, total_laps int, best_lap_ms int"
 ))
-_WHEELWISE = " ".join(
-    f"{prefix}_{wheel}:d"
+_WHEELWISE = ", ".join(
+    f"{prefix}_{wheel} double"
     for prefix in ("avg_tyre_temp", "tyre_temp", "tyre_pressure") for wheel in fixed.WHEELS
 )
 #: Both shapes of a lap completion: as recorded and as sent live.
 LAP_COMPLETION = T.StructType(_fields(
-    "session_id:s timestamp:s lap_number:i lap_time_ms:i is_valid:b fuel_remaining:d "
-    "sector_1_ms:i sector_2_ms:i sector_3_ms:i fuel_used:d last_sector_time_ms:i " + _WHEELWISE
+    "session_id string, timestamp string, lap_number int, lap_time_ms int, is_valid boolean, "
+    "fuel_remaining double, sector_1_ms int, sector_2_ms int, sector_3_ms int, fuel_used double, "
+    "last_sector_time_ms int, " + _WHEELWISE
 ))
 SETUP_SNAPSHOT = T.StructType(_fields(
-    "session_id:s car:s track:s timestamp:s lap_applied_from:i lap_number:i "
-    "tc_level:i tc_cut:i abs_level:i engine_map:i brake_bias:d"
+    "session_id string, car string, track string, timestamp string, lap_applied_from int, "
+    "lap_number int, tc_level int, tc_cut int, abs_level int, engine_map int, brake_bias double"
 ))
 SETUP_CHANGE = T.StructType(_fields(
-    "session_id:s parameter:s old_value:d new_value:d lap_number:i timestamp:s"
+    "session_id string, parameter string, old_value double, new_value double, lap_number int, "
+    "timestamp string"
 ))
 _CORNER = T.StructType(
-    _fields("entry_m:i apex_m:i exit_m:i braking_zone_start_m:i")
+    _fields("entry_m int, apex_m int, exit_m int, braking_zone_start_m int")
     + [T.StructField("typical_speed_range_kmh", T.ArrayType(T.IntegerType()))]
 )
 TRACK_FILE = T.StructType(
-    _fields("track_name:s track_id:s track_length_m:i sector_count:i") + [
+    _fields("track_name string, track_id string, track_length_m int, sector_count int") + [
         T.StructField("sector_boundaries_m", T.ArrayType(T.IntegerType())),
         T.StructField("corners", T.MapType(T.StringType(), _CORNER)),
     ]
