@@ -171,3 +171,23 @@ def test_batch_equals_state_machine(samples, random_rows, rows_per_slice):
     want = stream(("lap_segment",), *columns) + [
         (e["session_id"], e["ts_us"] // 1_000_000, *[e[c] for c in columns]) for e in tails]
     assert batch(segments, *columns) == sorted(want, key=str)
+
+
+def final_plan(df):
+    """The plan that ran, without the one that was planned first."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("operator", [sessions.sessionize, sessions.session_events, sessions.lap_completions,
+                                      sessions.setup_changes, sessions.lap_segments])
+def test_three_reads_and_one_exchange_of_the_rows(spark, samples, tmp_path, operator):
+    """Also where keys are cut: cuts, rows, and the few columns that slices hand on."""
+    rows = [{"ts": i, "packet_id": i, "completed_laps": i // 40, "status": "pause" if i % 90 == 89 else "live"}
+            for i in range(600)]
+    samples(rows).write.parquet(str(tmp_path / "samples"))
+    plan = final_plan(operator(spark.read.parquet(str(tmp_path / "samples")), 30))
+    assert plan.count("FileScan") <= 3, plan
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(session_id" in line and "_slice" in line]
+    assert len(wide) <= 2, plan  # the rows, and the columns of cut keys
