@@ -471,17 +471,22 @@ _SHARED = """, shared AS (SELECT session_id, max(lo) AS lo, min(hi) AS hi FROM b
     WHERE completed_laps IN (0, 1) GROUP BY session_id HAVING count(*) = 2)"""
 _COMMON = _grid("""(SELECT s.session_id, l.completed_laps, s.lo, s.hi FROM shared s,
     (VALUES (0), (1)) l(completed_laps) WHERE s.lo <= s.hi)""")
+# only the two laps that are compared, before any grid is laid
+_TWO_LAPS_CTE = _POINTS_CTE.replace("WHERE status = 'live')", "WHERE status = 'live' AND completed_laps IN (0, 1))").replace(
+    "p AS (", "p AS MATERIALIZED (", 1).replace("bounds AS (", "bounds AS MATERIALIZED (", 1)
 oracle("compared_laps", _PAIRED, _PAIRED_DOUBLES, ctes=(
-    f"{_POINTS_CTE}{_SHARED}, grid AS ({_COMMON}), v AS ({_interpolated('speed_kmh throttle brake')})"))
+    f"{_TWO_LAPS_CTE}{_SHARED}, grid AS MATERIALIZED ({_COMMON}), "
+    f"v AS MATERIALIZED ({_interpolated('speed_kmh throttle brake')})"))
 oracle("compared_laps_positional", _PAIRED, _PAIRED_DOUBLES, ctes=(
-    f"{_POINTS_CTE}{_SHARED}, grid AS ({_OWN_GRID}), w AS ({_interpolated('speed_kmh throttle brake')}), "
+    f"{_TWO_LAPS_CTE}{_SHARED}, grid AS MATERIALIZED ({_OWN_GRID}), "
+    f"w AS MATERIALIZED ({_interpolated('speed_kmh throttle brake')}), "
     f"v AS (SELECT w.* FROM w JOIN shared s ON s.session_id = w.session_id AND w.x <= s.hi)"))
 
-_LOSS_CTE = f"""{_POINTS_CTE}, best AS (
+_LOSS_CTE = f"""{_POINTS_CTE.replace("p AS (", "p AS MATERIALIZED (", 1)}, best AS (
     SELECT session_id, completed_laps AS best_lap, lo, hi FROM bounds WHERE ms > 0
     QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ms, completed_laps) = 1),
-grid AS ({_grid("(SELECT b.session_id, b.completed_laps, z.best_lap, z.lo, z.hi FROM bounds b JOIN best z USING (session_id))")}),
-v AS ({_interpolated('ms', 'null')}),
+grid AS MATERIALIZED ({_grid("(SELECT b.session_id, b.completed_laps, z.best_lap, z.lo, z.hi FROM bounds b JOIN best z USING (session_id))")}),
+v AS MATERIALIZED ({_interpolated('ms', 'null')}),
 loss AS (SELECT a.session_id, a.completed_laps, a.best_lap, a.i AS grid_i,
                 a.x AS distance_into_lap, a.ms - b.ms AS time_delta_ms
          FROM v a JOIN v b ON a.session_id = b.session_id AND a.i = b.i
