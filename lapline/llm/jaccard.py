@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Two rows link when their sets of ``words``-word n-grams have num / den of their union in common, or more;
     component_id is the smallest doc_id that a row reaches by links, its own included. A text of fewer words is one
     n-gram; a null text or one without words is empty, has 0 n-grams and links with nothing. Equal sets are one from
-    the start, so copies and repeated rows cost no pairs. A row without doc_id takes part but names no component; if
-    a whole component has none, component_id is null. An empty table gives no row; other columns are left out. Whole
+    the start, so copies and repeated rows cost no pairs. A row without doc_id shares the component of rows with an equal
+    set; a set that only such rows have links with nothing, and its component_id is null. An empty table gives no row; other columns are left out. Whole
     texts are read and no link is lost: every pair above the limit meets in a tile.
     """
     measure = Measure(words, num, den)
