@@ -28,6 +28,7 @@ BLOCK = 256
 FLUSH = 4_000_000
 #: Rows up to which a table of two longs is broadcast (16 MB).
 SMALL = 1_000_000
+NAMES = ["kind", "part", "a", "b", "c"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,10 +121,11 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, measure: Measure) -> DataFrame:
-    """One reading of all texts: a row per document (kind 0: doc_id, set, size) and per set and tile (kind 1).
+    """One reading of all texts: a row per document (kind 0: doc_id, set, size) and rows for sets and tiles.
 
-    Kind 1 rows have the tile's key, the set, and the first set of this task in the tile (null if it is that one):
-    sets that meet in a task are combined here, so a tile sends on one row per task however many sets it has.
+    Sets that meet in a task are combined here: a tile sends one row per task (kind 1: its first set), however many
+    sets it has; where it has several, each of them is a row too (kind 2: key, set, and the first set, null if it is
+    that one). ``part`` says where a row goes: kind 1 by its tile's key, the others anywhere.
     """
     def combined(keys: list, sets: list):
         key, own = np.concatenate(keys), np.concatenate(sets)
@@ -134,17 +136,25 @@ def sketches(docs: DataFrame, measure: Measure) -> DataFrame:
         hub = own[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
         again = np.zeros(len(key), bool)
         again[1:] = (key[1:] == key[:-1]) & (own[1:] == own[:-1])
-        key, own, hub = key[~again], own[~again], hub[~again]
-        for start in range(0, len(key), 100_000):
-            part = slice(start, start + 100_000)
-            n = len(key[part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int8)), signed(key[part]), signed(own[part]),
-                 pa.array(hub[part].view(np.int64), mask=own[part] == hub[part])], ["kind", "a", "b", "c"])
+        key, own, hub, first = key[~again], own[~again], hub[~again], first[~again]
+        joined = np.zeros(len(key), bool)  # tiles with several sets
+        joined[:-1] = ~first[1:]
+        joined |= ~first
+        for kind, chosen in ((1, first), (2, joined)):
+            keys_, sets_, hubs = key[chosen], own[chosen], hub[chosen]
+            for start in range(0, len(keys_), 100_000):
+                at = slice(start, start + 100_000)
+                n = len(keys_[at])
+                same = np.ones(n, bool) if kind == 1 else sets_[at] == hubs[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, kind, np.int8)),
+                     signed(keys_[at] if kind == 1 else mix(keys_[at] ^ sets_[at])),
+                     pa.nulls(n, pa.int64()) if kind == 1 else signed(keys_[at]), signed(sets_[at]),
+                     pa.array(hubs[at].view(np.int64), mask=same)], NAMES)
 
     def run(batches):
         memo, seen = Memo(xxhash.xxh64_intdigest), set()
-        keys, sets, held = [], [], 0
+        keys, sets, held, seen_rows = [], [], 0, 0
         for batch in batches:
             own, sizes = [], []
             for text in batch.column(1).to_pylist():
@@ -164,8 +174,10 @@ def sketches(docs: DataFrame, measure: Measure) -> DataFrame:
                     sets.append(np.full(len(found), name, np.uint64))
                     held += len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), pa.array(own, pa.int64()),
-                 pa.array(sizes, pa.int64())], ["kind", "a", "b", "c"])
+                [pa.array(np.zeros(batch.num_rows, np.int8)),
+                 signed(mix(np.arange(seen_rows, seen_rows + batch.num_rows, dtype=np.uint64) + np.uint64(len(keys)))),
+                 batch.column(0), pa.array(own, pa.int64()), pa.array(sizes, pa.int64())], NAMES)
+            seen_rows += batch.num_rows
             if held >= FLUSH:
                 yield from combined(keys, sets)
                 keys, sets, held = [], [], 0
@@ -173,7 +185,7 @@ def sketches(docs: DataFrame, measure: Measure) -> DataFrame:
         if keys:
             yield from combined(keys, sets)
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, c long")
+    return docs.mapInArrow(run, "kind byte, part long, a long, b long, c long")
 
 
 def slot_bits(ids: DataFrame) -> np.ndarray:
@@ -308,14 +320,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     measure = Measure(words, num, den)
     docs = narrowed(docs, doc_id="long", text="string")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sketch = scratch.write(sketches(docs, measure), "sketch")
+    # of the tiles with one set in one task only, which are nearly all, no row is written
+    sketch = scratch.write(
+        sketches(docs, measure).selectExpr("*", "min(b) over (partition by kind, part) as low",
+                                           "max(b) over (partition by kind, part) as high")
+        .where("kind <> 1 or low <> high").drop("high"), "sketch")
     rows = sketch.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"),
                                            F.col("c").alias("n_shingles"))
-    tiles = sketch.where("kind = 1").select("a", "b", "c")
+    tiles = sketch.where("kind > 0").selectExpr("if(kind = 1, part, a) as a", "b", "c")
     # the smallest of the sets that tasks sent on is the hub of a tile
-    heads = tiles.where("c is null").selectExpr("a as key", "b as set", "min(b) over (partition by a) as hub")
-    tied = scratch.write(heads.where("set <> hub").select("key", F.col("set").alias("a"), F.col("hub").alias("b")),
-                         "tied")
+    tied = scratch.write(sketch.where("kind = 1 and b <> low").selectExpr("part as key", "b as a", "low as b"), "tied")
     stars = scratch.write(
         tiles.where("c is not null").select(F.greatest("b", "c").alias("a"), F.least("b", "c").alias("b"))
         .unionByName(tied.select("a", "b")).distinct(), "stars")
@@ -345,8 +359,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         "doc_id", "n_shingles", F.coalesce("root", "set").alias("root"))
     full = scratch.write(full, "full")
     named = scratch.write(full.groupBy("root").agg(F.min("doc_id").alias("component_id")), "named")
+    empty = scratch.write(rows.where("set is null").select("doc_id", "n_shingles"), "empty")
+    scratch.drop("sketch", "tied", "stars", "wanted", "links")
     return full.join(named, "root").select("doc_id", "n_shingles", "component_id").unionByName(
-        rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -142,10 +142,12 @@ def near_lines(scratch: Scratch, docs: DataFrame, every: DataFrame, firsts: Data
     near = spread.join(groups, "variant")
     own = spread.select("variant", F.col("first").alias("earliest"), F.col("cut").alias("other"))
     near = near.where("first > earliest").join(own, ["variant", "earliest"]).where(F.levenshtein("cut", "other", 1) >= 0)
-    return scratch.write(near.groupBy("one", "two").agg(F.min("earliest").alias("earliest")), "near")
+    out = scratch.write(near.groupBy("one", "two").agg(F.min("earliest").alias("earliest")), "near")
+    scratch.drop("shared", "chosen", "wanted", "texts", "cut", "fine", "spread", "groups")
+    return out
 
 
-def line_decisions(docs: DataFrame, least: int = 16) -> DataFrame:
+def line_decisions(docs: DataFrame, least: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """One row per line of ``docs`` (doc_id, text): doc_id, version, line_no, kept, earliest_doc_id, earliest_line_no.
 
     A line is dropped if an earlier line is equal, or, for lines of ``least`` characters or more, within one
@@ -155,7 +157,7 @@ def line_decisions(docs: DataFrame, least: int = 16) -> DataFrame:
     Lines of white space are always kept. Lines end at a line feed; an empty text is one empty line, a null text has
     none, an empty table gives no row; other columns are left out. Whole texts are read.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = texts_of(docs)
     solid = F.col("line").rlike(SOLID)
     sized = lines_of(docs).withColumn("size", F.length("line"))
@@ -169,6 +171,7 @@ def line_decisions(docs: DataFrame, least: int = 16) -> DataFrame:
     stands = scratch.write(
         firsts.join(near, ["one", "two"], "left").select(
             "one", "two", "first", F.coalesce("earliest", "first").alias("earliest")), "stands")
+    scratch.drop("firsts", "near")
     judged = lines.join(stands, ["one", "two"])
     return judged.select(
         "doc_id", "version", "line_no", ((F.col("at") == F.col("first")) & (F.col("at") == F.col("earliest"))).alias("kept"),
@@ -185,13 +188,16 @@ def dedup_lines(docs: DataFrame, least: int = 16) -> DataFrame:
     other documents, also those with a null or blank text, stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    decided = scratch.write(line_decisions(docs, least), "decided")
+    decided = scratch.write(line_decisions(docs, least, scratch), "decided")
+    scratch.drop("every", "stands")
     flags = decided.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("line_no", "kept"))).alias("flags"), F.min("kept").alias("whole")
     ).where("not whole").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"),
                                 F.transform("flags", lambda x: x["kept"]).alias("__keep"))
+    flags = scratch.write(flags, "flags")
+    scratch.drop("decided")
     joined = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).join(
-        scratch.write(flags, "flags"),
+        flags,
         F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__version")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"),
                                  lambda line, i: F.element_at("__keep", (i + 1).cast("int"))), "\n")
