@@ -711,4 +711,8 @@ oracle("stored_setups", f"""
 oracle("quarantined_messages", f"""
     SELECT 'lap_completions' AS topic, {_count("status = 'replay'")} AS messages FROM t""")
 
+# the same, whatever the slices
+for _name in ("sessionized", "session_events", "lap_segments", "resampled_laps"):
+    ORACLES[f"{_name}_in_slices"] = ORACLES[_name]
+
 assert set(COLUMNS) >= set(schemas.SAMPLE.names)

@@ -257,6 +257,25 @@ def sessionized(t):
     return sessions.sessionize(t).select("packet_id", *SESSION)
 
 
+#: Rows of a slice in the queries that show that cuts change nothing: every stream is cut.
+SMALL_SLICE = 50
+
+
+@query
+def sessionized_in_slices(t):
+    return sessions.sessionize(t, SMALL_SLICE).select("packet_id", *SESSION)
+
+
+@query
+def session_events_in_slices(t):
+    return sessions.session_events(t, SMALL_SLICE)
+
+
+@query
+def lap_segments_in_slices(t):
+    return sessions.lap_segments(t, SMALL_SLICE)
+
+
 query(sessions.session_events)
 query(sessions.lap_completions)
 query(sessions.setup_changes)
@@ -382,6 +401,11 @@ def resampled_laps(t):
     return align.resample(live(t), ["speed_kmh", "throttle"])
 
 
+@query
+def resampled_laps_in_slices(t):
+    return align.resample(live(t), ["speed_kmh", "throttle"], rows_per_slice=SMALL_SLICE)
+
+
 @query
 def compared_laps(t):
     return align.compare_laps(t, 0, 1)
