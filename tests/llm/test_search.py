@@ -48,6 +48,22 @@ def test_search_equals_brute_force(table, monkeypatch, shard, asked):
     assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in got) == best_by_brute_force(rows, 20, 5, 6)
 
 
+@pytest.mark.parametrize("shard, asked, each", [(6_000_000, 4_000_000, 1), (3000, 2000, 1000)])
+def test_search_takes_all_terms_of_a_row(table, monkeypatch, shard, asked, each):
+    for name, value in (("SHARD", shard), ("ASKED", asked), ("BLOCK", 8), ("EACH", each)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(4)
+    words = [f"w{int(1.08 ** rng.randrange(90))}" for _ in range(300)]
+    # each row has more words of its own than an extract of a few terms would hold
+    rows = ODD + [(10 + i, " ".join([rng.choice(words) for _ in range(rng.randrange(1, 90))]
+                                    + [f"own{i}x{j}" for j in range(12)])) for i in range(300)]
+    rows += [(1000 + i, rows[-1][1]) for i in range(40)]
+    got = search.more_like(table(rows).repartition(4), every=20).collect()
+    want = best_by_brute_force(rows, 20, None, 10)
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in got) == want
+    assert all(sum(w[0] == 20 * q for w in want) == 10 for q in range(1, 15))
+
+
 def test_search_of_nothing(table):
     assert search.more_like(table([])).count() == 0
     assert search.more_like(table([(20, None), (None, "a")])).count() == 0
