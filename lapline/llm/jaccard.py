@@ -24,6 +24,8 @@ SLOTS = 8_388_593
 BITMAP_BYTES = 512
 #: Sets in a block of a tile that is compared whole.
 BLOCK = 256
+#: N-grams whose presence in two blocks is multiplied at once (16 MB).
+COLUMNS = 8192
 #: Keys of a task that are combined at once.
 FLUSH = 4_000_000
 #: Rows up to which a table of two longs is broadcast (16 MB).
@@ -307,19 +309,9 @@ def compared_whole(scratch: Scratch, tiles: DataFrame, stars: DataFrame, tied: D
     return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
-
-    Two rows link when their sets of ``words``-word n-grams have num / den of their union in common, or more;
-    component_id is the smallest doc_id that a row reaches by links, its own included. A text of fewer words is one
-    n-gram; a null text or one without words is empty, has 0 n-grams and links with nothing. Equal sets are one from
-    the start, so copies and repeated rows cost no pairs. A row without doc_id shares the component of rows with an equal
-    set; a set that only such rows have links with nothing, and its component_id is null. An empty table gives no row; other columns are left out. Whole
-    texts are read and no link is lost: every pair above the limit meets in a tile.
-    """
-    measure = Measure(words, num, den)
-    docs = narrowed(docs, doc_id="long", text="string")
-    scratch = Scratch(docs.sparkSession, "jaccard")
+def grouped(scratch: Scratch, docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, set, n_shingles) of all documents, arrays of the sets that may link, and (node, root) of those
+    that do."""
     # of the tiles with one set in one task only, which are nearly all, no row is written
     sketch = scratch.write(
         sketches(docs, measure).selectExpr("*", "min(b) over (partition by kind, part) as low",
@@ -354,6 +346,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         if later.limit(1).count():
             links = links.unionByName(later)
             roots = scratch.write(components(scratch, links, turn), f"roots_{turn}")
+    return rows, arrays, roots
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
+
+    Two rows link when their sets of ``words``-word n-grams have num / den of their union in common, or more;
+    component_id is the smallest doc_id that a row reaches by links, its own included. A text of fewer words is one
+    n-gram; a null text or one without words is empty, has 0 n-grams and links with nothing. Equal sets are one from
+    the start, so copies and repeated rows cost no pairs. A row without doc_id shares the component of rows with an equal
+    set; a set that only such rows have links with nothing, and its component_id is null. An empty table gives no row; other columns are left out. Whole
+    texts are read and no link is lost: every pair above the limit meets in a tile.
+    """
+    measure = Measure(words, num, den)
+    docs = narrowed(docs, doc_id="long", text="string")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows, _, roots = grouped(scratch, docs, measure)
     scratch.drop("arrays")
     full = rows.where("set is not null").join(roots.withColumnRenamed("node", "set"), "set", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "set").alias("root"))
@@ -365,6 +374,90 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def all_links(rows: pa.Table, measure: Measure):
+    """(one, two, links) of a table of two blocks of a component: the places of their sets, and which of them link."""
+    block, size = rows["block"].to_numpy(), rows["size"].to_numpy()
+    one, two = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
+    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["grams"].combine_chunks()]
+    names, place = np.unique(np.concatenate(grams), return_inverse=True)
+    owner = np.repeat(np.arange(len(grams)), size)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    common = np.zeros((len(one), len(two)), np.float32)  # whole numbers below 2**24 are exact
+    for start in range(0, len(names), COLUMNS):
+        low, high = np.searchsorted(place, (start, start + COLUMNS))
+        has = np.zeros((len(grams), min(COLUMNS, len(names) - start)), np.float32)
+        has[owner[low:high], place[low:high] - start] = 1
+        common += has[one] @ has[two].T
+    common = common.astype(np.int64)
+    links = common * measure.den >= (size[one][:, None] + size[two][None, :] - common) * measure.num
+    if rows["i"][0].as_py() == rows["j"][0].as_py():
+        links = np.triu(links, 1)
+    return one, two, links
+
+
+def blocks_of(scratch: Scratch, rows: DataFrame, arrays: DataFrame, roots: DataFrame) -> DataFrame:
+    """The sets of each component in blocks, once for every block that theirs meets: a link lies inside a component, so
+    each pair of sets meets in one group of (root, i, j) only."""
+    copies = rows.where("set is not null and doc_id is not null").groupBy("set").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    members = scratch.write(
+        roots.distinct().withColumnRenamed("node", "set").join(arrays.select("set", "size", "grams"), "set")
+        .join(copies, "set"), "linked_members")
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "doc_id",
+        "copies", "size", "grams")
+
+
+def link_counts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, n_links and n_near of each row of ``docs`` (doc_id, text), by the links of near_duplicates.
+
+    n_links is the number of other rows with a doc_id that the row links with, copies of its text included; n_near
+    is the number of different sets among them, its own not counted. All pairs of a component are compared exactly
+    and counted inside tasks, each in one task. Rows without n-grams have 0 links.
+    """
+    measure = Measure(words, num, den)
+    scratch = Scratch(docs.sparkSession, "links")
+    rows, arrays, roots = grouped(scratch, narrowed(docs, doc_id="long", text="string"), measure)
+
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, links = all_links(rows, measure)
+        name, copies = rows["set"].to_numpy(), rows["copies"].to_numpy()
+        return pa.table({"set": np.concatenate([name[one], name[two]]),
+                         "others": np.concatenate([links @ copies[two], copies[one] @ links]).astype(np.int64),
+                         "near": np.concatenate([links.sum(axis=1), links.sum(axis=0)]).astype(np.int64)})
+
+    counts = blocks_of(scratch, rows, arrays, roots).groupBy("root", "i", "j").applyInArrow(
+        run, "set long, others long, near long").groupBy("set").agg(F.sum("others").alias("others"),
+                                                                    F.sum("near").alias("near"))
+    own = rows.where("set is not null").groupBy("set").agg(F.count("doc_id").alias("copies"))
+    sums = own.join(counts, "set", "left")
+    itself = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    return rows.join(sums, "set", "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("set").isNull(), F.lit(0)).otherwise(
+            F.col("copies") - itself + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"))
+
+
+def link_pairs(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_a, doc_b) of every two different sets that link, doc_a < doc_b: each set by its smallest doc_id, once."""
+    measure = Measure(words, num, den)
+    scratch = Scratch(docs.sparkSession, "links")
+
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, links = all_links(rows, measure)
+        a, b = np.nonzero(links)
+        ids = rows["doc_id"].to_numpy()
+        a, b = ids[one[a]], ids[two[b]]
+        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b)})
+
+    rows, arrays, roots = grouped(scratch, narrowed(docs, doc_id="long", text="string"), measure)
+    return blocks_of(scratch, rows, arrays, roots).groupBy("root", "i", "j").applyInArrow(run, "doc_a long, doc_b long")
+
+
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100)
 

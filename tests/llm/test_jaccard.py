@@ -78,3 +78,29 @@ def test_tiles_lose_no_pair():
             common = len(set(x.tolist()) & set(y.tolist()))
             if common * measure.den >= (len(x) + len(y) - common) * measure.num and set(x.tolist()) != set(y.tolist()):
                 assert set(measure.tiles(x).tolist()) & set(measure.tiles(y).tolist())
+
+
+@pytest.mark.parametrize("block, columns", [(256, 8192), (16, 50)])
+def test_links_equal_all_pairs(table, monkeypatch, block, columns):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rows = documents()
+    sets = [(i, grams(t, 3)) for i, t in rows]
+
+    def link(x, y):
+        return bool(x and y) and len(x & y) * 100 >= len(x | y) * 80
+
+    want = sorted(str((i, len(x), sum(link(x, y) for k, (j, y) in enumerate(sets) if j is not None and k != at),
+                       len({frozenset(y) for j, y in sets if j is not None and y != x and link(x, y)})))
+                  for at, (i, x) in enumerate(sets) if i is not None)
+    data = table(rows).repartition(5)
+    got = jaccard.link_counts(data, 3, 80, 100).where("doc_id is not null").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    least = {}
+    for i, x in sets:
+        if i is not None and x:
+            least[frozenset(x)] = min(least.get(frozenset(x), i), i)
+    names = list(least.items())
+    pairs = sorted((min(i, j), max(i, j)) for k, (x, i) in enumerate(names) for y, j in names[:k] if link(x, y))
+    assert len(pairs) > len(names)  # more than a spanning part
+    assert sorted(tuple(r) for r in jaccard.link_pairs(data, 3, 80, 100).collect()) == pairs
