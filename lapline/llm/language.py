@@ -62,21 +62,21 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(labelled: DataFrame, per_language: int = 600, landmarks_per_language: int = 48, ridge: float = 1e-3) -> Model:
-    """Fit on ``labelled`` (text, lang): at most ``per_language`` rows of each language, chosen by a hash of the text.
+    """Fit on ``labelled`` (text, lang): at most ``per_language`` texts of each language, chosen by their hash.
 
     The rows are turned into slots on the executors; a bit per slot comes to the driver, which solves one system of
-    the size of the landmarks. Rows without text, letter or language are left out; equal texts are taken once.
+    the size of the landmarks. Rows without text, letter or language are left out; equal texts count once, before the limit.
     """
     labelled = narrowed(labelled, text="string", lang="string")
     hashed = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     # hashes are spread evenly, so a share of their range four times as large as is needed holds the smallest ones
     # of a language, and only these rows are shuffled, however many a language has
-    counts = hashed.groupBy("lang").count().collect()  # one row per class that the model learns
+    counts = hashed.select("lang", "h").distinct().groupBy("lang").count().collect()  # one row per class that the model learns
     if not counts:
         return Model([], np.zeros((1, SLOTS), np.float32), np.zeros((1, 0), np.float32))
     upto = F.create_map(*(F.lit(x) for lang, n in counts
                           for x in (lang, min(2**63 - 1, 2**64 * 4 * per_language // n - 2**63))))
-    near = hashed.where(F.col("h") <= F.element_at(upto, F.col("lang")))
+    near = hashed.where(F.col("h") <= F.element_at(upto, F.col("lang"))).dropDuplicates(["lang", "h"])
     picked = near.selectExpr("text", "lang", "h", "row_number() over (partition by lang order by h) as r").where(
         F.col("r") <= per_language)
 

@@ -38,6 +38,12 @@ def test_language_of_odd_texts(table):
     assert (unlabelled.lang_pred, unlabelled.score) == ("und", 0.0)
 
 
+def test_copies_take_no_place_in_the_sample(table):
+    rows = [(i, f"text number {i % 20} of some words", "en") for i in range(200)]
+    model = language.fit(table(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert len(model.landmarks) == 5
+
+
 def line_documents():
     rng = random.Random(5)
     letters = "abcdeé ß日"
