@@ -733,12 +733,16 @@ _stream_query("lap_segment")
 @spark_query
 def stream_without_repeats(spark, sf_dir):
     def build(stream, watermark, idle_ms):
-        return pipelines.without_repeats(stream, watermark).select("session_id", "packet_id", "status")
+        return pipelines.without_repeats(stream, watermark).select(
+            "session_id", "packet_id", "status", "timestamp_wall")
 
     t = binding.samples(spark, sf_dir)
     folder = written(spark, sf_dir, "no-repeats", lambda out: pipelines.backfill(
         t.unionByName(t), build, out, session.new_folder(spark, "backfill")))
-    return spark.read.parquet(folder).where("session_id <> ''")
+    # the row that ends the backfill is later than all samples
+    last = t.agg(F.max("timestamp_wall").alias("last"))
+    return spark.read.parquet(folder).crossJoin(F.broadcast(last)).where(
+        "timestamp_wall is null or timestamp_wall <= last").drop("timestamp_wall", "last")
 
 
 def event_messages(t):

@@ -232,3 +232,13 @@ def test_event_store(spark):
 def test_unreadable(spark):
     sent = message_frame(spark, [("a", "t", {"x": 1}), ("a", "t", "nope"), ("a", "t", "[1]")])
     assert messages.unreadable(sent).count() == 2
+
+
+def test_samples_without_session_are_kept(spark, samples, monkeypatch, tmp_path):
+    from lapline.plans import queries
+
+    t = samples([{"packet_id": 1}, {"packet_id": 2, "session_id": ""}, {"packet_id": 3, "session_id": None}])
+    monkeypatch.setattr(queries.binding, "samples", lambda *_: t)
+    got = queries.stream_without_repeats(spark, str(tmp_path)).collect()
+    assert sorted((r.packet_id, r.session_id, r.status) for r in got) == [
+        (1, "s", "live"), (2, "", "live"), (3, None, "live")]
