@@ -147,11 +147,43 @@ def near_lines(scratch: Scratch, docs: DataFrame, every: DataFrame, firsts: Data
     return out
 
 
-def line_decisions(docs: DataFrame, least: int = 16, scratch: Scratch | None = None) -> DataFrame:
+def near_within(scratch: Scratch, docs: DataFrame, firsts: DataFrame, least: int, edits: int) -> DataFrame:
+    """What ``near_lines`` gives, for any bound: of the shorter of two lines within ``edits`` edits, cut into edits + 1
+    parts, one part lies in the other line, moved by at most ``edits`` characters."""
+    lines = lines_of(docs).where((F.length("line") >= least) & F.col("line").rlike(SOLID)).select(
+        "line", F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two")).distinct()
+    texts = scratch.write(lines.join(firsts, ["one", "two"]).withColumn("size", F.length("line")), "texts")
+
+    def part(tile: Column, k: int, moved: int) -> Column:
+        start = F.floor(tile * k / (edits + 1)).cast("int")
+        stop = F.floor(tile * (k + 1) / (edits + 1)).cast("int")
+        return F.when((start + moved >= 0) & (stop + moved <= F.col("size")), F.xxhash64(
+            tile, F.lit(k), F.substring("line", start + moved + 1, stop - start)))
+
+    size, parts, moves = F.col("size"), range(edits + 1), range(-edits, edits + 1)
+    own = F.array(*(part(size, k, 0) for k in parts))
+    sought = F.array_distinct(F.array(*(part(size - less, k, by) for less in parts for k in parts for by in moves)))
+    left = texts.select("one", "two", F.explode(own).alias("rest"))
+    right = texts.select(F.col("one").alias("one_b"), F.col("two").alias("two_b"), F.explode(sought).alias("rest"))
+    pairs = left.join(right, "rest").where("one <> one_b or two <> two_b").drop("rest").distinct()
+    other = texts.select(F.col("one").alias("one_b"), F.col("two").alias("two_b"), F.col("line").alias("line_b"),
+                         F.col("first").alias("first_b"))
+    near = pairs.join(texts, ["one", "two"]).join(other, ["one_b", "two_b"]).where(
+        (F.levenshtein("line", "line_b", edits) >= 0) & (F.col("first") != F.col("first_b")))
+    later = F.col("first") > F.col("first_b")
+    near = near.select(F.when(later, F.col("one")).otherwise(F.col("one_b")).alias("one"),
+                       F.when(later, F.col("two")).otherwise(F.col("two_b")).alias("two"),
+                       F.least("first", "first_b").alias("earliest"))
+    out = scratch.write(near.groupBy("one", "two").agg(F.min("earliest").alias("earliest")), "near")
+    scratch.drop("texts")
+    return out
+
+
+def line_decisions(docs: DataFrame, least: int = 16, scratch: Scratch | None = None, edits: int = 1) -> DataFrame:
     """One row per line of ``docs`` (doc_id, text): doc_id, version, line_no, kept, earliest_doc_id, earliest_line_no.
 
-    A line is dropped if an earlier line is equal, or, for lines of ``least`` characters or more, within one
-    character inserted, deleted or changed; whether that one is kept itself makes no difference. Earlier is the
+    A line is dropped if an earlier line is equal, or, for lines of ``least`` characters or more, within ``edits``
+    characters inserted, deleted or changed; whether that one is kept itself makes no difference. Earlier is the
     smaller (doc_id, line_no), a null doc_id first. Rows that share a doc_id are one document: lines equal at the
     same place of two of them are both kept or both dropped; version, a hash of the whole text, tells them apart.
     Lines of white space are always kept. Lines end at a line feed; an empty text is one empty line, a null text has
@@ -167,7 +199,8 @@ def line_decisions(docs: DataFrame, least: int = 16, scratch: Scratch | None = N
                      F.when(F.col("size") >= least, halves()).alias("halves")), "every")
     lines = every.where("one is not null")
     firsts = scratch.write(lines.groupBy("one", "two").agg(F.min("at").alias("first")), "firsts")
-    near = near_lines(scratch, docs, lines, firsts, least)
+    near = (near_lines(scratch, docs, lines, firsts, least) if edits == 1
+            else near_within(scratch, docs, firsts, least, edits))
     stands = scratch.write(
         firsts.join(near, ["one", "two"], "left").select(
             "one", "two", "first", F.coalesce("earliest", "first").alias("earliest")), "stands")
@@ -181,14 +214,14 @@ def line_decisions(docs: DataFrame, least: int = 16, scratch: Scratch | None = N
         F.col("line_no").alias("earliest_line_no")))
 
 
-def dedup_lines(docs: DataFrame, least: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 16, edits: int = 1) -> DataFrame:
     """``docs`` without the lines that ``line_decisions`` drops; a document of which no line with a sign is left goes.
 
     ``text`` and, where there is one, ``n_chars`` are made anew for documents that lost lines; other columns and all
     other documents, also those with a null or blank text, stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    decided = scratch.write(line_decisions(docs, least, scratch), "decided")
+    decided = scratch.write(line_decisions(docs, least, scratch, edits), "decided")
     scratch.drop("every", "stands")
     flags = decided.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("line_no", "kept"))).alias("flags"), F.min("kept").alias("whole")

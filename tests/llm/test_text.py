@@ -38,6 +38,29 @@ def test_language_of_odd_texts(table):
     assert (unlabelled.lang_pred, unlabelled.score) == ("und", 0.0)
 
 
+def test_lines_within_three_edits(table):
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for x, c in enumerate(a, 1):
+            before, row = row, [x]
+            for y, d in enumerate(b, 1):
+                row.append(min(before[y - 1] + (c != d), before[y] + 1, row[-1] + 1))
+        return row[-1]
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = list("a line of at least that many letters" if i % 2 else "0123456789abcdefghij")
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(text))
+            text[at:at + rng.choice([0, 1])] = rng.choice(["", "x", "y"])
+        rows.append((i, "".join(text)))
+    got = lines.line_decisions(table(rows), edits=3).collect()
+    want = {i: min(j for j, other in rows[:i + 1] if text == other or min(len(text), len(other)) >= 16
+                   and apart(text, other) <= 3) for i, text in rows}
+    assert {r.doc_id: (r.kept, r.earliest_doc_id) for r in got} == {i: (i == j, j) for i, j in want.items()}
+
+
 def test_copies_take_no_place_in_the_sample(table):
     rows = [(i, f"text number {i % 20} of some words", "en") for i in range(200)]
     model = language.fit(table(rows, "doc_id long, text string, lang string"), per_language=5)
