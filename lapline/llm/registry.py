@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lapline.llm import (
-    bpe, jaccard, language, lines, neighbours, packing, search, secrets, token_counts, urls,
+    alignment, bpe, jaccard, language, lines, neighbours, packing, positions, search, secrets, simhash, token_counts,
+    urls,
 )
 
 QUERIES = {
@@ -17,10 +18,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_multi_index": neighbours.op9_multi_index,
     "op10_secret_ledger": secrets.op10_secret_ledger,
+    "op11_pointer_jumping": alignment.op11_pointer_jumping,
+    "op12_simhash_ball": simhash.op12_simhash_ball,
+    "op13_best_position": positions.op13_best_position,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
     "op10_secret_ledger": secrets.OP10_SQL,
+    "op13_best_position": positions.OP13_SQL,
 }
