@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lapline.llm.bpe import LETTERS
+from lapline.llm.positions import spread
 from lapline.llm.shared import Scratch
 
 #: Characters of texts that are aligned at once, tokens of a block (a row counts as one more in both).
-TEXTS, BLOCK = 1 << 20, 3_000_000
+TEXTS, BLOCK = 1 << 20, 1_500_000
 SHIFT = 32
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -56,16 +59,28 @@ class Pair:
         name = self.b.id_to_piece(i)
         return bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A of a space and the text, and by B; both empty where the bytes aren't the text's."""
-        out = []
-        batches = (self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False),
-                   self.b.encode(texts, num_threads=1))
-        for text, a, b in zip(texts, *batches):
-            ids, data = a.ids, (" " + text).encode()
-            whole = b"".join(map(self.bytes_a.__getitem__, ids)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((ids, b) if whole else ([], []))
-        return out
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B for texts that begin with the space which B adds, or with a line feed inside a text; both
+        empty where the bytes aren't the text's."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_b = self.b.encode([t.removeprefix(" ") for t in texts], num_threads=1)
+        # no piece has a line feed, so the space added before one is a token of its own
+        ids_b = [ids if text[0] == " " else ids[1:] for text, ids in zip(texts, ids_b)]
+        data = [text.encode() for text in texts]
+        sizes, joined = np.cumsum(list(map(len, data))), b"".join(data)
+        for ids, names, lengths in ((ids_a, self.bytes_a, self.sizes_a), (ids_b, self.bytes_b, self.sizes_b)):
+            flat = list(itertools.chain.from_iterable(ids))
+            ends = np.cumsum([0, *map(len, ids)])[1:]
+            reached = np.append(0, np.cumsum(lengths[flat]))[ends]
+            if b"".join(map(names.__getitem__, flat)) != joined or not np.array_equal(reached, sizes):
+                break
+        else:
+            return ids_a, ids_b
+        for place, whole in enumerate(data):
+            if any(b"".join(map(names.__getitem__, ids[place])) != whole
+                   for ids, names in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
+                ids_a[place], ids_b[place] = [], []
+        return ids_a, ids_b
 
 
 @functools.lru_cache(maxsize=1)
@@ -97,25 +112,24 @@ def linked(ids_a, ids_b, ends_a, ends_b) -> tuple[np.ndarray, np.ndarray]:
     return places, (ids_a[np.searchsorted(ends_a, places)] << SHIFT) + ids_b[np.searchsorted(ends_b, places)]
 
 
-def aligned(pair: Pair, texts: list[str]) -> tuple[list[tuple], list[np.ndarray]]:
-    """(n_a, n_b, n_groups, n_links, digest) and the keys of the linked pairs of each text."""
-    encoded = pair.encode(texts)
-    held = [place for place, (a, _) in enumerate(encoded) if a]
-    rows: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
-    keys = [np.empty(0, np.int64)] * len(texts)
-    if not held:
-        return rows, keys
-    many = [(len(encoded[p][0]), len(encoded[p][1])) for p in held]
-    last_a, last_b = np.cumsum([a for a, _ in many]), np.cumsum([b for _, b in many])
-    ids_a, ids_b = (np.concatenate([np.array(encoded[p][side], np.int64) for p in held]) for side in (0, 1))
+def aligned(pair: Pair, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of texts as ``Pair.encode`` takes them: (n_a, n_b, n_groups, n_links) of each, the groups of each as the digest
+    has them, and the keys of all linked pairs, one text after the other."""
+    ids_a, ids_b = pair.encode(texts)
+    many_a, many_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+    counts = np.zeros((len(texts), 4), np.int64)
+    if not many_a.any():
+        return counts, [""] * len(texts), np.empty(0, np.int64)
+    ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, many.sum())
+                    for ids, many in ((ids_a, many_a), (ids_b, many_b)))
     # the texts lie one after the other, and both sides end with each: no component has tokens of two
     ends_a, ends_b = np.cumsum(pair.sizes_a[ids_a]), np.cumsum(pair.sizes_b[ids_b])
     label = terminals(ends_a, ends_b)
-    places, found = linked(ids_a, ids_b, ends_a, ends_b)
-    cut = np.searchsorted(places, ends_a[last_a - 1], "right")
+    places, keys = linked(ids_a, ids_b, ends_a, ends_b)
+    stops = np.append(0, ends_a)[np.cumsum(many_a)]
     # the digest: groups in order, in each the tokens of A before those of B
     number = len(ids_a)
-    side = np.zeros(len(label), np.int64)
+    side = np.zeros(len(label), np.int8)
     side[number:] = 1
     order = np.lexsort((side, label))
     label, side = label[order], side[order]
@@ -124,14 +138,91 @@ def aligned(pair: Pair, texts: list[str]) -> tuple[list[tuple], list[np.ndarray]
     new_side = np.append(side[1:] != side[:-1], True)
     codes = ids + pair.width * np.where(new_group, 2, np.where(new_side, 1, 0))
     strings = list(map(pair.written.__getitem__, codes.tolist()))
-    groups = np.concatenate([[0], np.cumsum(new_group)])
-    start = first = 0
-    for place, (a, b), stop, to in zip(held, many, (last_a + last_b).tolist(), cut.tolist()):
-        digest = hashlib.sha256("".join(strings[start:stop])[:-1].encode()).hexdigest()
-        rows[place] = a, b, int(groups[stop] - groups[start]), to - first, digest
-        keys[place] = found[first:to]
-        start, first = stop, to
-    return rows, keys
+    cuts = np.append(0, np.cumsum(many_a + many_b))
+    counts[:, 0], counts[:, 1] = many_a, many_b
+    counts[:, 2] = np.diff(np.append(0, np.cumsum(new_group))[cuts])
+    counts[:, 3] = np.diff(np.searchsorted(places, stops, "right"), prepend=0)
+    return counts, ["".join(strings[x:y])[:-1] for x, y in itertools.pairwise(cuts.tolist())], keys
+
+
+class Stretches:
+    """What comes of each stretch of a text, worked out once while it is held.
+
+    A text is cut before a space or line feed between two other characters. Tokens of both sides end there: A's pattern
+    takes white space only to the left of a word, and no piece of B has its space or a line feed but at the start. So a
+    text's groups, links and counts are those of its stretches, one after the other.
+    """
+
+    CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    #: Stretches and characters of them that are held.
+    ROWS, SIZE = 250_000, 8_000_000
+
+    def __init__(self, pair: Pair):
+        if any(name.lstrip("▁").find("▁") >= 0 or "\n" in name for name in map(
+                pair.b.id_to_piece, range(pair.b.get_piece_size()))):
+            raise ValueError("B has pieces that go on after a space or a line feed")
+        self.pair = pair
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}  # by what str.split gives; -1: the text is to be cut by CUT
+        self.places: dict[str, int] = {}  # by what CUT gives
+        self.groups: list[str] = []
+        self.counts, self.keys, self.size = np.empty((0, 4), np.int64), np.empty(0, np.int64), 0
+
+    def add(self, names: list[str], stretches: list[str], places: dict[str, int]) -> None:
+        if names:
+            counts, groups, keys = aligned(self.pair, stretches)
+            places.update(zip(names, itertools.count(len(self.groups))))
+            self.groups += groups
+            self.counts = np.concatenate([self.counts, counts])
+            self.keys = np.concatenate([self.keys, keys])
+            self.size += sum(map(len, stretches))
+
+    def places_of(self, texts: list[str]) -> list[list[int]]:
+        """The stretches of each text. Most texts have single spaces and line feeds only and are cut by str.split."""
+        parts = [text.replace("\n", " \n").split(" ") if text else [] for text in texts]
+        words, new = self.words, []
+        for word in set().union(*parts).difference(words):
+            inner = word.removeprefix("\n")
+            if not inner or inner[0].isspace() or inner[-1].isspace():
+                words[word] = -1
+            else:
+                new.append(word)
+        self.add(new, [word if word[0] == "\n" else " " + word for word in new], words)
+        out = [list(map(words.__getitem__, found)) for found in parts]
+        for place, (text, found) in enumerate(zip(texts, out)):
+            if text and (text[0].isspace() or -1 in found):
+                stretches = self.CUT.split(text)
+                stretches[0] = " " + stretches[0]
+                new = list(set(stretches).difference(self.places))
+                self.add(new, new, self.places)
+                out[place] = list(map(self.places.__getitem__, stretches))
+        return out
+
+    def align(self, texts: list[str]) -> tuple[list[tuple], list[tuple[np.ndarray, np.ndarray]]]:
+        """(n_a, n_b, n_groups, n_links, digest) of each text; its distinct pairs and how often each comes."""
+        if len(self.groups) > self.ROWS or self.size > self.SIZE:
+            self.clear()
+        places = self.places_of(texts)
+        number = [len(p) for p in places]
+        flat = np.fromiter(itertools.chain.from_iterable(places), np.int64, sum(number))
+        owner = np.repeat(np.arange(len(texts)), number)
+        whole = np.array(number) > 0
+        whole[owner[self.counts[flat, 0] == 0]] = False
+        keep = whole[owner]
+        flat, owner = flat[keep], owner[keep]
+        counts = self.counts[flat]
+        columns = [np.bincount(owner, x, len(texts)).astype(np.int64).tolist() for x in counts.T]
+        digests = [hashlib.sha256(";".join(map(self.groups.__getitem__, p)).encode()).hexdigest() if w else ""
+                   for p, w in zip(places, whole.tolist())]
+        bounds = np.append(0, np.cumsum(self.counts[:, 3]))
+        found, numbers = np.unique(self.keys[spread(bounds[flat], bounds[flat + 1])], return_inverse=True)
+        found = np.append(found, 0)  # so that there is one even where no text has tokens
+        both, times = np.unique(np.repeat(owner, counts[:, 3]) * len(found) + numbers, return_counts=True)
+        cuts = np.searchsorted(both, np.arange(len(texts) + 1) * len(found)).tolist()
+        keys = found[both % len(found)]
+        return list(zip(*columns, digests)), [(keys[x:y], times[x:y]) for x, y in itertools.pairwise(cuts)]
 
 
 def align_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -140,11 +231,12 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     (8 bytes each) and how many of its rows hold them (4 bytes each)."""
 
     def run(batches):
-        pair, rows, keys, tokens, block = pair_of(path_a, path_b), [], [], 0, TaskContext.get().partitionId() << 32
+        stretches, rows, keys, tokens = Stretches(pair_of(path_a, path_b)), [], [], 0
+        block = TaskContext.get().partitionId() << 32
         for ids, texts in portions(batches):
-            known, found = aligned(pair, texts)
+            known, found = stretches.align(texts)
             rows += [(i, *row) for i, row in zip(ids, known)]
-            keys += [np.unique(k, return_counts=True) for k in found]
+            keys += found
             tokens += sum(row[0] + row[1] + 1 for row in known)
             if tokens >= BLOCK:
                 yield from blocked(block, rows, keys)
