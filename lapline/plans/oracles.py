@@ -708,6 +708,13 @@ oracle("stored_setups", f"""
     SELECT DISTINCT session_id || '_' || session_no AS session_id, lap_applied_from AS lap_number, car,
            {_PARAMETERS}, {_iso('"timestamp"')} AS "timestamp"
     FROM ({_snapshots(False)})""", "brake_bias", ctes=_STATES)
+_LEFT = """SELECT '{0}' AS stored, sid AS session_id, count(*) AS rows FROM (
+    SELECT DISTINCT session_id, session_id || '_' || session_no AS sid, {1} FROM ({2}))
+    WHERE CAST(substr(session_id, 2) AS BIGINT) % 5 <> 0 GROUP BY sid"""
+oracle("stored_after_delete", " UNION ALL ".join([
+    _LEFT.format("sessions", "1", "SELECT * FROM n WHERE opens"),
+    _LEFT.format("laps", "completed_laps", "SELECT * FROM n WHERE member"),
+    _LEFT.format("setups", f'lap_applied_from, car, {_PARAMETERS}, "timestamp"', _snapshots(False))]), ctes=_STATES)
 oracle("quarantined_messages", f"""
     SELECT 'lap_completions' AS topic, {_count("status = 'replay'")} AS messages FROM t""")
 

@@ -15,7 +15,7 @@ from lapline.operators.sessions import SESSION
 from lapline.plans import binding, etl
 from lapline.sinks import files as sinks
 from lapline.sources import catalog, files, messages, tracks
-from lapline.streaming import lifecycle, pipelines
+from lapline.streaming import lifecycle, pipelines, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -691,21 +691,16 @@ def message_round_trip(spark, sf_dir):
 
 # ---- streams -------------------------------------------------------------------------
 
-def stream_to(spark, sf_dir, what, build, **options):
-    """Run a stream over what is there and give the folder it wrote."""
-    def write(out):
-        stream = build()
-        pipelines.start_append(stream, out, session.new_folder(spark, "state"), **options).awaitTermination()
-    return written(spark, sf_dir, what, write)
-
-
 @spark_query
 def stream_append(spark, sf_dir):
-    def build():
-        t = iso(binding.sample_stream(spark, sf_dir))
-        return pipelines.decoded(messages.encode(t, fixed.TELEMETRY_TOPIC))
-    folder = stream_to(spark, sf_dir, "appended", build, partition_by=("session_key", "completed_laps"))
-    rows = spark.read.parquet(folder)
+    def write(out):
+        sent = messages.encode(iso(binding.sample_stream(spark, sf_dir)), fixed.TELEMETRY_TOPIC)
+        for stream in pipelines.start_telemetry(sent, out, session.new_folder(spark, "state")):
+            stream.awaitTermination()
+
+    table = pipelines.samples_table(spark, written(spark, sf_dir, "appended", write))
+    table.compact(whole=True)
+    rows = table.read()
     return rows.groupBy("session_key", "completed_laps", "status").agg(
         F.count("processed_at").alias("samples"), F.round(F.max("speed_kmh").cast("double"), 2).alias("max_speed"))
 
@@ -785,6 +780,21 @@ def stored_laps(spark, sf_dir):
         "session_id", "lap_number", "lap_time_ms", "fuel_remaining", "sector_1_ms", "timestamp")
 
 
+@spark_query
+def stored_after_delete(spark, sf_dir):
+    """What is left of sessions, laps and setups when every fifth stream is deleted, from a snapshot."""
+    store = event_store(spark, sf_dir)
+    gone = pipelines.stored_sessions(spark, store).where(
+        "CAST(split(substring(session_id, 2), '_')[0] AS BIGINT) % 5 = 0")
+    for _ in range(2):  # the second time changes nothing
+        snapshots.delete_sessions(spark, store, gone, "every fifth")
+    snapshots.compact(spark, store)
+    left = {"sessions": pipelines.stored_sessions, "laps": pipelines.stored_laps, "setups": pipelines.stored_setups}
+    counts = [table(spark, store).groupBy("session_id").agg(F.count("*").alias("rows")).select(
+        F.lit(name).alias("stored"), "session_id", "rows") for name, table in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @spark_query
 def stored_setups(spark, sf_dir):
     return pipelines.stored_setups(spark, event_store(spark, sf_dir)).select(

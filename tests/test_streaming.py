@@ -117,12 +117,14 @@ def test_late_rows_are_dropped(spark, samples):
     assert [r.lap_number for r in got] == [1, 2]
 
 
-@pytest.mark.parametrize("files", [1, 7])
-def test_backfill_gives_everything(spark, replay, files):
+@pytest.mark.parametrize("files, rows_per_slice", [(1, 10_000), (7, 80), (3, 150)])
+def test_backfill_gives_everything(spark, replay, files, rows_per_slice):
     """Rows in no order over many files: what the batch operators give, open laps too."""
     out, work = session.new_folder(spark, "out"), session.new_folder(spark, "work")
     shuffled = replay.repartition(files, F.xxhash64("packet_id"))
-    pipelines.backfill(shuffled, lifecycle.lifecycle_events, out, work)
+    runs = pipelines.backfill(shuffled, lifecycle.lifecycle_events, out, work, rows_per_slice=rows_per_slice)
+    assert sum(r.rows for r in runs) == replay.count() + 1 and not any(r.late for r in runs)
+    assert len(runs) == -(-401 // rows_per_slice) + 1
     got = spark.read.schema(lifecycle.EVENTS).parquet(out)
     columns = ["session_id", "session_no", "segment_no", "lap_number", "samples", "max_speed"]
     assert sorted(map(tuple, lifecycle.events_of(got, "lap_segment").select(*columns).collect())) == sorted(
@@ -133,6 +135,30 @@ def test_backfill_gives_everything(spark, replay, files):
             map(tuple, batch(replay).select(*names).collect()))
 
 
+def test_state_holds_a_slice_not_the_table(spark, samples):
+    """Four hours in slices of one: what waits after a slice are minutes of that slice."""
+    t = samples([{"ts": i * 20, "packet_id": i, "completed_laps": i // 50} for i in range(720)])
+    out, work = session.new_folder(spark, "out"), session.new_folder(spark, "work")
+    runs = pipelines.backfill(t, lifecycle.lifecycle_events, out, work, rows_per_slice=180)
+    assert len(runs) == 5 and all(abs(r.rows - 180) <= 1 for r in runs[:4]) and not any(r.late for r in runs)
+    assert max(r.held for r in runs) <= 70  # entries are minutes of a session; a slice has 60 of them
+
+
+def test_slices_follow_each_other(spark, samples):
+    rng = random.Random(4)
+    times = [rng.choice([0, 5, 5, 5, rng.randrange(4000)]) for _ in range(500)]
+    t = samples([{"ts": at, "packet_id": i} for i, at in enumerate(times)]).withColumn(
+        "timestamp_wall", F.when(F.col("packet_id") != 7, F.col("timestamp_wall")))
+    path = session.new_folder(spark, "slices")
+    known = pipelines.time_slices(t, path, 9)
+    rows = spark.read.parquet(path).groupBy("_slice").agg(
+        F.min("timestamp_wall").alias("low"), F.max("timestamp_wall").alias("high"), F.count("*").alias("n"),
+        F.count_if(F.col("timestamp_wall").isNull()).alias("untimed")).orderBy("_slice").collect()
+    assert sum(r.n for r in rows) == 500 and [r.untimed for r in rows if r.untimed] == [1] and rows[0].untimed == 1
+    assert all(x.high < y.low for x, y in zip(rows, rows[1:]))
+    assert [f"{path}/_slice={r['_slice']}" for r in rows] == known["folders"] and len(rows) > 10
+
+
 @pytest.mark.parametrize("field", ["completed_laps", "speed_kmh", "brake_bias", "is_in_pit", "status"])
 def test_missing_fields_are_taken_as_in_the_batch(spark, samples, field):
     rows = [{"ts": i * 10, "packet_id": i, "completed_laps": i // 3, **({field: None} if i in (0, 4, 5) else {})}
@@ -165,14 +191,14 @@ def test_samples_are_appended_by_session_and_lap(spark, replay):
     out, state = session.new_folder(spark, "out"), session.new_folder(spark, "state")
     for query in pipelines.start_telemetry(messages.message_files(spark, path), out, state):
         query.awaitTermination()
-    got = spark.read.parquet(out)
+    got = pipelines.samples_table(spark, out).read()
     assert got.count() == replay.count() + 1
     assert got.where("status IS NULL").count() == 1  # kept, without values
     assert got.where("processed_at IS NOT NULL AND session_key = 'a'").count() > 0
     assert set(schemas.SAMPLE.names) <= set(got.columns)
     again = pipelines.start_telemetry(messages.message_files(spark, path), out, state)[0]
     again.awaitTermination()
-    assert spark.read.parquet(out).count() == got.count()
+    assert pipelines.samples_table(spark, out).read().count() == got.count()
 
 
 def test_kafka_options():
