@@ -28,6 +28,39 @@ def lap_summary(processed: DataFrame) -> DataFrame:
     )
 
 
+SUMMARY = [*LAP, "car", "track"]
+_MEANS = {"avg_speed_kmh": "speed_kmh", "avg_tyre_temp": "avg_tyre_temp",
+          "avg_tyre_pressure": "avg_tyre_pressure", "avg_fuel": "fuel_remaining"}
+_MERGED = {"max_speed_kmh": F.max, "min_fuel": F.min, "heavy_braking_count": F.sum, "full_throttle_count": F.sum,
+           "sample_count": F.sum, "lap_start_time": F.min, "lap_end_time": F.max}
+
+
+def lap_parts(processed: DataFrame) -> DataFrame:
+    """What some of the samples add to the lap summary: means as sums and counts, so that parts can be merged."""
+    speed, fuel = F.col("speed_kmh"), F.col("fuel_remaining")
+    sums = [how(F.col(c).cast("double")).alias(f"{name}_{part}") for name, c in _MEANS.items()
+            for part, how in (("sum", F.sum), ("n", F.count))]
+    return processed.groupBy(*SUMMARY).agg(
+        *sums, F.max(speed).alias("max_speed_kmh"), F.min(fuel).alias("min_fuel"),
+        F.count_if("is_heavy_braking").alias("heavy_braking_count"),
+        F.count_if("is_full_throttle").alias("full_throttle_count"), F.count(F.lit(1)).alias("sample_count"),
+        F.min("timestamp_parsed").alias("lap_start_time"), F.max("timestamp_parsed").alias("lap_end_time"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One part for each lap."""
+    sums = [F.sum(f"{name}_{part}").alias(f"{name}_{part}") for name in _MEANS for part in ("sum", "n")]
+    return parts.groupBy(*SUMMARY).agg(*sums, *[how(c).alias(c) for c, how in _MERGED.items()])
+
+
+def summary_of_parts(parts: DataFrame) -> DataFrame:
+    """The lap summary table from the parts of all samples."""
+    merged = merged_parts(parts)
+    means = {name: F.try_divide(f"{name}_sum", f"{name}_n") for name in _MEANS}
+    return merged.withColumns(means).select(
+        *SUMMARY, "max_speed_kmh", *_MEANS, *[c for c in _MERGED if c != "max_speed_kmh"])
+
+
 def _live_laps(samples: DataFrame) -> DataFrame:
     return samples.where(C.is_live() & F.col("completed_laps").isNotNull())
 

@@ -154,6 +154,16 @@ def lap_checks(laps: DataFrame) -> DataFrame:
     return _rows(wide, rows, SESSION)
 
 
+def sector_sums(laps: DataFrame, off_by_ms: float = 100) -> DataFrame:
+    """Laps of each session whose measured sectors don't add up to the lap, and laps with a sector missing."""
+    sectors = [F.col(f"sector_{i}_ms") for i in (1, 2, 3)]
+    missing = sectors[0].isNull() | sectors[1].isNull() | sectors[2].isNull()
+    off = F.abs(sectors[0] + sectors[1] + sectors[2] - F.col("lap_time_ms")) > off_by_ms
+    return laps.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("laps"), F.count_if(missing).alias("unmeasured"), F.count_if(off).alias("sectors_off")
+    ).select(*KEY, "laps", "unmeasured", "sectors_off", _verdict(F.col("sectors_off") == 0, "fail").alias("verdict"))
+
+
 def event_checks(events: DataFrame) -> DataFrame:
     """Starts, ends and ends that tell laps.
 

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapline.operators.laps import LAP
-from lapline.operators.ordered import order_key
-from lapline.operators.sessions import SESSION
+from lapline.operators.ordered import ROWS_PER_SLICE, Slices, order_key, time_order
+from lapline.operators.sessions import KEY, SESSION
 
 CELL_M = 100
 #: Parts of a (track, cell): samples are dealt to them by lap, zones are in all of them.
@@ -94,6 +94,37 @@ def sector_times(samples: DataFrame, sectors: DataFrame, keys=tuple(LAP)) -> Dat
     )
 
 
+def sector_crossings(samples: DataFrame, sectors: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Times of three sectors of a lap from the moments at which it first passes their borders.
+
+    A border lies between two samples of a lap that follow each other; the moment is on the straight line between
+    theirs. So what a sector loses the next one gains, and the three add up to the lap's time, that of its last
+    sample. A sector is NULL where no two samples lie around one of its borders, as on a track that isn't known.
+    Samples without a distance or lap time are left out.
+    """
+    ms = "current_lap_time_ms"
+    timed = resolve_tracks(samples, sectors).where(F.col(DISTANCE).isNotNull() & F.col(ms).isNotNull())
+    slices = Slices(timed, KEY, time_order(samples), rows_per_slice)
+    seen = slices.look_back(_p=slices.previous("completed_laps", DISTANCE, ms)).result
+    # two borders for each track, one value of the plan
+    borders = sectors.groupBy("track_id").agg(*[
+        F.max(F.when(F.col("sector") == i, F.col("start_m"))).alias(f"_{i}") for i in (2, 3)]).agg(
+        F.map_from_entries(F.collect_list(F.struct("track_id", F.struct("_2", "_3"))))).scalar()
+    border = F.try_element_at(borders, F.coalesce("track_id", F.lit("")))
+    here, before = F.col(DISTANCE), F.col(f"_p.{DISTANCE}")
+
+    def passed(i: int) -> Column:
+        at = F.col("_border")[f"_{i}"]
+        share = (at - before) / (here - before)
+        return F.min(F.when(F.col("_p.completed_laps").eqNullSafe(F.col("completed_laps")) & (before < at) & (here >= at),
+                            F.col(f"_p.{ms}") + share * (F.col(ms) - F.col(f"_p.{ms}"))))
+
+    laps = seen.withColumn("_border", border).groupBy(*LAP).agg(
+        passed(2).alias("_e1"), passed(3).alias("_e2"), F.max(ms).cast("double").alias("lap_time_ms"))
+    return laps.select(*LAP, F.col("_e1").alias("sector_1_ms"), (F.col("_e2") - F.col("_e1")).alias("sector_2_ms"),
+                       (F.col("lap_time_ms") - F.col("_e2")).alias("sector_3_ms"), "lap_time_ms")
+
+
 def lap_records(samples: DataFrame, completions: DataFrame, sectors: DataFrame) -> DataFrame:
     """Lap completions with the sector times, fuel used and mean temperatures of their lap.
 

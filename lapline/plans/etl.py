@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapline.functions.frames import on_track, with_derived
-from lapline.operators.laps import filter_counts, lap_summary
+from lapline.operators.laps import LAP, SUMMARY, filter_counts, lap_parts, lap_summary, merged_parts, summary_of_parts
 from lapline.sinks.files import write_clustered, write_partitioned, write_table
-from lapline.sources.files import read_lake_samples
+from lapline.sinks.versions import AppendTable
+from lapline.sources.files import read_lake_samples, stream_lake_samples
+from lapline.streaming.pipelines import start_fan_out
 
 
 def processed(raw: DataFrame) -> DataFrame:
@@ -30,6 +32,30 @@ def run(spark: SparkSession, raw_path: str, out_path: str, layout: str = "laps")
     return filter_counts(raw)
 
 
+def increment(spark: SparkSession, raw_path: str, out_path: str) -> DataFrame:
+    """The same job over lake files that no earlier increment has read; gives the lap summary of all.
+
+    A stream over the files that are there now tells which are new. Each batch is read once and goes to two tables with
+    a manifest: its samples, and what it adds to the lap summary, a row for each lap it touches. So an increment costs
+    its own files and the laps' parts, not the table, and one that breaks off goes on where it was.
+    """
+    samples, parts = processed_samples(spark, out_path), summary_parts(spark, out_path)
+    start_fan_out(
+        stream_lake_samples(spark, raw_path),
+        {"telemetry": lambda batch, run, number: samples.append_and_merge(processed(batch), run, number),
+         "summary": lambda batch, run, number: parts.append_and_merge(lap_parts(processed(batch)), run, number)},
+        f"{out_path}/increments").awaitTermination()
+    return summary_of_parts(parts.read())
+
+
+def processed_samples(spark: SparkSession, out_path: str) -> AppendTable:
+    return AppendTable(spark, f"{out_path}/telemetry", LAP, "timestamp_wall")
+
+
+def summary_parts(spark: SparkSession, out_path: str) -> AppendTable:
+    return AppendTable(spark, f"{out_path}/lap_parts", SUMMARY, merge=merged_parts)
+
+
 def read_processed(spark: SparkSession, out_path: str) -> DataFrame:
     """The processed table; partition values keep their types."""
     return spark.read.option("basePath", f"{out_path}/telemetry").parquet(

@@ -401,6 +401,29 @@ _SECTOR_TIMES = f"""SELECT {_LAP}, e1 AS sector_1_ms, e2 - coalesce(e1, 0) AS se
                  max(current_lap_time_ms) AS ms
           FROM tt JOIN sectors s ON tt.track_id = s.track_id
                AND distance_into_lap >= lo AND distance_into_lap < hi GROUP BY {_LAP})"""
+
+
+def _passed(border: str) -> str:
+    return (f"min(p_ms + ({border} - p_d) / (distance_into_lap - p_d) * (current_lap_time_ms - p_ms)) "
+            f"FILTER (WHERE p_lap = completed_laps AND p_d < {border} AND distance_into_lap >= {border})")
+
+
+_CROSSINGS = f"""SELECT {_LAP}, e1 AS sector_1_ms, e2 - e1 AS sector_2_ms, ms - e2 AS sector_3_ms, ms AS lap_time_ms
+    FROM (SELECT {_LAP}, {_passed('b2')} AS e1, {_passed('b3')} AS e2,
+                 CAST(max(current_lap_time_ms) AS DOUBLE) AS ms
+          FROM (SELECT *, lag(completed_laps) OVER q AS p_lap, lag(distance_into_lap) OVER q AS p_d,
+                       lag(current_lap_time_ms) OVER q AS p_ms
+                FROM tt WINDOW q AS (PARTITION BY session_id ORDER BY timestamp_wall, packet_id))
+          LEFT JOIN (SELECT track_id, max(lo) FILTER (WHERE sector = 2) AS b2, max(lo) FILTER (WHERE sector = 3) AS b3
+                     FROM sectors GROUP BY track_id) USING (track_id) GROUP BY {_LAP})"""
+oracle("sector_crossings", _CROSSINGS, "sector_1_ms sector_2_ms sector_3_ms lap_time_ms",
+       ctes=_CORNERS_CTE + _SECTORS_CTE)
+oracle("measured_sector_sums", f"""
+    SELECT session_id, count(*) AS laps, count(*) - count(sector_1_ms + sector_2_ms + sector_3_ms) AS unmeasured,
+           count(*) FILTER (WHERE abs(sector_1_ms + sector_2_ms + sector_3_ms - lap_time_ms) > 100) AS sectors_off,
+           CASE WHEN count(*) FILTER (WHERE abs(sector_1_ms + sector_2_ms + sector_3_ms - lap_time_ms) > 100) = 0
+                THEN 'ok' ELSE 'fail' END AS verdict
+    FROM ({_CROSSINGS}) GROUP BY session_id""", ctes=_CORNERS_CTE + _SECTORS_CTE)
 oracle("sector_times", _SECTOR_TIMES, ctes=_CORNERS_CTE + _SECTORS_CTE)
 ORACLES["corner_stats_from_files"] = ORACLES["corner_stats"]
 ORACLES["sector_times_from_files"] = ORACLES["sector_times"]
@@ -626,6 +649,7 @@ oracle("lap_summary_table", f"""
            epoch_us(max(timestamp_wall)) AS lap_end_time
     FROM t WHERE {_PIT_OK} GROUP BY {_LAP}, car, track""",
        "max_speed_kmh avg_speed_kmh avg_tyre_temp avg_tyre_pressure avg_fuel min_fuel", digits=3)
+ORACLES["lap_summary_increments"] = ORACLES["lap_summary_table"]
 oracle("clustered_table", f"""
     SELECT {_LAP}, count(*) AS samples, max(speed_kmh) AS max_speed FROM t WHERE {_PIT_OK}
     GROUP BY {_LAP}""", "max_speed")
@@ -719,7 +743,7 @@ oracle("quarantined_messages", f"""
     SELECT 'lap_completions' AS topic, {_count("status = 'replay'")} AS messages FROM t""")
 
 # the same, whatever the slices
-for _name in ("sessionized", "session_events", "lap_segments", "resampled_laps"):
+for _name in ("sessionized", "session_events", "lap_segments", "resampled_laps", "sector_crossings"):
     ORACLES[f"{_name}_in_slices"] = ORACLES[_name]
 
 assert set(COLUMNS) >= set(schemas.SAMPLE.names)

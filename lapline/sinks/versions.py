@@ -104,11 +104,14 @@ class AppendTable:
     The manifest has the folders that hold, each with its level, and of each run the last batch. A batch that comes
     again, after whatever broke off, replaces its own folder or is known to be there. Eight folders of a level are
     merged into one of the next, so a row is rewritten a few times and the number of folders grows with the logarithm
-    of the number of batches. Readers keep the folders of the manifest they read until ``vacuum``.
+    of the number of batches. Readers keep the folders of the manifest they read until ``vacuum``. With ``merge`` a
+    merge of folders also merges rows, as for partial aggregates.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys=tuple(LAP), time: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys=tuple(LAP), time: str | None = None,
+                 merge: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.path, self.order = spark, path.rstrip("/"), [*keys, *([time] if time else [])]
+        self.merge = merge or (lambda rows: rows)
         self.versions = Versions(spark, f"{self.path}/manifest")
 
     def append(self, batch: DataFrame, run: str, number: int) -> bool:
@@ -127,6 +130,12 @@ class AppendTable:
                     "batches": {**now.get("batches", {}), run: number}}
         return self.versions.change(added)
 
+    def append_and_merge(self, batch: DataFrame, run: str, number: int) -> None:
+        """A sink of a stream: append, and merge small folders as they add up."""
+        self.append(batch, run, number)
+        if number % FAN == FAN - 1:
+            self.compact()
+
     def read(self) -> DataFrame:
         _, now = self.versions.latest()
         if not now:
@@ -153,7 +162,7 @@ class AppendTable:
             if not taken:
                 return done
             merged = f"data/level{level + 1}-{uuid.uuid4().hex}"
-            self._write(self._read(now, taken), merged)
+            self._write(self.merge(self._read(now, taken)), merged)
             done += self.versions.change(lambda now: self._replaced(now, taken, merged, level + 1))
 
     @staticmethod

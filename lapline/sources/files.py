@@ -26,7 +26,15 @@ def read_lake_samples(spark: SparkSession, path: str, schema=schemas.ETL_SAMPLE)
 
     Event files lie under the same prefix, in folders named ``events``, and are left out.
     """
-    files = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    return _samples_only(spark.read.schema(schema).option("recursiveFileLookup", True).json(path))
+
+
+def stream_lake_samples(spark: SparkSession, path: str, schema=schemas.ETL_SAMPLE) -> DataFrame:
+    """The same as a stream: each file once, as it comes."""
+    return _samples_only(spark.readStream.schema(schema).option("recursiveFileLookup", True).json(path))
+
+
+def _samples_only(files: DataFrame) -> DataFrame:
     return files.where(~F.col(_PATH).contains("/events/"))
 
 

@@ -110,7 +110,7 @@ def start_telemetry(messages: DataFrame, path: str, checkpoint: str, console: bo
     table = samples_table(messages.sparkSession, path)
     if not console:
         return [start_table(samples, table, checkpoint, trigger)]
-    return [start_fan_out(samples, {"table": table.append, "console": lambda batch, run, number: batch.show(20, False)},
+    return [start_fan_out(samples, {"table": table.append_and_merge, "console": lambda batch, run, number: batch.show(20, False)},
                           checkpoint, trigger)]
 
 

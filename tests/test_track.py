@@ -89,3 +89,24 @@ def test_time_lost_in_a_corner(spark, samples):
            for r in track.corner_time_loss(losses, tracks.known_corners(spark)).collect()}
     assert got[(1, "T1_Rettifilo")] == pytest.approx(300)
     assert got[(1, "T2_Variante_della_Roggia")] == pytest.approx(0) == got[(0, "T1_Rettifilo")]
+
+
+def test_moments_at_which_a_lap_passes_the_borders(spark, samples):
+    """Between two samples by the straight line; the first time only; NULL where no two samples lie around."""
+    first, second = fixed.TRACKS[0][3][1:3]
+    lap = [(0, 0), (first - 10, 20_000), (first + 30, 24_000), (first - 5, 25_000), (first + 5, 26_000),
+           (second, 50_000), (second + 100, 60_000)]
+    rows = [{"track": "Monza", "distance_into_lap": float(d), "current_lap_time_ms": ms} for d, ms in lap]
+    rows += [{"track": "Monza", "completed_laps": 1, "distance_into_lap": float(first + 1 + i), "current_lap_time_ms": i}
+             for i in range(3)]
+    rows += [{"track": "nowhere", "completed_laps": 2}]
+    t = samples([{**r, "packet_id": i} for i, r in enumerate(rows)])
+    for size in (1_000_000, 2):
+        got = {r.completed_laps: r for r in track.sector_crossings(t, tracks.known_sectors(spark), size).collect()}
+        assert (got[0].sector_1_ms, got[0].sector_2_ms, got[0].sector_3_ms) == (21_000, 29_000, 10_000)
+        assert got[0].lap_time_ms == 60_000
+        assert [got[n].sector_1_ms for n in (1, 2)] == [None, None] and got[1].sector_3_ms is None
+    from lapline.operators import quality
+
+    sums = quality.sector_sums(track.sector_crossings(t, tracks.known_sectors(spark))).first()
+    assert (sums.laps, sums.unmeasured, sums.sectors_off, sums.verdict) == (3, 2, 0, "ok")
