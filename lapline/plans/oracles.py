@@ -484,11 +484,37 @@ oracle("resampled_laps", f"""
     FROM ({_interpolated('speed_kmh throttle')})""", "distance_into_lap speed_kmh throttle",
        ctes=f"{_POINTS_CTE}, grid AS ({_OWN_GRID})")
 
-_PAIRED = """SELECT a.session_id, a.i AS grid_i, a.x AS distance, a.speed_kmh AS speed_a,
-    b.speed_kmh AS speed_b, a.throttle AS throttle_a, b.throttle AS throttle_b,
-    a.brake AS brake_a, b.brake AS brake_b, a.speed_kmh - b.speed_kmh AS speed_delta
-    FROM (SELECT * FROM v WHERE completed_laps = 0) a
-    JOIN (SELECT * FROM v WHERE completed_laps = 1) b ON a.session_id = b.session_id AND a.i = b.i"""
+
+def _between(columns: str, grid: str, outside: str = "clamp") -> str:
+    """The same in one pass: points and grid in one order, each grid row with the points next to it."""
+    names = columns.split()
+    point = ", ".join(f"'{c}': {c}" for c in ["d", *names])
+
+    def value(c):
+        before, after = (f"b.{c}", f"a.{c}") if outside == "clamp" else (
+            "NULL", f"CASE WHEN x = a.d THEN a.{c} END")
+        return (f"CASE WHEN a IS NULL THEN {before} WHEN b IS NULL THEN {after} "
+                f"ELSE (b.{c} - a.{c}) / (b.d - a.d) * (x - a.d) + a.{c} END AS {c}")
+    kept = "session_id, completed_laps, i, x" + (", best_lap" if outside != "clamp" else "")
+    extra = ", NULL AS best_lap" if outside != "clamp" else ""
+    return f"""SELECT {kept}, {', '.join(map(value, names))} FROM (
+        SELECT {kept},
+               last_value(point IGNORE NULLS) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+               first_value(point IGNORE NULLS) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+        FROM (SELECT {kept}, NULL AS point, 1 AS turn FROM {grid}
+              UNION ALL SELECT {_LAP}, NULL, d{extra}, {{{point}}}, 0 FROM p)
+        WINDOW q AS (PARTITION BY {_LAP} ORDER BY x, turn)) WHERE i IS NOT NULL"""
+
+
+def _of_lap(number: int, column: str) -> str:
+    return f"max({column}) FILTER (WHERE completed_laps = {number})"
+
+
+_PAIRED = f"""SELECT *, speed_a - speed_b AS speed_delta FROM (
+    SELECT session_id, i AS grid_i, {_of_lap(0, 'x')} AS distance, {_of_lap(0, 'speed_kmh')} AS speed_a,
+           {_of_lap(1, 'speed_kmh')} AS speed_b, {_of_lap(0, 'throttle')} AS throttle_a,
+           {_of_lap(1, 'throttle')} AS throttle_b, {_of_lap(0, 'brake')} AS brake_a, {_of_lap(1, 'brake')} AS brake_b
+    FROM v GROUP BY session_id, i HAVING count(*) = 2)"""
 _PAIRED_DOUBLES = "distance speed_a speed_b throttle_a throttle_b brake_a brake_b speed_delta"
 _SHARED = """, shared AS (SELECT session_id, max(lo) AS lo, min(hi) AS hi FROM bounds
     WHERE completed_laps IN (0, 1) GROUP BY session_id HAVING count(*) = 2)"""
@@ -499,21 +525,20 @@ _TWO_LAPS_CTE = _POINTS_CTE.replace("WHERE status = 'live')", "WHERE status = 'l
     "p AS (", "p AS MATERIALIZED (", 1).replace("bounds AS (", "bounds AS MATERIALIZED (", 1)
 oracle("compared_laps", _PAIRED, _PAIRED_DOUBLES, ctes=(
     f"{_TWO_LAPS_CTE}{_SHARED}, grid AS MATERIALIZED ({_COMMON}), "
-    f"v AS MATERIALIZED ({_interpolated('speed_kmh throttle brake')})"))
+    f"v AS ({_between('speed_kmh throttle brake', 'grid')})"))
 oracle("compared_laps_positional", _PAIRED, _PAIRED_DOUBLES, ctes=(
     f"{_TWO_LAPS_CTE}{_SHARED}, grid AS MATERIALIZED ({_OWN_GRID}), "
-    f"w AS MATERIALIZED ({_interpolated('speed_kmh throttle brake')}), "
+    f"w AS ({_between('speed_kmh throttle brake', 'grid')}), "
     f"v AS (SELECT w.* FROM w JOIN shared s ON s.session_id = w.session_id AND w.x <= s.hi)"))
 
 _LOSS_CTE = f"""{_POINTS_CTE.replace("p AS (", "p AS MATERIALIZED (", 1)}, best AS (
     SELECT session_id, completed_laps AS best_lap, lo, hi FROM bounds WHERE ms > 0
     QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ms, completed_laps) = 1),
 grid AS MATERIALIZED ({_grid("(SELECT b.session_id, b.completed_laps, z.best_lap, z.lo, z.hi FROM bounds b JOIN best z USING (session_id))")}),
-v AS MATERIALIZED ({_interpolated('ms', 'null')}),
-loss AS (SELECT a.session_id, a.completed_laps, a.best_lap, a.i AS grid_i,
-                a.x AS distance_into_lap, a.ms - b.ms AS time_delta_ms
-         FROM v a JOIN v b ON a.session_id = b.session_id AND a.i = b.i
-              AND b.completed_laps = a.best_lap)"""
+v AS ({_between('ms', 'grid', 'null')}),
+loss AS (SELECT session_id, completed_laps, best_lap, i AS grid_i, x AS distance_into_lap,
+                ms - max(ms) FILTER (WHERE completed_laps = best_lap) OVER (PARTITION BY session_id, i) AS time_delta_ms
+         FROM v)"""
 oracle("time_loss", "SELECT * FROM loss", "distance_into_lap time_delta_ms", ctes=_LOSS_CTE)
 oracle("corner_time_loss", f"""
     SELECT l.session_id, l.completed_laps, corner,
