@@ -47,7 +47,7 @@ class MergeAutomaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        self.arcs = Memo(lambda pair: self._arc(*pair, len(merges)), 1_000_000)
+        self.arcs = Memo(lambda pair: self._arc(*pair, len(merges)), 250_000)
         self.live = {i for name, i in vocabulary.items() if len(name.removesuffix(suffix) if suffix else name) == 1}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
@@ -55,13 +55,13 @@ class MergeAutomaton:
         ends = len(suffix)
         self.final = {name[:len(name) - ends]: i for name, i in vocabulary.items() if i in self.live and
                       name.endswith(suffix)}
-        self.trie: dict = {}
+        self.trie: list = [{}, None]  # a node: its children by letter, and the token that ends here
         for name, i in vocabulary.items():
             if i in self.live and not (suffix and name.endswith(suffix)):
                 node = self.trie
                 for letter in name:
-                    node = node.setdefault(letter, {})
-                node[""] = i
+                    node = node[0].setdefault(letter, [{}, None])
+                node[1] = i
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if max(self.made.get(u, -1), self.made.get(v, -1)) >= rank:
@@ -119,14 +119,12 @@ class MergeAutomaton:
 
     def _tokens_at(self, word: str, start: int) -> list[tuple[int, int]]:
         """(end, token) of the tokens that spell what begins at ``start``, shortest first."""
-        out, node, end, stop = [], self.trie, len(word), start
-        last = end - 1
-        while stop < last:
-            node = node.get(word[stop])
-            if node is None:
+        out, children, end, stop = [], self.trie[0], len(word), start
+        for letter in word[start:min(end - 1, start + self.longest)]:
+            if letter not in children:
                 break
+            children, token = children[letter]
             stop += 1
-            token = node.get("")
             if token is not None:
                 out.append((stop, token))
         if end - start <= self.longest:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lapline.llm.bpe import word_encoder
-from lapline.llm.shared import Memo, Scratch, narrowed
+from lapline.llm.shared import Memo, Scratch, narrowed, sliced
 
 PIECES_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -57,9 +57,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
 
     def run(batches):
         encoder = word_encoder(path)
-        memo = Memo(lambda chunk: array("I", encoder.stretch(chunk)).tobytes())
+        memo = Memo(lambda chunk: array("I", encoder.stretch(chunk)).tobytes(), 150_000)
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = b"".join([*map(memo.__getitem__, encoder.stretches(text or "")), end])

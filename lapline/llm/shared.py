@@ -58,6 +58,13 @@ class Memo(dict):
         return value
 
 
+def sliced(batches, rows: int = 256):
+    """Batches of at most ``rows`` rows, so that few texts are Python values at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as ``name=type``; what else the table has is left out."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
