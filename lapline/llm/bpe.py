@@ -14,14 +14,13 @@ import functools
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from lapline.llm.shared import Memo, narrowed
+from lapline.llm.shared import Memo, narrowed, sliced
 
 WORD_END = "</w>"
 
@@ -149,7 +148,9 @@ class WordEncoder:
     """Encoder of a word-end vocabulary: lower case, white space dropped, pieces split by the file's own pattern.
 
     White space never lies in a piece, so the tokens of a text are those of its stretches between white space, one
-    after the other; special strings are cut out of a stretch first, as the vocabulary's own library does.
+    after the other; special strings are cut out of a stretch first, as the vocabulary's own library does. Which
+    characters are letters, how they compose and what their lower case is differs between versions of Unicode, so
+    outside of ASCII the library's own normaliser and pattern say it; ASCII is the same in all.
     """
 
     #: What the pattern's \\s takes; str.split() also splits at U+001C to U+001F, which are symbols here.
@@ -162,7 +163,8 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cutter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern).findall
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         ascii_pattern = pattern.replace(r"[\p{L}]+", "[a-z]+").replace(r"[\p{N}]", "[0-9]").replace(
             r"[^\s\p{L}\p{N}]+", r"[^\t-\r a-z0-9]+")
         self.ascii_pieces = re.compile(ascii_pattern).findall
@@ -189,16 +191,14 @@ class WordEncoder:
     def _plain(self, chunk: str) -> Sequence[int]:
         words = self.words
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-        # the lower case of a letter doesn't hang on its place in the word, as str.lower() has it for one letter
-        chunk = chunk.replace("Σ", "σ").lower()
+            return [i for piece, _ in self.split(self.normal(chunk)) for i in words[piece]]
+        chunk = chunk.lower()
         if chunk.isalpha():
             return words[chunk]
         core, sign = chunk[:-1], chunk[-1]
         if sign in ".,;:!?" and core.isalpha():
             return words[core] + words[sign]
-        pieces = self.ascii_pieces(chunk) if chunk.isascii() else self.pieces(chunk)
-        return [i for piece in pieces for i in words[piece]]
+        return [i for piece in self.ascii_pieces(chunk) for i in words[piece]]
 
     def stretches(self, text: str) -> list[str]:
         if self.ODD.search(text):
@@ -230,8 +230,8 @@ def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFram
             ids = encoder.stretch(chunk)
             return " ".join(map(str, ids)), " ".join([encoder.names[i] for i in ids])
 
-        memo = Memo(labels)
-        for batch in batches:
+        memo = Memo(labels, 250_000)
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs = [memo[chunk] for chunk in encoder.stretches(text or "")]

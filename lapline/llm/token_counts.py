@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lapline.llm.bpe import LETTERS, load
-from lapline.llm.shared import Memo, narrowed
+from lapline.llm.shared import Memo, narrowed, sliced
 
 #: The pattern that splits a text before the merges (a fixed value of the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,7 +151,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def run(batches):
         counter = token_counter(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             tokens = [counter.count(text) for text in texts]
             yield pa.RecordBatch.from_arrays(
