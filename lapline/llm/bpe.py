@@ -22,7 +22,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lapline.llm.shared import Memo, narrowed, sliced
 
-WORD_END = "</w>"
+#: Letters of the tables: a byte letter lies below LAST, which marks the last of a word; a state is shifted above both.
+LAST, SHIFT = 1 << 9, 10
 
 
 def byte_letters() -> list[str]:
@@ -50,17 +51,49 @@ class MergeAutomaton:
         self.live = {i for name, i in vocabulary.items() if len(name.removesuffix(suffix) if suffix else name) == 1}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.longest = max((len(name) for name in vocabulary), default=0)
-        ends = len(suffix)
-        self.final = {name[:len(name) - ends]: i for name, i in vocabulary.items() if i in self.live and
+        own = len(suffix)
+        self.whole = {name[:len(name) - own]: i for name, i in vocabulary.items() if i in self.live and
                       name.endswith(suffix)}
-        self.trie: list = [{}, None]  # a node: its children by letter, and the token that ends here
-        for name, i in vocabulary.items():
-            if i in self.live and not (suffix and name.endswith(suffix)):
-                node = self.trie
-                for letter in name:
-                    node = node[0].setdefault(letter, [{}, None])
-                node[1] = i
+        self._tables()
+
+    def _tables(self) -> None:
+        """States of the spelling: each is the longest end of what was read that begins a token. ``go`` has the next
+        state by state and letter, ``back`` the next shorter end where it has none, ``ending`` the tokens that end in
+        a state (size, token), the longest first. The last letter of a word is a letter of its own."""
+        go: dict[int, int] = {}
+        parents, letters, tokens = [0], [0], [-1]
+        for name, i in self.ids.items():
+            if i in self.live:
+                state = 0
+                for letter in self._letters(name.removesuffix(self.suffix), name.endswith(self.suffix)):
+                    to = go.get(state << SHIFT | letter)
+                    if to is None:
+                        to = go[state << SHIFT | letter] = len(parents)
+                        parents.append(state)
+                        letters.append(letter)
+                        tokens.append(-1)
+                    state = to
+                tokens[state] = i
+        depth = [0] * len(parents)
+        for state in range(1, len(parents)):  # a state comes after its parent
+            depth[state] = depth[parents[state]] + 1
+        back, ending = [0] * len(parents), [()] * len(parents)
+        for state in sorted(range(1, len(parents)), key=depth.__getitem__):
+            if depth[state] > 1:
+                end, letter = back[parents[state]], letters[state]
+                while end and end << SHIFT | letter not in go:
+                    end = back[end]
+                back[state] = go.get(end << SHIFT | letter, 0)
+            ending[state] = ending[back[state]]
+            if tokens[state] >= 0:
+                ending[state] = ((depth[state], tokens[state]), *ending[state])
+        self.go, self.back, self.ending = go, back, ending
+
+    def _letters(self, word: str, ends: bool) -> list[int]:
+        out = list(map(ord, word))
+        if self.suffix and ends:
+            out[-1] |= LAST
+        return out
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if max(self.made.get(u, -1), self.made.get(v, -1)) >= rank:
@@ -88,49 +121,33 @@ class MergeAutomaton:
                 at, x, y = made_x, self.right[x], self.left[y]
 
     def walk(self, word: str) -> list[int]:
-        """The one path that spells ``word`` (in byte letters): longest arc first, back from dead ends."""
-        whole = self.final.get(word)
+        """The one path that spells ``word`` (in byte letters), by one transition for each letter.
+
+        A part of the path is the path of what it spells, so after each letter just one of the tokens that end there
+        has an arc from the state reached before it; nothing is tried again.
+        """
+        whole = self.whole.get(word)
         if whole is not None:
             return [whole]
-        end, arcs = len(word), self.arcs
-        path: list[int] = []
-        choices = [self._tokens_at(word, 0)]  # for each step those not yet tried, the longest at the end
-        dead: set[tuple[int, int]] = set()  # (where a token ends, token) that lead nowhere
-        before = -1
-        while True:
-            left = choices[-1]
-            while left:
-                place = left.pop()
-                if (before < 0 or arcs[before, place[1]]) and place not in dead:
+        go, back, ending, arcs = self.go, self.back, self.ending, self.arcs
+        reached: list[tuple[int, int]] = [(0, -1)]  # after each letter the token that ends there, and its size
+        state = 0
+        for at, letter in enumerate(self._letters(word, True), 1):
+            while (to := go.get(state << SHIFT | letter)) is None:
+                if not state:
+                    raise ValueError("a letter that no token spells")
+                state = back[state]
+            state = to
+            for place in ending[state]:
+                if place[0] == at or arcs[reached[at - place[0]][1], place[1]]:
                     break
-            else:
-                choices.pop()
-                if not path:
-                    raise ValueError("no path spells the word")
-                dead.add(path.pop())
-                before = path[-1][1] if path else -1
-                continue
-            path.append(place)
-            stop, before = place
-            if stop == end:
-                return [token for _, token in path]
-            choices.append(self._tokens_at(word, stop))
-
-    def _tokens_at(self, word: str, start: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that spell what begins at ``start``, shortest first."""
-        out, children, end, stop = [], self.trie[0], len(word), start
-        for letter in word[start:min(end - 1, start + self.longest)]:
-            if letter not in children:
-                break
-            children, token = children[letter]
-            stop += 1
-            if token is not None:
-                out.append((stop, token))
-        if end - start <= self.longest:
-            token = self.final.get(word[start:])
-            if token is not None:
-                out.append((end, token))
-        return out
+            reached.append(place)
+        path, at = [], len(word)
+        while at:
+            size, token = reached[at]
+            path.append(token)
+            at -= size
+        return path[::-1]
 
 
 def load(path: str) -> dict:
