@@ -24,6 +24,8 @@ from lapline.llm.shared import Memo, narrowed, sliced
 
 #: Letters of the tables: a byte letter lies below LAST, which marks the last of a word; a state is shifted above both.
 LAST, SHIFT = 1 << 9, 10
+#: Bits of a token's id in the key of an arc.
+SIDE = 24
 
 
 def byte_letters() -> list[str]:
@@ -47,7 +49,8 @@ class MergeAutomaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        self.arcs = Memo(lambda pair: self._arc(*pair, len(merges)), 250_000)
+        low = (1 << SIDE) - 1
+        self.arcs = Memo(lambda pair: self._arc(pair >> SIDE, pair & low, len(merges)), 250_000)
         self.live = {i for name, i in vocabulary.items() if len(name.removesuffix(suffix) if suffix else name) == 1}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
@@ -87,7 +90,10 @@ class MergeAutomaton:
             ending[state] = ending[back[state]]
             if tokens[state] >= 0:
                 ending[state] = ((depth[state], tokens[state]), *ending[state])
-        self.go, self.back, self.ending = go, back, ending
+        # a state is its number shifted above the letters, so that state | letter is the place in the table
+        self.go = {place: to << SHIFT for place, to in go.items()}
+        self.back = {state << SHIFT: to << SHIFT for state, to in enumerate(back)}
+        self.ending = {state << SHIFT: places for state, places in enumerate(ending)}
 
     def _letters(self, word: str, ends: bool) -> list[int]:
         out = list(map(ord, word))
@@ -130,23 +136,26 @@ class MergeAutomaton:
         if whole is not None:
             return [whole]
         go, back, ending, arcs = self.go, self.back, self.ending, self.arcs
-        reached: list[tuple[int, int]] = [(0, -1)]  # after each letter the token that ends there, and its size
-        state = 0
-        for at, letter in enumerate(self._letters(word, True), 1):
-            while (to := go.get(state << SHIFT | letter)) is None:
+        last, sizes = [0], [0]  # after each letter the token that ends there, and its size
+        state = at = 0
+        for letter in self._letters(word, True):
+            to = go.get(state | letter)
+            while to is None:
                 if not state:
                     raise ValueError("a letter that no token spells")
                 state = back[state]
+                to = go.get(state | letter)
             state = to
-            for place in ending[state]:
-                if place[0] == at or arcs[reached[at - place[0]][1], place[1]]:
+            at += 1
+            for size, token in ending[state]:
+                if size == at or arcs[last[-size] << SIDE | token]:
                     break
-            reached.append(place)
-        path, at = [], len(word)
+            last.append(token)
+            sizes.append(size)
+        path = []
         while at:
-            size, token = reached[at]
-            path.append(token)
-            at -= size
+            path.append(last[at])
+            at -= sizes[at]
         return path[::-1]
 
 
@@ -173,6 +182,8 @@ class WordEncoder:
     #: What the pattern's \\s takes; str.split() also splits at U+001C to U+001F, which are symbols here.
     SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
     ODD = re.compile("[\x1c-\x1f]")
+    #: Letters that compose with nothing among them and have one lower case in every version of Unicode.
+    STEADY = re.compile("[A-Za-zÀ-ÖØ-öø-įА-яЁёぁ-ゖァ-ヺ一-龥]+").fullmatch
 
     def __init__(self, path: str):
         spec = load(path)
@@ -207,15 +218,12 @@ class WordEncoder:
 
     def _plain(self, chunk: str) -> Sequence[int]:
         words = self.words
+        core, sign = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
+        if self.STEADY(core):
+            return words[core.lower()] + words[sign] if sign else words[core.lower()]
         if not chunk.isascii():
             return [i for piece, _ in self.split(self.normal(chunk)) for i in words[piece]]
-        chunk = chunk.lower()
-        if chunk.isalpha():
-            return words[chunk]
-        core, sign = chunk[:-1], chunk[-1]
-        if sign in ".,;:!?" and core.isalpha():
-            return words[core] + words[sign]
-        return [i for piece in self.ascii_pieces(chunk) for i in words[piece]]
+        return [i for piece in self.ascii_pieces(chunk.lower()) for i in words[piece]]
 
     def stretches(self, text: str) -> list[str]:
         if self.ODD.search(text):

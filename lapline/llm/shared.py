@@ -49,7 +49,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.of(key)
-            if len(key) > 200:  # long and not likely to come again
+            if key.__class__ is str and len(key) > 200:  # long and not likely to come again
                 return value
         if len(self) >= self.limit:
             self.old = dict(self)
