@@ -3,14 +3,19 @@
 A page is the set of tokens of its URL. Combinations of tokens that go with bad labels often enough (support) and
 surely enough (confidence) become rules; a rule goes if a part of it is as sure. Rules are held in an inverted index
 under their rarest token and match the pages that have all of their tokens.
+
+Tokens that occur in the very same labelled pages are one item to FP-growth: of a URL that many pages copy, whatever
+its length, one item is left in place of all combinations of its segments. Any of an item's tokens stands for it, as
+a rule with one of them is as sure as with all.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapline.llm.shared import Scratch, narrowed
 
@@ -83,6 +88,20 @@ def tokens() -> Column:
         marked("scheme:", F.array(scheme)))))
 
 
+def itemised(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that ``least`` rows of ``labelled`` (page, tokens) have: the item is the smallest
+    of the tokens with the same pages, which a count and two hashes of the pages stand for."""
+    pages = labelled.select("page", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("often"), F.bit_xor(F.xxhash64("page")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("two"), "page")).alias("two")).where(F.col("often") >= least)
+    return pages.select("token", F.min("token").over(Window.partitionBy("often", "one", "two")).alias("item"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it where it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def mined(labelled: DataFrame, support: float, least: int, confidence: float, lift: float) -> DataFrame:
     """Rules (tokens, size, confidence, anchor) from ``labelled`` (items, with BAD among them for a bad page)."""
     count = labelled.count()
@@ -125,7 +144,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...]
     A null or odd url has empty host and path, no rule, and is allowed unless mined rules say otherwise. Repeated
     pages come out repeated; a page with several labels is bad if one says so; null labels count as not bad, null ids
     have no label; without labels nothing is mined and pages without a given rule are allowed. An empty table gives
-    no row; other columns are left out.
+    no row; other columns are left out. A URL of many segments that many labelled pages copy is one item.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     pages = parts(narrowed(pages, page_id="long", url="string"))
@@ -133,19 +152,26 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...]
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))
     labels = narrowed(labels, doc_id="long", quality="int", toxic="int").groupBy(
         F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    labelled = scratch.write(
-        pages.join(labels, "page_id").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD))))
-                                             .otherwise(F.col("tokens")).alias("items")), "labelled")
+    labelled = scratch.write(pages.join(labels, "page_id").select(
+        F.monotonically_increasing_id().alias("page"), "tokens", "bad"), "labelled")
+    # the count that the share of FP-growth comes to
+    count = max(1, labelled.count())
+    items = small(scratch.write(itemised(labelled, math.ceil(min(1.0, max(support, least / count)) * count)), "items"))
+    held = labelled.select("page", F.explode("tokens").alias("token")).join(items, "token").groupBy("page").agg(
+        F.collect_set("item").alias("items"))
+    none = F.array().cast("array<string>")
+    labelled = scratch.write(labelled.join(held, "page", "left").select(F.concat(
+        F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items")), "mining")
     rules_ = scratch.write(mined(labelled, support, least, confidence, lift), "mined")
     rules_ = scratch.write(pruned(rules_), "rules")
     # pages of the same tokens are judged once
-    kinds = scratch.write(pages.where("given is null").select("tokens").distinct(), "kinds")
-    index = rules_.select(F.col("tokens").alias("needed"), "confidence", F.col("anchor").alias("token"))
-    if index.count() <= SMALL:
-        index = F.broadcast(index)
+    kinds = scratch.write(
+        pages.where("given is null").select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+        .join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("items")), "kinds")
+    index = small(rules_.select(F.col("tokens").alias("needed"), "confidence", F.col("anchor").alias("item")))
     hits = scratch.write(
-        kinds.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-        .where(F.size(F.array_except("needed", "tokens")) == 0)
+        kinds.select("tokens", "items", F.explode("items").alias("item")).join(index, "item")
+        .where(F.size(F.array_except("needed", "items")) == 0)
         .groupBy("tokens").agg(F.max("confidence").alias("confidence")), "hits")
     given = pages.where("given is not null").select(
         "page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"),
