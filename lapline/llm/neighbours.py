@@ -18,6 +18,9 @@ from lapline.llm.shared import Scratch, narrowed
 
 #: Rows of the index and queries that meet in one task, and queries in one matrix product.
 ROWS, QUERIES, STEP = 20_000, 4096, 256
+#: A length of vectors that no more rows have is indexed and searched in one task.
+SMALL = 4096
+FOUND = "query_id long, vec_id long, score double"
 
 
 @dataclass
@@ -81,7 +84,9 @@ def visited(near_left: np.ndarray, near_right: np.ndarray, counts: np.ndarray, e
 
 def best_of(queries: np.ndarray, ids: np.ndarray, probed: np.ndarray, rows: np.ndarray, units: np.ndarray,
             row_ids: np.ndarray, cells: np.ndarray, k: int):
-    """(query, row id, cosine) of each query's ``k`` nearest among the rows of the cells it visits; rows by id."""
+    """(query, row id, cosine) of each query's ``k`` nearest among the rows of the cells it visits; rows by id. An id
+    with several vectors counts by the best of them."""
+    firsts = np.flatnonzero(np.diff(row_ids, prepend=row_ids[0] - 1))
     lengths = np.sqrt((rows**2).sum(axis=1))
     for start in range(0, len(queries), STEP):
         part = slice(start, start + STEP)
@@ -91,15 +96,56 @@ def best_of(queries: np.ndarray, ids: np.ndarray, probed: np.ndarray, rows: np.n
         rough[~probed[part][:, cells]] = -np.inf
         rough[ids[part][:, None] == row_ids[None, :]] = -np.inf
         for q in range(len(own)):
-            open_ = int((rough[q] > -np.inf).sum())
+            best = np.maximum.reduceat(rough[q], firsts)
+            open_ = int((best > -np.inf).sum())
             if not open_:
                 continue
-            least = np.partition(rough[q], -min(k, open_))[-min(k, open_)] if open_ > k else -2.0
+            least = np.partition(best, -k)[-k] if open_ > k else -2.0
             found = np.flatnonzero(rough[q] >= least - 1e-9)  # products of a batch differ in the last digits
             score = (rows[found] * own[q]).sum(axis=1) / (lengths[found] * np.sqrt((own[q]**2).sum()))
-            order = np.lexsort((row_ids[found], -score))[:k]
-            for at in order:
-                yield int(ids[part][q]), int(row_ids[found[at]]), float(score[at])
+            given: set[int] = set()
+            for at in np.lexsort((row_ids[found], -score)):
+                if (row := int(row_ids[found[at]])) not in given:
+                    given.add(row)
+                    yield int(ids[part][q]), row, float(score[at])
+                    if len(given) == k:
+                        break
+
+
+def fitted(units: np.ndarray, halves: int) -> Halves:
+    cut = max(1, units.shape[1] // 2)
+    return Halves(centroids(units[:, :cut], halves), centroids(units[:, cut:], halves))
+
+
+def wanted(rows: int, share: float, k: int) -> int:
+    """How many vectors a query has to meet at least."""
+    return max(int(np.ceil(share * rows)), 100 * k)
+
+
+def found_table(found: list) -> pa.Table:
+    columns = list(zip(*found)) or [(), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))],
+                    ["query_id", "vec_id", "score"])
+
+
+def searched_whole(every: int, k: int, halves: int, share: float, sample: int):
+    """The same index over all rows of one length in one task."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("vec_id", "ascending"), ("hash", "ascending")])
+        ids = rows["vec_id"].to_numpy()
+        values, units = unit_rows(rows["embedding"].combine_chunks())
+        asked = np.flatnonzero(ids % every == 0)
+        if not asked.size:
+            return found_table([])
+        index = fitted(units[rows["hash"].to_numpy().argsort(kind="stable")[:sample]], halves)
+        cells = index.cells(units)
+        counts = np.bincount(cells, minlength=len(index.left) * len(index.right))
+        probed = np.zeros((len(asked), len(counts)), bool)
+        for place, (left, right) in enumerate(zip(*index.distances(units[asked]))):
+            probed[place, visited(left, right, counts, wanted(len(ids), share, k))] = True
+        return found_table(list(best_of(values[asked], ids[asked], probed, values, units, ids, cells, k)))
+
+    return run
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, share: float = 0.55,
@@ -112,10 +158,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, s
     need about half for a recall of 0.9, clustered ones far less; with share 1 the result is exact. The score is the
     cosine in double precision on the vectors as given; ties go to the smaller vec_id.
 
-    No part is taken by vectors that are null, empty, all zero or hold a null, NaN or infinite component, by rows
-    without vec_id, and by vectors of another length than most have. Of rows with one vec_id the vector with the
-    smallest hash counts. Of equal vectors only the k + 1 smallest vec_ids are ranked, as no other can be among k;
-    all of them are queries. Fewer candidates than k give fewer rows, an empty table none; other columns are left out.
+    No part is taken by vectors that are null, empty, all zero or hold a null, NaN or infinite component, and by rows
+    without vec_id. Vectors of one length are compared among themselves: each length has an index of its own, the
+    commonest and every other that more than SMALL rows have one after the other, all the rest in one job with a task
+    for each. A vec_id with several vectors asks with each of them and is found by each; its best score counts. Of
+    equal vectors only the k + 1 smallest vec_ids are ranked, as no other can be among k; all of them are queries.
+    Fewer candidates than k give fewer rows, an empty table none; other columns are left out.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -123,17 +171,30 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, s
         "vec_id is not null and size(embedding) > 0 and "
         "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and "
         "exists(embedding, x -> x <> 0)").withColumn("hash", F.xxhash64("embedding"))
-    typed = scratch.write(typed.groupBy("vec_id").agg(
-        F.min_by("embedding", "hash").alias("embedding"), F.min("hash").alias("hash")), "typed")
-    sizes = typed.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    out = "query_id long, vec_id long, score double"
-    if sizes is None:
+    typed = scratch.write(typed.groupBy("vec_id", "hash").agg(F.first("embedding").alias("embedding")).withColumn(
+        "n", F.size("embedding")), "typed")
+    sizes = typed.groupBy("n").count().orderBy(F.desc("count"), "n")
+    commonest = sizes.first()
+    if commonest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    typed = typed.where(F.size("embedding") == sizes["n"])
+    large = [commonest["n"]] + [r["n"] for r in sizes.where(
+        (F.col("count") > SMALL) & (F.col("n") != commonest["n"])).collect()]
+    found = typed.where(~F.col("n").isin(large)).groupBy("n").applyInArrow(
+        searched_whole(every, k, halves, share, sample), FOUND)
+    for n in large:
+        found = found.unionByName(searched(typed.where(F.col("n") == n), n, scratch, every, k, halves, share, sample))
+    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.selectExpr(
+        "query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank",
+        "vec_id", "score").where(F.col("rank") <= k)
+
+
+def searched(typed: DataFrame, n: int, scratch: Scratch, every: int, k: int, halves: int, share: float,
+             sample: int) -> DataFrame:
+    """query_id, vec_id, score of the best of each block of the index over ``typed``, vectors of length ``n``."""
+    spark = typed.sparkSession
     picked = typed.orderBy("hash", "vec_id").limit(sample).select("embedding").toArrow()
-    units = unit_rows(picked["embedding"].combine_chunks())[1]
-    cut = max(1, sizes["n"] // 2)
-    index = Halves(centroids(units[:, :cut], halves), centroids(units[:, cut:], halves))
+    index = fitted(unit_rows(picked["embedding"].combine_chunks())[1], halves)
     # of equal vectors those that can be among the nearest
     first = typed.selectExpr("vec_id", "embedding", "row_number() over (partition by hash order by vec_id) as copy")
 
@@ -146,11 +207,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, s
 
     rows = scratch.write(
         first.where(F.col("copy") <= k + 1).select("vec_id", "embedding").mapInArrow(
-            celled, "vec_id long, embedding array<double>, cell int"), "rows")
+            celled, "vec_id long, embedding array<double>, cell int"), f"rows{n}")
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
     for row in rows.groupBy("cell").count().collect():  # as many rows as there are cells at most
         counts[row["cell"]] = row["count"]
-    enough = max(int(np.ceil(share * counts.sum())), 100 * k)
+    enough = wanted(counts.sum(), share, k)
     # cells in turn fill blocks of ROWS; a cell that holds more is spread over several
     ends = np.cumsum(counts)
     first_block = (ends - counts) // ROWS
@@ -189,7 +250,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, s
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def ranked(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        found = [(), (), ()]
+        found = []
         if asked.num_rows and rows.num_rows:
             rows = rows.sort_by("vec_id")
             here, cells = np.unique(rows["cell"].to_numpy(), return_inverse=True)
@@ -198,16 +259,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, halves: int = 32, s
                 probed[q] = np.isin(here, visits)
             values, units = unit_rows(rows["embedding"].combine_chunks())
             own = unit_rows(asked["embedding"].combine_chunks())[0]
-            best = list(best_of(own, asked["vec_id"].to_numpy(), probed, values, units, rows["vec_id"].to_numpy(),
-                                cells, k))
-            found = list(zip(*best)) or found
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
-                         pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = asked.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(ranked, out)
-    return found.selectExpr(
-        "query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank",
-        "vec_id", "score").where(F.col("rank") <= k)
+            found = list(best_of(own, asked["vec_id"].to_numpy(), probed, values, units, rows["vec_id"].to_numpy(),
+                                 cells, k))
+        return found_table(found)
+
+    return asked.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(ranked, FOUND)
 
 
 def op9_multi_index(spark, sf_dir: str) -> DataFrame:

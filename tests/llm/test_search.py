@@ -167,3 +167,33 @@ def test_mined_rules_equal_brute_force(table):
     for r in got:
         assert r.verdict == ("allow" if want[r.page_id] is None else "block")
         assert r.confidence is None or abs(r.confidence - want[r.page_id]) < 1e-9
+
+
+@pytest.mark.parametrize("small", [4096, 20])
+def test_each_length_of_vectors_and_all_vectors_of_an_id(table, monkeypatch, small):
+    monkeypatch.setattr(neighbours, "SMALL", small)
+    rng = np.random.default_rng(4)
+    rows = [(i % 200, rng.normal(size=dim).tolist()) for dim in (4, 6, 8) for i in range(260 if dim == 6 else 90)]
+    got = neighbours.nearest(table(rows, "vec_id long, embedding array<double>"), share=1.0, halves=4).collect()
+    best = {}
+    for q, own in rows:
+        for i, v in rows:
+            if q % 50 == 0 and i != q and len(v) == len(own):
+                score = float(np.dot(own, v) / (np.linalg.norm(own) * np.linalg.norm(v)))
+                best[q, i] = max(score, best.get((q, i), -2.0))
+    want = [(q, r, i) for q in (0, 50, 100, 150) for r, (_, i) in enumerate(
+        sorted((-s, i) for (p, i), s in best.items() if p == q)[:5], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
+    assert all(abs(r.score - best[r.query_id, r.vec_id]) < 1e-12 for r in got)
+
+
+def test_copies_of_a_long_url(table):
+    """All combinations of 40 segments that 20 pages share would be 2 to the power of 40 rules."""
+    long = "http://bad.org/" + "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(i, long) for i in range(20)] + [(i, f"http://good.org/{i}") for i in range(20, 100)]
+    rows += [(100, "http://other.org/saa/x"), (101, "http://good.org/x")]
+    labels = [(i, 0 if i < 19 else 1, 0) for i in range(100)]
+    got = {r.page_id: (r.verdict, r.confidence) for r in urls.filter_urls(
+        table(rows, "page_id long, url string"), table(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] == ("block", 0.95) for i in (*range(20), 100))
+    assert all(got[i] == ("allow", None) for i in (*range(20, 100), 101))
