@@ -26,6 +26,8 @@ from lapline.llm.shared import Memo, narrowed, sliced
 LAST, SHIFT = 1 << 9, 10
 #: Bits of a token's id in the key of an arc.
 SIDE = 24
+#: Transitions that the table has at most.
+ROOM = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -94,6 +96,7 @@ class MergeAutomaton:
         self.go = {place: to << SHIFT for place, to in go.items()}
         self.back = {state << SHIFT: to << SHIFT for state, to in enumerate(back)}
         self.ending = {state << SHIFT: places for state, places in enumerate(ending)}
+        self.sizes = {token: size for places in ending for size, token in places}
 
     def _letters(self, word: str, ends: bool) -> list[int]:
         out = list(map(ord, word))
@@ -135,29 +138,37 @@ class MergeAutomaton:
         whole = self.whole.get(word)
         if whole is not None:
             return [whole]
-        go, back, ending, arcs = self.go, self.back, self.ending, self.arcs
-        last, sizes = [0], [0]  # after each letter the token that ends there, and its size
+        go, ending, arcs = self.go, self.ending, self.arcs
+        last = [0]  # after each letter the token that ends there
         state = at = 0
         for letter in self._letters(word, True):
             to = go.get(state | letter)
-            while to is None:
-                if not state:
-                    raise ValueError("a letter that no token spells")
-                state = back[state]
-                to = go.get(state | letter)
+            if to is None:
+                to = self._further(state, letter)
             state = to
             at += 1
             for size, token in ending[state]:
                 if size == at or arcs[last[-size] << SIDE | token]:
                     break
             last.append(token)
-            sizes.append(size)
-        path = []
+        path, sizes = [], self.sizes
         while at:
-            path.append(last[at])
-            at -= sizes[at]
+            token = last[at]
+            path.append(token)
+            at -= sizes[token]
         return path[::-1]
 
+    def _further(self, state: int, letter: int) -> int:
+        """The state after ``letter`` by way of shorter ends; the table keeps it while it has room."""
+        go, short = self.go, state
+        while (to := go.get(short | letter)) is None:
+            if not short:
+                raise ValueError("a letter that no token spells")
+            short = self.back[short]
+        if len(go) < ROOM:
+            go[state | letter] = to
+        return to
+
 
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
@@ -196,7 +207,7 @@ class WordEncoder:
         ascii_pattern = pattern.replace(r"[\p{L}]+", "[a-z]+").replace(r"[\p{N}]", "[0-9]").replace(
             r"[^\s\p{L}\p{N}]+", r"[^\t-\r a-z0-9]+")
         self.ascii_pieces = re.compile(ascii_pattern).findall
-        self.words = Memo(self._word, 200_000)
+        self.words = Memo(self._word, 400_000)
         self.names = {**self.automaton.names, **{i: text for text, i in self.special.items()}}
 
     def _word(self, piece: str) -> tuple[int, ...]:

@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
 
     def run(batches):
         encoder = word_encoder(path)
-        memo = Memo(lambda chunk: array("I", encoder.stretch(chunk)).tobytes(), 150_000)
+        memo = Memo(lambda chunk: array("I", encoder.stretch(chunk)).tobytes(), 400_000)
         end = array("I", [end_id]).tobytes()
         for batch in sliced(batches):
             rows = []

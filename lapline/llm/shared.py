@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapline import session
@@ -58,11 +59,18 @@ class Memo(dict):
         return value
 
 
-def sliced(batches, rows: int = 256):
-    """Batches of at most ``rows`` rows, so that few texts are Python values at a time."""
+def sliced(batches, rows: int = 1024, size: int = 2 << 20):
+    """Batches (key, text) cut to at most ``rows`` rows and, but for a longer text alone, ``size`` bytes of text, so
+    that few texts are Python values at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = held = 0
+        for at, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            if at > start and (held + n > size or at - start >= rows):
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:

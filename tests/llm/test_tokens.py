@@ -120,3 +120,12 @@ def test_first_fit_decreasing_takes_the_first_bin_that_fits():
 def test_empty_tables(table):
     for run in (bpe.encode_texts, token_counts.count_tokens, packing.pack):
         assert run(table([]), BYTES if run is token_counts.count_tokens else WORDS).count() == 0
+
+
+def test_every_character_has_the_ids_of_the_library():
+    """All code points below U+20000, alone and between letters."""
+    library, encoder = Tokenizer.from_file(WORDS), bpe.word_encoder(WORDS)
+    for form in ("{}", "a{}b"):
+        texts = [form.format(chr(c)) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert [i for s in encoder.stretches(text) for i in encoder.stretch(s)] == want.ids, ascii(text)
