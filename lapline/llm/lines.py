@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapline.llm.shared import Scratch
+from lapline.llm.shared import Scratch, free_prefix
 
 #: Pieces that the deleted half is cut into.
 PIECES = 16
@@ -220,25 +220,27 @@ def dedup_lines(docs: DataFrame, least: int = 16, edits: int = 1) -> DataFrame:
     ``text`` and, where there is one, ``n_chars`` are made anew for documents that lost lines; other columns and all
     other documents, also those with a null or blank text, stay as they are.
     """
+    own = free_prefix(docs)
     scratch = Scratch(docs.sparkSession, "dedup")
     decided = scratch.write(line_decisions(docs, least, scratch, edits), "decided")
     scratch.drop("every", "stands")
     flags = decided.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("line_no", "kept"))).alias("flags"), F.min("kept").alias("whole")
-    ).where("not whole").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"),
-                                F.transform("flags", lambda x: x["kept"]).alias("__keep"))
+    ).where("not whole").select(F.col("doc_id").alias(own + "doc"), F.col("version").alias(own + "version"),
+                                F.transform("flags", lambda x: x["kept"]).alias(own + "keep"))
     flags = scratch.write(flags, "flags")
     scratch.drop("decided")
-    joined = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).join(
+    joined = docs.withColumn(own + "hash", F.xxhash64(F.col("text").cast("string"))).join(
         flags,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__version")), "left")
+        F.col("doc_id").cast("long").eqNullSafe(F.col(own + "doc")) & (
+            F.col(own + "hash") == F.col(own + "version")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"),
-                                 lambda line, i: F.element_at("__keep", (i + 1).cast("int"))), "\n")
-    out = joined.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(left)).where(
-        F.col("__keep").isNull() | F.col("text").rlike(SOLID))
+                                 lambda line, i: F.element_at(own + "keep", (i + 1).cast("int"))), "\n")
+    out = joined.withColumn("text", F.when(F.col(own + "keep").isNull(), F.col("text")).otherwise(left)).where(
+        F.col(own + "keep").isNull() | F.col("text").rlike(SOLID))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__keep").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(own + "keep").isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast(kind)))
     return out.select(*(f"`{c}`" for c in docs.columns))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lapline.llm.shared import Scratch
+from lapline.llm.shared import Scratch, free_prefix
 
 SEEN = "blob string, rules string"
 FOUND = "blob string, rules string, kind int, start long, `end` long"
@@ -176,15 +176,15 @@ def redact_secrets(docs: DataFrame, folder: str | None = None, rules: tuple[Rule
     ``text`` and, where there is one, ``n_chars`` are made anew for documents with findings; other columns and all
     other documents stay as they are.
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, free_prefix(docs)
     ledger = Ledger(spark, folder or Scratch(spark, "blobs").folder)
     ledger.scan(docs, rules)
-    listed = ledger.by_blob(rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    listed = ledger.by_blob(rules).select(F.col("blob").alias(own + "blob"), F.col("spans").alias(own + "spans"))
     text = F.col("text").cast("string")
-    joined = docs.withColumn("__of", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).join(
-        listed, F.col("__of") == F.col("__blob"), "left")
+    joined = docs.withColumn(own + "of", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).join(
+        listed, F.col(own + "of") == F.col(own + "blob"), "left")
     state = F.aggregate(
-        "__spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
+        own + "spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(
             x["end"].alias("at"),
             F.when(x["start"] < s["at"], s["parts"]).otherwise(F.concat(s["parts"], F.array(
@@ -192,10 +192,10 @@ def redact_secrets(docs: DataFrame, folder: str | None = None, rules: tuple[Rule
             ).alias("parts"))),
         lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(
             text, (s["at"] + 1).cast("int"), F.length(text))))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(state))
+    out = joined.withColumn("text", F.when(F.col(own + "spans").isNull(), F.col("text")).otherwise(state))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(own + "spans").isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast(kind)))
     return out.select(*(f"`{c}`" for c in docs.columns))
 

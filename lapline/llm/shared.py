@@ -76,3 +76,11 @@ def sliced(batches, rows: int = 1024, size: int = 2 << 20):
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as ``name=type``; what else the table has is left out."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
+
+
+def free_prefix(df: DataFrame) -> str:
+    """The beginning of names that no column of ``df`` has."""
+    prefix = "__"
+    while any(name.lower().startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix

@@ -197,3 +197,15 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_names():
     assert len(QUERIES) == 10 and all(re.fullmatch(rf"op{n}_\w+", q) for n, q in enumerate(QUERIES, 1))
+
+
+def test_columns_named_like_the_helpers(spark):
+    """Columns of the table stay as they are, also where the operators would name their own like that."""
+    names = ["__hash", "__of", "__keep", "__spans", "__blob", "__doc", "__version"]
+    docs = spark.createDataFrame(
+        [(1, "a line that is there twice\nfirst", *names), (2, "a line that is there twice\nsecond", *names)],
+        "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(lines.dedup_lines(docs).collect())
+    assert [r.text for r in got] == ["a line that is there twice\nfirst", "second"]
+    assert all(list(r)[2:] == names for r in got)
+    assert all(list(r)[2:] == names for r in secrets.redact_secrets(docs).collect())
