@@ -48,9 +48,9 @@ def test_search_equals_brute_force(table, monkeypatch, shard, asked):
     assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in got) == best_by_brute_force(rows, 20, 5, 6)
 
 
-@pytest.mark.parametrize("shard, asked, each", [(6_000_000, 4_000_000, 1), (3000, 2000, 1000)])
-def test_search_takes_all_terms_of_a_row(table, monkeypatch, shard, asked, each):
-    for name, value in (("SHARD", shard), ("ASKED", asked), ("BLOCK", 8), ("EACH", each)):
+@pytest.mark.parametrize("shard, asked, run", [(6_000_000, 4_000_000, 16), (3000, 2000, 2)])
+def test_search_takes_all_terms_of_a_row(table, monkeypatch, shard, asked, run):
+    for name, value in (("SHARD", shard), ("ASKED", asked), ("BLOCK", 8), ("RUN", run)):
         monkeypatch.setattr(search, name, value)
     rng = random.Random(4)
     words = [f"w{int(1.08 ** rng.randrange(90))}" for _ in range(300)]
@@ -64,6 +64,27 @@ def test_search_takes_all_terms_of_a_row(table, monkeypatch, shard, asked, each)
     assert all(sum(w[0] == 20 * q for w in want) == 10 for q in range(1, 15))
 
 
+def test_cursors_skip_blocks_that_cannot_hold_one_of_the_best(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "RUN", 2)
+    rng = np.random.default_rng(3)
+    # 1,000 documents in families that share their words, and a few words that all have
+    lists = {t: np.sort(rng.choice(1000, 700, False)) for t in range(4)}
+    lists |= {4 + f: np.arange(f * 20, f * 20 + 20) for f in range(50)}
+    bounds = np.concatenate([[0], np.cumsum([len(lists[t]) for t in range(54)])])
+    docs = np.concatenate([lists[t] for t in range(54)]).astype(np.int32)
+    weights = rng.random(len(docs)) + np.repeat(np.arange(54) >= 4, np.diff(bounds)) * 5
+    ids = rng.permutation(5000)[:1000]
+    shard = search.Shard(ids, bounds, docs, weights)
+    for family in range(50):
+        terms = np.array([0, 1, 2, 3, 4 + family])
+        own = int(ids[family * 20])
+        want = sorted(((-fsum(weights[bounds[t]:bounds[t + 1]][docs[bounds[t]:bounds[t + 1]] == d][0] for t in terms
+                              if d in lists[t]), int(ids[d])) for d in range(1000) if ids[d] != own))[:10]
+        assert shard.search(own, terms, 10) == [(-s, d) for s, d in want]
+    assert 0 < shard.read < 0.2 * shard.held
+
+
 def test_search_of_nothing(table):
     assert search.more_like(table([])).count() == 0
     assert search.more_like(table([(20, None), (None, "a")])).count() == 0
