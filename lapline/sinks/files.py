@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 from lapline.functions import columns as C
 from lapline.functions.frames import csv_text, narrow_to_lap_file
 from lapline.operators.laps import LAP
-from lapline.sources.files import folder_name
+from lapline.sources.files import PART, folder_name
 
 ROWS_PER_FILE = 5_000_000
+#: Folders that a table of many sessions is dealt into, by a hash of the session.
+PARTS = 64
+
+
+def _part():
+    return F.pmod(F.xxhash64("session_id"), F.lit(PARTS)).cast("int")
 
 
 def _spread(df: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -66,10 +72,15 @@ def write_recordings(samples: DataFrame, path: str) -> None:
         "overwrite").option("header", True).partitionBy("session").csv(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """JSON lines, one folder per session; NULL fields are left out."""
-    events.withColumn("session", F.col("session_id")).write.mode("overwrite").option(
-        "ignoreNullFields", True).partitionBy("session").json(path)
+def write_events(events: DataFrame, path: str, layout: str = "parts") -> None:
+    """JSON lines; NULL fields are left out.
+
+    Every line names its session, so ``parts`` puts sessions together by their hash: files grow with the rows, not
+    with the sessions. ``sessions`` makes a folder per session, for as few as a file listing should hold.
+    """
+    folder, value = {"parts": (PART, _part()), "sessions": ("session", F.col("session_id"))}[layout]
+    events.withColumn(folder, value).hint("rebalance", folder).write.mode("overwrite").option(
+        "ignoreNullFields", True).partitionBy(folder).json(path)
 
 
 def rebatch_as_json(spark: SparkSession, csv_path: str, path: str, rows_per_file: int = 5000) -> None:

@@ -14,6 +14,8 @@ EVENT_SCHEMAS = {
     "setup_changes": schemas.SETUP_CHANGE,
 }
 _PATH = "_metadata.file_path"
+#: Name of the folders that hold many sessions each.
+PART = "session_part"
 
 
 def folder_name(depth: int = 2):

@@ -142,6 +142,17 @@ def test_event_files_leave_out_nulls(spark, samples, tmp_path):
     assert files.read_events(spark, str(tmp_path), "lap_completions").count() == 0
 
 
+def test_event_files_do_not_grow_with_sessions(spark, tmp_path):
+    events = spark.range(0, 600, 1, 6).selectExpr("concat('s', id) AS session_id", "'session_start' AS event_type")
+    sinks.write_events(events, str(tmp_path / "session_events"))
+    assert len(folders(tmp_path)) <= sinks.PARTS
+    back = files.read_events(spark, str(tmp_path), "session_events").select("session_id", "event_type")
+    assert sorted(back.collect()) == sorted(events.collect())
+    few = events.where("session_id IN ('s1', 's2')")
+    sinks.write_events(few, str(tmp_path / "few"), "sessions")
+    assert folders(tmp_path / "few") == ["session=s1", "session=s2"]
+
+
 def test_both_shapes_of_lap_events(spark, tmp_path):
     rows = [{"session_id": "a", "lap_number": 1, "sector_1_ms": 3, "avg_tyre_temp_fl": 80.5},
             {"session_id": "a", "lap_number": 2, "last_sector_time_ms": 9, "tyre_temp_fl": 81.5}]
