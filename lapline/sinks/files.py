@@ -30,6 +30,16 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str] = LAP,
         "maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*keys).parquet(path)
 
 
+def write_in_parts(df: DataFrame, path: str, keys: list[str] = LAP, time: str = "timestamp_wall") -> None:
+    """Parquet in 64 folders by a hash of the session, ordered by key inside; replaces the table.
+
+    For more laps than folders should be made for: a folder per lap costs the time of some folders and files for each.
+    """
+    df.withColumn(PART, _part()).hint("rebalance", PART).sortWithinPartitions(PART, *keys, time).write.mode(
+        "overwrite").option("partitionOverwriteMode", "static").option(
+        "maxRecordsPerFile", ROWS_PER_FILE).partitionBy(PART).parquet(path)
+
+
 def write_clustered(df: DataFrame, path: str, time: str = "timestamp_wall",
                     partitions: int | None = None, mode: str = "overwrite") -> None:
     """Parquet ordered by (session, lap, time) without a folder per lap.

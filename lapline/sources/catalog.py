@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from lapline import schemas
+from lapline.sinks.versions import Folder
+from lapline.sources.files import PART
 
 # Fixed columns of the processed table as declared.
 PROCESSED_COLUMNS = (
@@ -40,17 +42,19 @@ def _columns(names) -> str:
 
 
 def create_tables(spark: SparkSession, database: str, raw: str, telemetry: str, summary: str) -> None:
-    """telemetry_raw (JSON), telemetry_processed (Parquet by session and lap), lap_summary.
+    """telemetry_raw (JSON), telemetry_processed (Parquet by session and lap, or by part), lap_summary.
 
     telemetry_raw is a view of the files below ``raw`` that leaves out event files by their folder.
     """
     create_database(spark, database)
+    in_parts = Folder(spark, telemetry).names(f"{PART}=*")
+    processed, folders = (f", {PART} INT", PART) if in_parts else ("", "session_id, completed_laps")
     tables = {
         "telemetry_files": (_columns(schemas.LAKE_SAMPLE.names), "json", "", raw,
                             " OPTIONS (recursiveFileLookup 'true')"),
         "telemetry_processed": (
-            f"{_columns(PROCESSED_COLUMNS)}, {_DERIVED}, session_id STRING, completed_laps INT",
-            "parquet", " PARTITIONED BY (session_id, completed_laps)", telemetry, ""),
+            f"{_columns(PROCESSED_COLUMNS)}, {_DERIVED}, session_id STRING, completed_laps INT{processed}",
+            "parquet", f" PARTITIONED BY ({folders})", telemetry, ""),
         "lap_summary": (_SUMMARY, "parquet", "", summary, ""),
     }
     for name, (columns, source, partitions, location, options) in tables.items():

@@ -162,6 +162,23 @@ def test_both_shapes_of_lap_events(spark, tmp_path):
     assert [(r.sector_1_ms, r.last_sector_time_ms) for r in got] == [(3, None), (None, 9)]
 
 
+def test_table_of_many_laps_is_dealt_into_parts(spark, recording, lake, tmp_path, monkeypatch):
+    monkeypatch.setattr(etl, "LAP_FOLDERS", 5)  # the recording has six laps
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    etl.run(spark, lake, few, "laps")
+    etl.run(spark, lake, few)  # a table keeps its folders
+    etl.run(spark, lake, many)
+    assert len(folders(f"{few}/telemetry")) == 6
+    assert all(f.startswith("session_part=") for f in folders(f"{many}/telemetry"))
+    one, other = (etl.read_processed(spark, out) for out in (few, many))
+    assert sorted(one.columns) == sorted(other.columns)
+    assert one.exceptAll(other.select(*one.columns)).count() == 0 == other.select(*one.columns).exceptAll(one).count()
+    assert laps.lap_data(one, "s1", 1).count() == laps.lap_data(other, "s1", 1).count() > 0
+    catalog.create_tables(spark, "in_parts", lake, f"{many}/telemetry", f"{many}/lap_summary")
+    catalog.repair_table(spark, "in_parts.telemetry_processed")
+    assert spark.table("in_parts.telemetry_processed").count() == one.count()
+
+
 def test_catalog(spark, lake, tmp_path):
     out = str(tmp_path)
     etl.run(spark, lake, out)
