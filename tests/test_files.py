@@ -92,6 +92,29 @@ def test_lap_files(spark, recording, tmp_path):
     assert files.session_files(spark, f"{tmp_path}", "session_folder=s1", "*.parquet").count() == 3
 
 
+def test_lap_files_take_any_name_and_large_laps(spark, recording, tmp_path):
+    odd = F.when(F.col("session_id") == "s0", "a/b=c%[1]\"é").otherwise(F.lit(None))
+    full = recording.withColumn("session_id", odd)
+    for f in schemas.LAKE_SAMPLE.fields:
+        if f.name not in full.columns:
+            full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
+    full = full.crossJoin(spark.range(400).select(F.col("id").alias("packet"))).drop("packet")
+    path = str(tmp_path / "laps")
+    sinks.write_laps(full, path)
+    sinks.write_laps(full, path)  # replaces what is there
+    back = files.read_lap_files(spark, path)
+    driven = full.where("NOT is_in_pit").withColumnRenamed("completed_laps", "lap_number")
+    columns = ["session_id", "lap_number", "timestamp_wall", "speed_kmh"]
+    want = driven.select(*[F.col(f.name).cast(f.dataType) for f in back.select(*columns).schema.fields])
+    assert back.count() == want.count() and back.select(*columns).exceptAll(want).count() == 0
+    # the very folders that Spark makes
+    values = driven.select("session_id", F.lit("x").alias("x")).distinct()
+    values.write.partitionBy("session_id").text(str(tmp_path / "names"))
+    spark_names = {d.removeprefix("session_id=") for d in os.listdir(tmp_path / "names") if d.startswith("session_id")}
+    assert {f.split("/")[3].removeprefix("session_folder=") for f in folders(path)} == spark_names
+    assert not [n for _, _, ns in os.walk(path) for n in ns if n.startswith(".") and "part" in n and not n.endswith(".crc")]
+
+
 def test_clustered(spark, recording, tmp_path):
     sinks.write_clustered(recording, str(tmp_path), partitions=4)
     assert spark.read.parquet(str(tmp_path)).count() == 120
