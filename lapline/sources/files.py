@@ -23,6 +23,11 @@ def folder_name(depth: int = 2):
     return F.regexp_replace(F.element_at(F.split(F.col(_PATH), "/"), -depth), "^[^=]*=", "")
 
 
+def _session(named):
+    """The session of a row: that of its folder, or in a folder of many sessions the one the row names."""
+    return F.when(F.col(_PATH).contains(f"/{PART}="), named).otherwise(folder_name())
+
+
 def read_lake_samples(spark: SparkSession, path: str, schema=schemas.ETL_SAMPLE) -> DataFrame:
     """JSON lines at any depth below ``path``, only the fields in ``schema``.
 
@@ -43,18 +48,19 @@ def _samples_only(files: DataFrame) -> DataFrame:
 def read_text_samples(spark: SparkSession, path: str) -> DataFrame:
     """Lake files whose values were all written as strings and that name no session.
 
-    The session is the folder; a value that does not parse becomes NULL.
+    The session is the folder, unless that holds many sessions; a value that does not parse becomes NULL.
     """
     rows = read_lake_samples(spark, path, schemas.TEXT_SAMPLE).withColumn(
-        "session_id", F.coalesce("session_id", folder_name()))
+        "session_id", F.coalesce("session_id", _session(F.col("session_id"))))
     return typed_from_text(rows)
 
 
 def read_recordings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Telemetry CSV files below ``path``; the session is the folder of the file."""
-    rows = spark.read.schema(schemas.SAMPLE).option("header", True).option(
+    """Telemetry CSV files below ``path``; the session is the folder of the file, or the last column where a folder
+    holds many."""
+    rows = spark.read.schema(schemas.RECORDING).option("header", True).option(
         "recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    rows = rows.withColumn("session_id", folder_name())
+    rows = rows.withColumn("session_id", _session(F.col("session_id")))
     return rows.select(*columns) if columns else rows
 
 

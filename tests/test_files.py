@@ -144,6 +144,25 @@ def test_recordings(spark, recording, tmp_path):
     assert typed.where("speed_kmh > 0 AND session_id IN ('s0', 's1')").count() == 120
 
 
+def test_recordings_of_many_sessions_share_folders(spark, recording, tmp_path, monkeypatch):
+    full = recording.select(*[
+        (F.col(f.name) if f.name in recording.columns else F.lit(None)).cast(
+            "timestamp" if f.name == "timestamp_wall" else f.dataType).alias(f.name) for f in schemas.LAKE_SAMPLE.fields])
+    full = full.withColumn("session_id", F.when(F.col("gear") > 0, F.col("session_id")))
+    columns = ["session_id", "speed_kmh", "is_in_pit", "completed_laps", "timestamp_wall"]
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    sinks.write_recordings(full, few)
+    monkeypatch.setattr(sinks, "SESSION_FOLDERS", 1)
+    sinks.write_recordings(full, many)
+    assert folders(few) == ["session=s0", "session=s1"]
+    assert all(f.startswith("session_part=") for f in folders(many))
+    one, other = (files.read_recordings(spark, path, *columns) for path in (few, many))
+    assert one.exceptAll(other).count() == 0 == other.exceptAll(one).count() and other.count() == 120
+    sinks.rebatch_as_json(spark, many, str(tmp_path / "json"), rows_per_file=25)
+    typed = files.read_text_samples(spark, str(tmp_path / "json"))
+    assert {(r.session_id, r["count"]) for r in typed.groupBy("session_id").count().collect()} == {("s0", 60), ("s1", 60)}
+
+
 def test_sessions_on_disk(spark, tmp_path):
     for i, name in enumerate(("newest", "older")):
         os.makedirs(tmp_path / "deep" / name)
