@@ -92,3 +92,12 @@ def test_time_loss_against_itself_is_zero(samples):
     assert {r.best_lap for r in got} == {0}
     assert [r.time_delta_ms for r in got if r.completed_laps == 0] == [0.0] * 11
     assert [r.time_delta_ms for r in got if r.completed_laps == 1] == pytest.approx([10.0 * i for i in range(11)])
+
+
+def test_comparisons_shuffle_samples_not_grid_points(samples, lap_rows):
+    t = samples(lap_rows)
+    for compared in (align.compare_laps(t, 0, 1), align.compare_laps(t, 0, 1, align="positional"), align.time_loss(t)):
+        plan = compared._jdf.queryExecution().optimizedPlan().toString()
+        # every window, join and aggregate is below the line that writes out the grid points
+        above = plan[:plan.index("Generate explode(sequence(")]
+        assert not any(word in above for word in ("Aggregate", "Window", "Join"))
