@@ -255,6 +255,17 @@ def test_event_store(spark):
     assert {r.session_id for r in pipelines.stored_sessions(spark, store).collect()} == {"a", "b", "c"}
 
 
+def test_large_batches_are_spread_over_tasks(spark, monkeypatch):
+    rows = [(f"s{i}", "session_events", {**START, "session_id": f"s{i}"}) for i in range(60)]
+    sent = message_frame(spark, rows).unionByName(message_frame(spark, [("x", "no topic", {})])).coalesce(1)
+    assert pipelines._spread(sent).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(pipelines, "MESSAGES_PER_TASK", 10)
+    assert pipelines._spread(sent).rdd.getNumPartitions() == 7
+    store = session.new_folder(spark, "store")
+    pipelines.store_batch(sent, 0, store, "r1")
+    assert pipelines.stored_sessions(spark, store).count() == 60 and pipelines.quarantined(spark, store).count() == 1
+
+
 def test_unreadable(spark):
     sent = message_frame(spark, [("a", "t", {"x": 1}), ("a", "t", "nope"), ("a", "t", "[1]")])
     assert messages.unreadable(sent).count() == 2
