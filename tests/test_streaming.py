@@ -144,6 +144,27 @@ def test_state_holds_a_slice_not_the_table(spark, samples):
     assert max(r.held for r in runs) <= 70  # entries are minutes of a session; a slice has 60 of them
 
 
+def test_few_rows_wait_together(spark, samples):
+    """A row an hour for 30 days: state has a few entries, not one for each row."""
+    t = samples([{"ts": i * 3600, "packet_id": i, "completed_laps": i // 50} for i in range(720)])
+    out, work = session.new_folder(spark, "out"), session.new_folder(spark, "work")
+    runs = pipelines.backfill(t, lifecycle.lifecycle_events, out, work, rows_per_slice=400)
+    assert sum(r.rows for r in runs) == 721 and max(r.held for r in runs) <= 20
+    got = lifecycle.events_of(spark.read.schema(lifecycle.EVENTS).parquet(out), "lap_segment")
+    assert sorted(r.samples for r in got.collect()) == [20] + 14 * [50]
+
+
+@pytest.mark.parametrize("at_once, rows_per_slice", [(5, 10_000), (40, 90)])
+def test_intervals_with_many_rows_are_dealt_into_finer_ones(spark, replay, monkeypatch, at_once, rows_per_slice):
+    monkeypatch.setattr(lifecycle, "ROWS_AT_ONCE", at_once)
+    out, work = session.new_folder(spark, "out"), session.new_folder(spark, "work")
+    pipelines.backfill(replay, lifecycle.lifecycle_events, out, work, rows_per_slice=rows_per_slice)
+    got = spark.read.schema(lifecycle.EVENTS).parquet(out)
+    columns = ["session_id", "session_no", "segment_no", "lap_number", "samples", "max_speed"]
+    assert sorted(map(tuple, lifecycle.events_of(got, "lap_segment").select(*columns).collect())) == sorted(
+        map(tuple, sessions.lap_segments(replay).select(*columns).collect()))
+
+
 def test_slices_follow_each_other(spark, samples):
     rng = random.Random(4)
     times = [rng.choice([0, 5, 5, 5, rng.randrange(4000)]) for _ in range(500)]
