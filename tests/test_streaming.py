@@ -180,6 +180,13 @@ def test_slices_follow_each_other(spark, samples):
     assert [f"{path}/_slice={r['_slice']}" for r in rows] == known["folders"] and len(rows) > 10
 
 
+def test_a_single_slice_is_not_shuffled(spark, samples):
+    t = samples([{"packet_id": i} for i in range(90)]).repartition(3, "packet_id")
+    path = session.new_folder(spark, "slices")
+    pipelines.time_slices(t, path, 1000)
+    assert len(spark.read.parquet(path).inputFiles()) == 3  # a file of each task that had the rows
+
+
 @pytest.mark.parametrize("field", ["completed_laps", "speed_kmh", "brake_bias", "is_in_pit", "status"])
 def test_missing_fields_are_taken_as_in_the_batch(spark, samples, field):
     rows = [{"ts": i * 10, "packet_id": i, "completed_laps": i // 3, **({field: None} if i in (0, 4, 5) else {})}
