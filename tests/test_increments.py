@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lapline import schemas, session
 from lapline.plans import etl
 from lapline.sinks.versions import AppendTable
+from lapline.sources.files import read_lake_samples
 
 
 @pytest.fixture
@@ -48,3 +49,14 @@ def test_an_increment_that_breaks_off_goes_on(spark, lake, monkeypatch):
             etl.increment(spark, raw, out)
     assert sum(r.sample_count for r in etl.increment(spark, raw, out).collect()) == lake.where(~F.col("is_in_pit")).count()
     assert etl.processed_samples(spark, out).read().count() == lake.where(~F.col("is_in_pit")).count()
+
+
+def test_lake_files_are_compressed_and_of_few_rows(spark, lake, monkeypatch):
+    from lapline.plans import queries
+
+    monkeypatch.setattr(queries, "LAKE_FILE_ROWS", 10)
+    raw = session.new_folder(spark, "raw")
+    queries.write_lake(lake.drop("packet_id").coalesce(1), f"{raw}/2024")
+    files = read_lake_samples(spark, raw).inputFiles()
+    assert len(files) == 6 and all(f.endswith(".json.gz") for f in files)
+    assert read_lake_samples(spark, raw).count() == 60
