@@ -10,7 +10,6 @@ changed (``left``, ``right``, ``made``, ``cut``): a table entry is worked out fr
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import json
 import re
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from lapline.llm.shared import Memo, narrowed, sliced
+from lapline.llm.shared import Memo, kept, narrowed, sliced
 
 #: Letters of the tables: a byte letter lies below LAST, which marks the last of a word; a state is shifted above both.
 LAST, SHIFT = 1 << 9, 10
@@ -242,7 +241,7 @@ class WordEncoder:
         return text.split()
 
 
-@functools.lru_cache(maxsize=4)
+@kept
 def word_encoder(path: str) -> WordEncoder:
     """One compiled encoder for each worker process."""
     return WordEncoder(path)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lapline.llm.shared import narrowed
+from lapline.llm.shared import forget, narrowed, sliced
 
 SLOTS = 4096
 LENGTHS = (1, 2, 3, 4)
@@ -81,6 +81,7 @@ def fit(labelled: DataFrame, per_language: int = 600, landmarks_per_language: in
         F.col("r") <= per_language)
 
     def run(batches):
+        forget()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             flags = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
@@ -116,8 +117,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches):
+        forget()
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, place=place):
             texts = batch.column(place).to_pylist()
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             known = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]

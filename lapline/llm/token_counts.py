@@ -6,7 +6,6 @@ proven whole: a pre-token that equals one counts 1 without any merge. Only the r
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 from itertools import islice
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lapline.llm.bpe import LETTERS, load
-from lapline.llm.shared import Memo, narrowed, sliced
+from lapline.llm.shared import Memo, kept, narrowed, sliced
 
 #: The pattern that splits a text before the merges (a fixed value of the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,7 +133,7 @@ class TokenCounter:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-@functools.lru_cache(maxsize=4)
+@kept
 def token_counter(path: str) -> TokenCounter:
     """One counter for each worker process; the proof of whole tokens runs once in it."""
     return TokenCounter(path)
