@@ -85,6 +85,34 @@ def test_cursors_skip_blocks_that_cannot_hold_one_of_the_best(monkeypatch):
     assert 0 < shard.read < 0.2 * shard.held
 
 
+def test_queries_side_by_side_over_long_lists(monkeypatch):
+    """Lists of many documents are added by one product for all queries; scores stay exact and blocks are skipped."""
+    for name, value in (("BLOCK", 8), ("RUN", 2), ("STRIDE", 2)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    n = 500
+    lists = [np.sort(rng.choice(n, size, False)) for size in [400, 450, 300, 499, 120] + [25] * 40]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    docs = np.concatenate(lists).astype(np.int32)
+    weights = rng.random(len(docs)) * np.repeat(rng.random(len(lists)) * 9, np.diff(bounds))
+    weights[bounds[1]:bounds[2]] = 0.1  # many equal weights, which single precision can't hold
+    ids = rng.permutation(3000)[:n]
+    shard = search.Shard(ids, bounds, docs, weights)
+    assert (shard.row >= 0).sum() == 5 and len(shard.docs) == 40 * 25
+    terms = [np.sort(rng.choice(len(lists), rng.integers(0, 12), False)) for _ in range(30)] + [np.array([1]), np.array([1, 3])]
+    queries = ids[:31].tolist() + [-7]
+    got = shard.search_all(queries, terms, 10)
+    for query, own, best in zip(queries, terms, got):
+        parts = {}
+        for t in own.tolist():
+            for d, w in zip(lists[t].tolist(), weights[bounds[t]:bounds[t + 1]].tolist()):
+                parts.setdefault(int(ids[d]), []).append(w)
+        parts.pop(query, None)
+        assert best == [(-s, d) for s, d in sorted((-fsum(x), d) for d, x in parts.items())[:10]]
+        assert best == shard.search(query, own, 10)
+    assert 0 < shard.read < 0.9 * shard.held
+
+
 def test_search_of_nothing(table):
     assert search.more_like(table([])).count() == 0
     assert search.more_like(table([(20, None), (None, "a")])).count() == 0
