@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,25 @@ def test_lap_files_take_any_name_and_large_laps(spark, recording, tmp_path):
     assert not [n for _, _, ns in os.walk(path) for n in ns if n.startswith(".") and "part" in n and not n.endswith(".crc")]
 
 
+def test_files_of_short_laps_are_small(spark, recording, tmp_path):
+    """Most of a short lap's file is what Parquet says of 55 columns; a long lap's file has statistics."""
+    full = recording
+    for f in schemas.LAKE_SAMPLE.fields:
+        if f.name not in full.columns:
+            full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
+    many = full.where("completed_laps = 0").crossJoin(spark.range(200).select(F.col("id").alias("packet"))).drop("packet")
+    sinks.write_laps(full.where("completed_laps > 0").unionByName(many), str(tmp_path))
+    seen = set()
+    for path in tmp_path.rglob("*.parquet"):
+        meta = pq.read_metadata(path)
+        assert "ARROW:schema" not in {k.decode() for k in meta.metadata or {}}
+        column = meta.row_group(0).column(meta.schema.names.index("speed_kmh"))
+        seen.add(meta.num_rows >= 1000)
+        assert column.is_stats_set == (meta.num_rows >= 1000) and column.compression == "SNAPPY"
+        assert meta.num_rows >= 1000 or path.stat().st_size < 9500
+    assert seen == {True, False}
+
+
 def test_clustered(spark, recording, tmp_path):
     sinks.write_clustered(recording, str(tmp_path), partitions=4)
     assert spark.read.parquet(str(tmp_path)).count() == 120
