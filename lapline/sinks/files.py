@@ -7,9 +7,11 @@ from lapline.functions import columns as C
 from lapline.functions.frames import csv_text, narrow_to_lap_file
 from lapline.operators.laps import LAP
 from lapline.sinks.versions import Folder
-from lapline.sources.files import PART, folder_name
+from lapline.sources.files import PART, RECORDINGS, folder_name
 
 ROWS_PER_FILE = 5_000_000
+#: Rows of a recording's file: it is compressed, so one task reads it, and a task reads several.
+ROWS_PER_RECORDING = 10_000
 #: Folders that a table of many sessions is dealt into, by a hash of the session.
 PARTS = 64
 
@@ -155,7 +157,7 @@ def _folder_writer(uri: str, keys: list[str], rows_per_group: int = 100_000, sma
 
 
 def write_recordings(samples: DataFrame, path: str) -> None:
-    """CSV with header and fixed decimals, one folder per session; see SESSION_FOLDERS.
+    """Compressed CSV with header and fixed decimals, one folder per session; see SESSION_FOLDERS.
 
     In folders of many sessions each row names its session, in the last column.
     """
@@ -165,7 +167,8 @@ def write_recordings(samples: DataFrame, path: str) -> None:
         folder, "session_id", "timestamp_wall")
     columns = [c for c in samples.columns if c != "session_id"]
     csv_text(spread).select(*columns, *kept, folder).write.mode(
-        "overwrite").option("header", True).partitionBy(folder).csv(path)
+        "overwrite").option("header", True).option("compression", "gzip").option(
+        "maxRecordsPerFile", ROWS_PER_RECORDING).partitionBy(folder).csv(path)
 
 
 def write_events(events: DataFrame, path: str, layout: str = "parts") -> None:
@@ -180,12 +183,12 @@ def write_events(events: DataFrame, path: str, layout: str = "parts") -> None:
 
 
 def rebatch_as_json(spark: SparkSession, csv_path: str, path: str, rows_per_file: int = 5000) -> None:
-    """CSV rows as JSON lines of strings, at most 5,000 to a file, in the folders that the recordings have."""
+    """CSV rows as JSON lines of strings, at most 5,000 to a compressed file, in the folders that the recordings have."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv").csv(csv_path)
+        "pathGlobFilter", RECORDINGS).csv(csv_path)
     folder = PART if Folder(spark, csv_path).names(f"{PART}=*") else "session"
     rows.withColumn(folder, folder_name()).write.mode("overwrite").option(
-        "maxRecordsPerFile", rows_per_file).partitionBy(folder).json(path)
+        "maxRecordsPerFile", rows_per_file).option("compression", "gzip").partitionBy(folder).json(path)
 
 
 def compact(spark: SparkSession, source: str, target: str, keys: list[str],

@@ -16,6 +16,8 @@ EVENT_SCHEMAS = {
 _PATH = "_metadata.file_path"
 #: Name of the folders that hold many sessions each.
 PART = "session_part"
+#: Names of recordings, compressed or not.
+RECORDINGS = "*.{csv,csv.gz}"
 
 
 def folder_name(depth: int = 2):
@@ -59,7 +61,7 @@ def read_recordings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Telemetry CSV files below ``path``; the session is the folder of the file, or the last column where a folder
     holds many."""
     rows = spark.read.schema(schemas.RECORDING).option("header", True).option(
-        "recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+        "recursiveFileLookup", True).option("pathGlobFilter", RECORDINGS).csv(path)
     rows = rows.withColumn("session_id", _session(F.col("session_id")))
     return rows.select(*columns) if columns else rows
 
@@ -67,7 +69,7 @@ def read_recordings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 def recording_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names in the header of the recordings."""
     return spark.read.option("header", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv").csv(path).columns
+        "pathGlobFilter", RECORDINGS).csv(path).columns
 
 
 def read_lap_files(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +127,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         "pathGlobFilter", glob).load(path).select("path", "modificationTime", "length")
 
 
-def latest_session(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def latest_session(spark: SparkSession, path: str, glob: str = RECORDINGS) -> DataFrame:
     """The folder whose files were changed last."""
     return list_files(spark, path, glob).agg(
         F.max_by(F.element_at(F.split("path", "/"), -2), F.struct("modificationTime", "path"))

@@ -1,5 +1,6 @@
 """Round trips through files, tables and the catalog."""
 
+import gzip
 import json
 import os
 import time
@@ -164,6 +165,26 @@ def test_recordings(spark, recording, tmp_path):
     assert typed.where("speed_kmh > 0 AND session_id IN ('s0', 's1')").count() == 120
 
 
+def test_recordings_and_their_batches_are_compressed(spark, recording, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_RECORDING", 25)
+    full = recording.select(*[
+        (F.col(f.name) if f.name in recording.columns else F.lit(None)).cast(
+            "timestamp" if f.name == "timestamp_wall" else f.dataType).alias(f.name) for f in schemas.LAKE_SAMPLE.fields])
+    path, batches = str(tmp_path / "csv"), str(tmp_path / "json")
+    sinks.write_recordings(full, path)
+    written = [p for p in (tmp_path / "csv").rglob("part*")]
+    assert len(written) == 6 and all(p.name.endswith(".csv.gz") for p in written)  # 60 rows a session, 25 a file
+    plain = tmp_path / "csv" / "session=s9" / "telemetry.csv"  # as a user's recorder leaves it
+    plain.parent.mkdir()
+    plain.write_bytes(gzip.decompress(written[0].read_bytes()))
+    rows = len(plain.read_text().splitlines()) - 1
+    assert files.read_recordings(spark, path, "session_id").groupBy("session_id").count().where("session_id = 's9'").first()["count"] == rows
+    assert files.latest_session(spark, path).first().session_id == "session=s9"
+    sinks.rebatch_as_json(spark, path, batches)
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "json").rglob("part*"))
+    assert files.read_text_samples(spark, batches).where("speed_kmh > 0").count() == 120 + rows
+
+
 def test_recordings_of_many_sessions_share_folders(spark, recording, tmp_path, monkeypatch):
     full = recording.select(*[
         (F.col(f.name) if f.name in recording.columns else F.lit(None)).cast(
