@@ -1,6 +1,7 @@
 """Resampling against numpy.interp, and the two ways to pair laps."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -45,6 +46,29 @@ def test_resample_equals_numpy(samples, lap_rows, n, rows_per_slice):
     assert len(still) == n and {r.speed_kmh for r in still} == {3.0}
 
 
+def test_samples_are_shuffled_once(spark, samples, lap_rows):
+    """To the slices of their laps: neither bounds nor cells move them again, whatever can't be broadcast by itself."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        df = align.resample(samples(lap_rows), ["speed_kmh"], 50, rows_per_slice=10)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\([^)]*\bu#", plan)
+        cut, whole = ({tuple(r) for r in align.resample(samples(lap_rows), ["speed_kmh"], 50, rows_per_slice=size).collect()}
+                      for size in (3, 1_000_000))
+    finally:
+        spark.conf.set(name, before)
+    assert cut == whole and len(whole) == 4 * 50 + 1
+
+
+def test_laps_without_a_name_have_no_grid(samples, lap_rows):
+    rows = [{**r, "session_id": None if r["completed_laps"] == 1 else "s"} for r in lap_rows]
+    rows = [{**r, "completed_laps": None if r["completed_laps"] == 0 else r["completed_laps"]} for r in rows]
+    got = align.resample(samples(rows), ["speed_kmh"], 50).groupBy("completed_laps").count().collect()
+    assert {tuple(r) for r in got} == {(2, 1), (3, 50), (4, 50)}
+
+
 def test_given_grid_clamps_or_leaves_out(spark, samples, lap_rows):
     t = samples(lap_rows).where("completed_laps < 2")
     grid = spark.createDataFrame([("s", 0, -50.0, 900.0), ("s", 1, 100.0, 300.0)],
